@@ -220,3 +220,12 @@ def chain(array: Column, *steps) -> Column:
     for step in steps:
         array = F.transform(array, step)
     return array
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all task slots when a few input files would feed a job whose rows
+    each expand to much work.  Inputs with many files stay as they are."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= slots:
+        return df
+    return df.repartition(slots, *keys)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nightgrid.functions.angles import (
     DEG,
@@ -26,7 +27,7 @@ from nightgrid.functions.angles import (
     tan_d,
     wrap360,
 )
-from nightgrid.functions.scale import chain, first_per_key, sized_join, staged
+from nightgrid.functions.scale import first_per_key, sized_join, spread, staged
 from nightgrid.functions.tiles import tile_id
 
 CELL = 15.0
@@ -95,7 +96,7 @@ def sky_positions(
     c_alt = asin_d(sin_d(c_dec) * sin_d("lat") + cos_d(c_dec) * cos_d("lat") * cos_d(F.col("lst") - c_ra))
     obs = obs.where(c_alt >= min_alt - CELL_RADIUS)
     keep = ["obs_id", "lat", "lst", "cell"] + ([limit_col] if limit_col else [])
-    hit = sized_join(objects.withColumn("cell", tile_id("ra", "dec", CELL)), obs.select(*keep), ["cell"])
+    hit = sized_join(spread(objects, "ra", "dec").withColumn("cell", tile_id("ra", "dec", CELL)), obs.select(*keep), ["cell"])
     if limit_col:
         hit = hit.where(F.col("mag") <= F.col(limit_col))
     # altitude first: rows below the limit skip the azimuth work
@@ -208,9 +209,8 @@ def star_trails(
 
     `sessions`: `session_id, lat, lon, doy, start_hour, end_hour, mag_limit`
     plus the camera columns of `screen_positions`.  Stars meet sessions on
-    whole-magnitude bins.  The at most 50 time steps of a star stay in one
-    array on its row, so breaks (points behind the camera, jumps over half the
-    shorter screen side) are found without a shuffle.
+    whole-magnitude bins.  A trail breaks at points behind the camera and at
+    jumps over half the shorter screen side.  `source_id` must be unique.
     """
     span = F.col("end_hour") - F.col("start_hour")
     span = F.when(span < -12.0, span + 24.0).when(span > 12.0, span - 24.0).otherwise(span)
@@ -224,73 +224,43 @@ def star_trails(
     cat = stars.select("source_id", "ra", "dec", "mag", F.greatest(F.lit(-30), F.floor("mag").cast("int")).alias("mag_bin"))
     hit = sized_join(cat, ses, ["mag_bin"]).where(F.col("mag") < F.col("_cut"))
 
-    half = F.col("height") * 0.5
-    hit = staged(
-        hit,
-        _sd=sin_d("dec"),
-        _cd=cos_d("dec"),
-        _sl=sin_d("lat"),
-        _cl=cos_d("lat"),
-        _scale=half * F.col("zoom"),
-        _base=half + F.col("height") * F.col("v_ratio"),
-        _ymid=2.0 * tan_d(F.col("elevation") * 0.5),
-        _lst0=100.0 + dbl("doy") * 0.9856 + F.col("start_hour") * 15.0 + dbl("lon"),
-        _dl=F.col("_span") * 15.0 / (F.col("n_steps") - 1).cast("double"),
-        jump=F.least(F.col("width"), F.col("height")) * 0.5,
-    )
-
-    def hour_angle(i: Column) -> Column:
-        ha = (F.col("_lst0") + F.col("_dl") * i.cast("double") - F.col("ra")) * RAD
-        sin_alt = clamp(F.col("_sd") * F.col("_sl") + F.col("_cd") * F.col("_cl") * F.cos(ha), -1.0, 1.0)
-        return F.struct(F.sin(ha).alias("sh"), sin_alt.alias("sa"))
-
-    def horizontal(q: Column) -> Column:
-        cos_alt = F.sqrt(F.greatest(F.lit(0.0), 1.0 - q["sa"] * q["sa"]))
-        cos_az = (F.col("_sd") - q["sa"] * F.col("_sl")) / (cos_alt * F.col("_cl") + 1e-10)
-        return F.struct(q["sh"].alias("sh"), q["sa"].alias("sa"), cos_alt.alias("ca"), acos_d(cos_az).alias("z"))
-
-    def relative(q: Column) -> Column:
-        rel = (F.when(q["sh"] > 0, 360.0 - q["z"]).otherwise(q["z"]) - F.col("azimuth")) * RAD
-        return F.struct(q["sa"].alias("sa"), q["ca"].alias("ca"), F.cos(rel).alias("cr"), F.sin(rel).alias("sr"))
-
-    def on_screen(q: Column) -> Column:
-        denom = 1.0 + q["ca"] * q["cr"]
-        k = 2.0 / F.when(denom > 1e-6, denom).otherwise(1.0)
-        sx = F.col("width") * 0.5 + k * q["ca"] * q["sr"] * F.col("_scale")
-        sy = F.col("_base") - (k * q["sa"] - F.col("_ymid")) * F.col("_scale")
-        return F.struct((denom >= 1e-6).alias("ok"), sx.alias("sx"), sy.alias("sy"))
-
-    steps = F.sequence(F.lit(0), F.col("n_steps") - 1)
+    # partition by trail first: the at most 50 steps of a star then stay in
+    # one task and the window below needs a sort but no second shuffle
+    hit = hit.repartition("session_id", "source_id")
+    pts = hit.select("*", F.explode(F.sequence(F.lit(0), F.col("n_steps") - 1)).alias("step"))
+    hour = F.col("start_hour") + F.col("_span") * F.col("step").cast("double") / (F.col("n_steps") - 1).cast("double")
+    ha = (100.0 + dbl("doy") * 0.9856 + hour * 15.0 + dbl("lon") - F.col("ra")) * RAD
+    pts = staged(pts, _ha=ha)
     pts = staged(
-        hit.select("session_id", "source_id", "mag", "ra", "jump", "n_steps", "azimuth", "width", *[c for c in hit.columns if c.startswith("_")]),
-        p=chain(steps, hour_angle, horizontal, relative, on_screen),
-    ).select("session_id", "source_id", "mag", "ra", "jump", "p")
-
-    def links(q: Column, i: Column) -> Column:
-        before = F.get("p", i - 1)
-        gap = F.abs(q["sx"] - before["sx"]) + F.abs(q["sy"] - before["sy"])
-        return F.struct(
-            i.alias("step"),
-            q["ok"].alias("ok"),
-            q["sx"].alias("sx"),
-            q["sy"].alias("sy"),
-            F.coalesce(before["ok"], F.lit(False)).alias("joined"),
-            F.coalesce(F.get("p", i + 1)["ok"], F.lit(False)).alias("goes_on"),
-            gap.alias("gap"),
-        )
-
-    pts = staged(pts, link=F.transform("p", links)).drop("p")
-    cut = F.transform(
-        "link", lambda q: F.when(~q["joined"] | (q["gap"] > F.col("jump")), 1).otherwise(0)
+        pts, _sa=clamp(sin_d("dec") * sin_d("lat") + cos_d("dec") * cos_d("lat") * F.cos("_ha"), -1.0, 1.0)
+    )
+    pts = staged(pts, alt=F.asin("_sa") * DEG)
+    cos_az = (sin_d("dec") - F.col("_sa") * sin_d("lat")) / (cos_d("alt") * cos_d("lat") + 1e-10)
+    pts = staged(pts, _z=acos_d(cos_az))
+    pts = staged(pts, az=F.when(F.sin("_ha") > 0, 360.0 - F.col("_z")).otherwise(F.col("_z")))
+    sx, sy, denom = _screen("alt", "az")
+    pts = staged(pts, sx=sx, sy=sy, ok=denom >= 1e-6)
+    pts = pts.select(
+        "session_id",
+        "source_id",
+        "step",
+        "sx",
+        "sy",
+        "ok",
+        (F.least(F.col("width"), F.col("height")) * 0.5).alias("jump"),
     )
-    pts = staged(pts, cuts=cut)
-    flat = pts.select("*", F.explode("link").alias("q")).where("q.ok and (q.joined or q.goes_on)")
-    seg = F.aggregate(F.slice("cuts", 1, F.col("q.step") + 1), F.lit(0), lambda a, x: a + x)
-    flat = flat.select(
-        "session_id", "source_id", "mag", "ra", "q.step", "q.sx", "q.sy", "q.gap", "jump", "q.joined", seg.alias("seg")
+    w = Window.partitionBy("session_id", "source_id").orderBy("step")
+    gap = F.abs(F.col("sx") - F.lag("sx").over(w)) + F.abs(F.col("sy") - F.lag("sy").over(w))
+    flat = pts.select(
+        "*",
+        F.lag("ok", 1, False).over(w).alias("joined"),
+        F.lead("ok", 1, False).over(w).alias("goes_on"),
+        gap.alias("gap"),
     )
+    is_cut = F.when(~F.col("joined") | (F.col("gap") > F.col("jump")), 1).otherwise(0)
+    flat = flat.withColumn("seg", F.sum(is_cut).over(w)).where("ok and (joined or goes_on)")
     inner = F.when(F.col("joined") & (F.col("gap") <= F.col("jump")), F.col("gap")).otherwise(0.0)
-    return flat.groupBy("session_id", "source_id", "mag", "ra", "seg").agg(
+    return flat.groupBy("session_id", "source_id", "seg").agg(
         F.count(F.lit(1)).alias("n_points"),
         F.min("step").alias("first_step"),
         F.max("step").alias("last_step"),

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("catalog_queries", "search_queries", "flagship")
+_MODULES = ("catalog_queries", "search_queries", "flagship", "radiance_queries", "terrain_queries")
 
 
 def load_all() -> None:

@@ -43,14 +43,17 @@ def rows_of(cols, rows):
 
 
 def compare(spark, con, fn, sql, sf_dir):
+    t0 = time.time()
     df = fn(spark, sf_dir)
     got = df.collect()
+    t1 = time.time()
     cols = df.columns
     if sql is None:
         return len(got), None, ""
     cur = con.execute(sql)
     ocols = [d[0] for d in cur.description]
     want = cur.fetchall()
+    print(f"    spark {t1 - t0:.1f}s oracle {time.time() - t1:.1f}s", end=" ")
     c1, r1 = rows_of(cols, [tuple(r) for r in got])
     c2, r2 = rows_of(ocols, want)
     if c1 != c2:
