@@ -149,36 +149,27 @@ def global_rank(
     return joined.withColumn(out, F.col("_start") + F.col("_local")).drop("_id", "_pid", "_local", "_start")
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()
-) -> DataFrame:
-    """Linear-interpolated quantiles: rows `(by…, prob, quantile)`.
-
-    Values are placed on a 4096 x 4096 grid between the group minimum and
-    maximum.  Two histogram passes (at most 4096 rows per group each) find the
-    cell of every wanted rank; only the rows of those cells, pre-aggregated by
-    value, are ordered at the end.  Nothing is sampled.  `by` must be a short
-    list of groups (map channels), since per-group extents are broadcast.
+def exact_order_stats(df: DataFrame, value: str, targets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The k-th smallest `value` per group: `targets` plus `value`, `rest`.
+
+    `targets` has the columns `by`, anything else, and `k` (0-based).  `rest`
+    is the index of the k-th row among rows of equal value.
+
+    Values lie on a 4096 x 4096 grid between the group minimum and maximum.
+    Two histogram passes (at most 4096 rows per group) find the cell of every
+    wanted rank; only rows of those cells, pre-aggregated by value, are
+    ordered at the end.  Nothing is sampled and no group is gathered whole.
+    The small tables between the passes are checkpointed, so `df` is read four
+    times and not once per nested use.
     """
-    by = list(by) or ["_g"]
-    base = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    if by == ["_g"]:
-        base = base.withColumn("_g", F.lit(0))
-    base = base.select(*by, F.col(value).cast("double").alias("_v"))
-    ext = base.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_n"))
-
-    prob_array = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (
-        ext.withColumn("prob", F.explode(prob_array))
-        .withColumn("_pos", F.col("prob") * (F.col("_n") - 1).cast("double"))
-        .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("_k", F.when(F.col("_side") == 0, F.floor("_pos")).otherwise(F.ceil("_pos")).cast("long"))
-        .select(*by, "prob", "_pos", "_side", "_k")
-    )
+    by = list(by)
+    base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    base = base.where(~F.isnan("_v"))
+    ext = cut_lineage(base.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     span = F.col("_hi") - F.col("_lo")
     grid = float(_BINS * _BINS)
     cell = F.when(span > 0, F.least(F.lit(grid - 1), F.floor((F.col("_v") - F.col("_lo")) / span * grid))).otherwise(0)
-    celled = base.join(F.broadcast(ext), by).select(*by, "_v", cell.cast("long").alias("_cell"))
+    celled = base.join(ext, by).select(*by, "_v", cell.cast("long").alias("_cell"))
     celled = celled.withColumn("_coarse", F.floor(F.col("_cell") / _BINS).cast("long"))
 
     def pick(hist: DataFrame, keys: list[str], wanted: DataFrame, bin_col: str) -> DataFrame:
@@ -188,21 +179,32 @@ def exact_quantiles(
         hit = hit.where((F.col("_k") >= F.col("_cum") - F.col("_c")) & (F.col("_k") < F.col("_cum")))
         return hit.withColumn("_k", F.col("_k") - (F.col("_cum") - F.col("_c"))).drop("_c", "_cum")
 
+    wanted = targets.withColumn("_k", F.col("k").cast("long"))
     coarse = celled.groupBy(*by, "_coarse").agg(F.count("_v").alias("_c"))
-    t1 = pick(coarse, by, targets, "_coarse")
-    inside = celled.join(F.broadcast(t1.select(*by, "_coarse").distinct()), [*by, "_coarse"])
+    t1 = cut_lineage(pick(coarse, by, wanted, "_coarse"))
+    inside = celled.join(t1.select(*by, "_coarse").distinct(), [*by, "_coarse"], "left_semi")
     fine = inside.groupBy(*by, "_coarse", "_cell").agg(F.count("_v").alias("_c"))
-    t2 = pick(fine, [*by, "_coarse"], t1, "_cell")
-    inside = celled.join(F.broadcast(t2.select(*by, "_cell").distinct()), [*by, "_cell"])
+    t2 = cut_lineage(pick(fine, [*by, "_coarse"], t1, "_cell"))
+    inside = celled.join(t2.select(*by, "_cell").distinct(), [*by, "_cell"], "left_semi")
     values = inside.groupBy(*by, "_cell", "_v").agg(F.count("_v").alias("_c"))
     t3 = pick(values, [*by, "_cell"], t2.drop("_coarse"), "_v")
+    return t3.select(*targets.columns, F.col("_v").alias("value"), F.col("_k").alias("rest"))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolated quantiles: rows `(by…, prob, quantile)`."""
+    keys = list(by) or ["_g"]
+    base = df if by else df.withColumn("_g", F.lit(0))
+    base = base.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, value)
+    n = base.groupBy(*keys).agg(F.count(value).alias("_n"))
+    t = n.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    t = t.withColumn("_pos", F.col("prob") * (F.col("_n") - 1).cast("double"))
+    t = t.withColumn("k", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
+    hit = exact_order_stats(base, value, t, keys)
+    out = hit.groupBy(*keys, "prob", "_pos").agg(F.min("value").alias("_a"), F.max("value").alias("_b"))
     frac = F.col("_pos") - F.floor("_pos")
-    low = F.max(F.when(F.col("_side") == 0, F.col("_v")))
-    high = F.max(F.when(F.col("_side") == 1, F.col("_v")))
-    out = t3.groupBy(*by, "prob", "_pos").agg(low.alias("_a"), high.alias("_b"))
     out = out.withColumn("quantile", F.col("_a") + (F.col("_b") - F.col("_a")) * frac)
-    keep = [c for c in by if c != "_g"]
-    return out.select(*keep, "prob", "quantile")
+    return out.select(*by, "prob", "quantile")
 
 
 def staged(df: DataFrame, **cols: Column) -> DataFrame:

@@ -62,7 +62,8 @@ def compare(spark, con, fn, sql, sf_dir):
         return len(got), False, f"rows {len(r1)} != {len(r2)}"
     bad = [(a, b) for a, b in zip(r1, r2) if a != b]
     if bad:
-        return len(got), False, f"{len(bad)} rows differ, first {c1}\n   {bad[0][0]}\n   {bad[0][1]}"
+        diff = sorted(set(r1) - set(r2))[:2], sorted(set(r2) - set(r1))[:2]
+        return len(got), False, f"{len(bad)} rows differ {c1}\n   {diff[0]}\n   {diff[1]}"[:1800]
     return len(got), True, ""
 
 
@@ -83,7 +84,7 @@ def main(argv):
         try:
             n, ok, why = compare(spark, con, fn, os_.get(name), sf_dir)
         except Exception as x:  # report and go on
-            n, ok, why = -1, False, f"{type(x).__name__}: {str(x)[:1500]}"
+            n, ok, why = -1, False, f"{type(x).__name__}: {str(x)[:700]}"
         bad += ok is False
         print(f"{'ok ' if ok else 'rows' if ok is None else 'BAD'} {name} rows={n} {time.time()-t:.1f}s {why}", flush=True)
     print("bad:", bad)
