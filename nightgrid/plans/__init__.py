@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("catalog_queries", "search_queries", "flagship", "radiance_queries", "terrain_queries", "weather_queries", "sky_queries")
+_MODULES = ("catalog_queries", "search_queries", "flagship", "radiance_queries", "terrain_queries", "weather_queries", "sky_queries", "object_queries")
 
 
 def load_all() -> None:
