@@ -298,14 +298,15 @@ def sampled(spark, sf, **how):
     return sm.sample_map(stars, sm.map_stencils(dust, "v", *n), *n, out="dust", **how)
 
 
-MAP = f"""{MDIM}, mn as (select min(v) as lo, max(v) as hi from map_cells), du as (select r, c, (v-lo)/(hi-lo) as v from map_cells, mn),
+MAP = f"""{MDIM}, mn as (select min(v) as lo, max(v) as hi from map_cells), du as (select cast(r*64+c as bigint) as key, (v-lo)/(hi-lo) as v from map_cells, mn),
 gl as (select source_id, {w360(f'atan2({_GY},{_GX})*{D}')} as lo, asin({clip1(_GZ)})*{D} as la from stars)"""
 
 
 def _bil(lon: str, lat: str) -> str:
     return f"""xy as (select source_id, {w360(lon)}/360e0*nc as x, greatest(0e0,least(1e0,1e0-({lat}+90e0)/180e0))*(nr-1) as y, nr, nc from gl, dim),
 xi as (select *, cast(floor(x) as bigint)%nc as c0, (cast(floor(x) as bigint)+1)%nc as c1, cast(floor(y) as bigint) as r0, least(nr-1,cast(floor(y) as bigint)+1) as r1, x-floor(x) as tx, y-floor(y) as ty from xy),
-sa as (select source_id, (a.v*(1e0-tx)+b.v*tx)*(1e0-ty)+(d.v*(1e0-tx)+e.v*tx)*ty as dust from xi join du a on a.r=r0 and a.c=c0 join du b on b.r=r0 and b.c=c1 join du d on d.r=r1 and d.c=c0 join du e on e.r=r1 and e.c=c1)"""
+xk as (select *, r0*64+c0 as k0, r0*64+c1 as k1, r1*64+c0 as k2, r1*64+c1 as k3 from xi),
+sa as (select source_id, (a.v*(1e0-tx)+b.v*tx)*(1e0-ty)+(d.v*(1e0-tx)+e.v*tx)*ty as dust from xk join du a on a.key=k0 join du b on b.key=k1 join du d on d.key=k2 join du e on e.key=k3)"""
 
 
 @query("sample_map")

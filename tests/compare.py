@@ -20,6 +20,8 @@ TABLES = (
 def duck(sf_dir: str):
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
+    con.execute("set memory_limit='6GB'")
+    con.execute("set temp_directory=''")  # an oracle that needs to spill is wrong
     for t in TABLES:
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     return con
