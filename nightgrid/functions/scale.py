@@ -150,10 +150,10 @@ def global_rank(
 
 
 def exact_order_stats(df: DataFrame, value: str, targets: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The k-th smallest `value` per group: `targets` plus `value`, `rest`.
+    """The nth smallest `value` per group: `targets` plus `value`, `rest`.
 
-    `targets` has the columns `by`, anything else, and `k` (0-based).  `rest`
-    is the index of the k-th row among rows of equal value.
+    `targets` has the columns `by`, anything else, and `nth` (0-based).  `rest`
+    is the index of the nth row among rows of equal value.
 
     Values lie on a 4096 x 4096 grid between the group minimum and maximum.
     Two histogram passes (at most 4096 rows per group) find the cell of every
@@ -163,6 +163,8 @@ def exact_order_stats(df: DataFrame, value: str, targets: DataFrame, by: Sequenc
     times and not once per nested use.
     """
     by = list(by)
+    if {"nth", "value", "rest"} & set(by):
+        raise ValueError("group columns may not be named nth, value or rest")
     base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     base = base.where(~F.isnan("_v"))
     ext = cut_lineage(base.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
@@ -179,7 +181,7 @@ def exact_order_stats(df: DataFrame, value: str, targets: DataFrame, by: Sequenc
         hit = hit.where((F.col("_k") >= F.col("_cum") - F.col("_c")) & (F.col("_k") < F.col("_cum")))
         return hit.withColumn("_k", F.col("_k") - (F.col("_cum") - F.col("_c"))).drop("_c", "_cum")
 
-    wanted = targets.withColumn("_k", F.col("k").cast("long"))
+    wanted = targets.withColumn("_k", F.col("nth").cast("long"))
     coarse = celled.groupBy(*by, "_coarse").agg(F.count("_v").alias("_c"))
     t1 = cut_lineage(pick(coarse, by, wanted, "_coarse"))
     inside = celled.join(t1.select(*by, "_coarse").distinct(), [*by, "_coarse"], "left_semi")
@@ -199,7 +201,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     n = base.groupBy(*keys).agg(F.count(value).alias("_n"))
     t = n.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     t = t.withColumn("_pos", F.col("prob") * (F.col("_n") - 1).cast("double"))
-    t = t.withColumn("k", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
+    t = t.withColumn("nth", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
     hit = exact_order_stats(base, value, t, keys)
     out = hit.groupBy(*keys, "prob", "_pos").agg(F.min("value").alias("_a"), F.max("value").alias("_b"))
     frac = F.col("_pos") - F.floor("_pos")

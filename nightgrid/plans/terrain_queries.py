@@ -249,15 +249,31 @@ oracle(
 
 @query("ascii_grid")
 def _(spark, sf):
-    """The elevation raster written as an ASCII grid and read back."""
+    """The elevation raster as ASCII tiles of ten rows, written and read back."""
     cells, grid = dem_grid(spark, sf)
     path = scratch_dir(spark, "asc")
-    rows = cells.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("a"))
-    body = rows.select("r", F.array_join(F.transform("a", lambda q: q["h"].cast("string")), " ").alias("value"))
-    head = [f"NCOLS {grid.ncols}", f"NROWS {grid.nrows}", "XLLCORNER 0", "YLLCORNER 0", "CELLSIZE 1", "NODATA_VALUE -9999"]
-    lines = spark.createDataFrame([(i - len(head), t) for i, t in enumerate(head)], "r int, value string").unionByName(body)
-    lines.coalesce(1).sortWithinPartitions("r").select("value").write.text(path)
-    return rounded(grids.read_ascii_grid(spark, path).select("r", "c", "h"))
+    cells = cells.withColumn("tile", F.floor(F.col("r") / 10).cast("int"))
+    rows = cells.groupBy("tile", "r").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("a"))
+    body = rows.select("tile", "r", F.array_join(F.transform("a", lambda q: q["h"].cast("string")), " ").alias("value"))
+    size = cells.groupBy("tile").agg(F.countDistinct("r").cast("string").alias("n"))
+    head = size.select(
+        "tile",
+        F.posexplode(
+            F.array(
+                F.lit(f"NCOLS {grid.ncols}"),
+                F.concat(F.lit("NROWS "), F.col("n")),
+                F.lit("XLLCORNER 0"),
+                F.lit("YLLCORNER 0"),
+                F.lit("CELLSIZE 1"),
+                F.lit("NODATA_VALUE -9999"),
+            )
+        ).alias("i", "value"),
+    ).select("tile", (F.col("i") - 6).alias("r"), "value")
+    lines = head.unionByName(body).repartition("tile").sortWithinPartitions("tile", "r")
+    lines.select("tile", "value").write.partitionBy("tile").text(path)
+    back = grids.read_ascii_grid(spark, f"{path}/tile=*")
+    tile = F.regexp_extract("path", r"tile=(\d+)", 1).cast("int")
+    return rounded(back.select((tile * 10 + F.col("r")).alias("r"), "c", "h"))
 
 
 oracle("ascii_grid", "dem_cells", f"select r, c, {c6('h','h')} from dem_cells")
