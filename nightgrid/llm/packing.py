@@ -3,8 +3,8 @@
 Pieces are dealt to partitions and packed there.  A dual-feasible function
 turns the piece lengths into a lower bound on any packing; a partition whose
 bin count equals its bound is final.  The others have a gap: their bins that are
-full stay, the documents of their other bins are exchanged between the gap
-partitions and best-fit decreasing runs again, over ever fewer partitions.
+nearly full stay, the documents of their other bins are exchanged between the
+gap partitions and best-fit decreasing runs again, over ever fewer partitions.
 """
 
 from __future__ import annotations
@@ -99,6 +99,34 @@ def pieces(docs: DataFrame, vocab: str, end_id: int = 2, capacity: int = CAPACIT
     return base.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+def settled(bins: np.ndarray, size: np.ndarray, used: int, capacity: int) -> np.ndarray:
+    """Bins that a partition with a gap keeps.
+
+    The fullest stay, as long as they waste a quarter of a bin together.  As
+    many of them as have to go, those of the smallest pieces, go too: small
+    pieces are what the next best fit closes its bins with.
+    """
+    filled = np.bincount(bins, weights=size, minlength=used).astype(np.int64)
+    order = np.argsort(-filled, kind="stable")
+    keep = np.zeros(used, bool)
+    keep[order[np.cumsum(capacity - filled[order]) <= capacity // 4]] = True
+    pieces_of = np.bincount(bins, minlength=used) * keep
+    keep[np.argsort(-pieces_of, kind="stable")[: used - int(keep.sum())]] = False
+    return keep
+
+
+def _fitter(capacity: int, turn: int, last: bool):
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        size = frame["size"].to_numpy()
+        b, offset, used = best_fit_decreasing(size, capacity)
+        final = last or used == lower_bound(size, capacity)
+        keep = np.ones(used, bool) if final else settled(b, size, used, capacity)
+        seq = (turn << 56) + (int(frame["deal"].iloc[0]) << 28) + b
+        return pd.DataFrame({"uid": frame["uid"], "size": frame["size"], "seq": seq, "place": offset, "kept": keep[b]})
+
+    return fit
+
+
 def pack_sequences(parts: DataFrame, capacity: int = CAPACITY, deal: int = DEAL_PIECES, rounds: int = ROUNDS) -> DataFrame:
     """`parts` (with a column length of 1..capacity) plus sequence_id and offset.
 
@@ -116,17 +144,8 @@ def pack_sequences(parts: DataFrame, capacity: int = CAPACITY, deal: int = DEAL_
     for turn in range(rounds if n else 0):
         last = turn == rounds - 1 or n == 1
 
-        def fit(frame: pd.DataFrame, turn=turn, last=last) -> pd.DataFrame:
-            size = frame["size"].to_numpy()
-            b, offset, used = best_fit_decreasing(size, capacity)
-            filled = np.bincount(b, weights=size, minlength=used).astype(np.int64)
-            final = last or used == lower_bound(size, capacity)
-            keep = np.ones(used, bool) if final else filled == capacity
-            seq = (turn << 56) + (int(frame["deal"].iloc[0]) << 28) + b
-            return pd.DataFrame({"uid": frame["uid"], "size": frame["size"], "seq": seq, "place": offset, "kept": keep[b]})
-
         dealt = todo.withColumn("deal", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(n)).cast("long"))
-        done = dealt.groupBy("deal").applyInPandas(fit, "uid long, size int, seq long, place long, kept boolean")
+        done = dealt.groupBy("deal").applyInPandas(_fitter(capacity, turn, last), "uid long, size int, seq long, place long, kept boolean")
         done = stored(done, f"packing-round-{turn}")
         won = done.where("kept").select("uid", "seq", "place")
         placed = won if placed is None else placed.unionByName(won)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from nightgrid.llm.text import from_raw, raw
 
 VOCAB_FILE = "byte_bpe_50k.json"
-CACHED_CHUNKS = 400_000  # bounds the memory of a Python worker
+CACHED_CHUNKS = 250_000  # bounds the memory of a Python worker
 OTHER, LETTER, DIGIT, PUNCT, SPACE, LINE, BLANK, QUOTE, HIGH = range(9)
 WIDE_SPACE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}]"
 

@@ -1,5 +1,6 @@
 """Token ids, packed files and sequence packing against plain versions."""
 
+import io
 import random
 import zlib
 
@@ -42,7 +43,12 @@ def test_pack_round_trip_and_random_access(bits):
     rng = np.random.default_rng(bits)
     sizes = [1, 0, 700, 5000, 64, 63]
     ids = rng.integers(0, 1 << bits, sum(sizes), dtype=np.uint64).astype(np.uint32)
-    r = bitpack.Reader(bitpack.to_bytes([1, None, 3, 4, 5, 6], sizes, ids, bits, block=256))
+    file = io.BytesIO()
+    out = bitpack.Writer(file, bits, block=256)
+    out.add([1, None, 3], sizes[:3], ids[: sum(sizes[:3])])
+    out.add([4, 5, 6], sizes[3:], ids[sum(sizes[:3]) :])
+    out.close()
+    r = bitpack.Reader(file)
     ends = np.cumsum(sizes)
     for k in range(6):
         assert r.document(k).tolist() == ids[ends[k] - sizes[k] : ends[k]].tolist()
