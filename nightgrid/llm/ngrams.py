@@ -87,44 +87,57 @@ def outline_grams(n: int, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def distinct_pairs(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def counted_pairs(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, row) pairs and how often each occurs."""
     order = np.lexsort((keys, rows))
     keys, rows = keys[order], rows[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
-    return keys[new], rows[new]
+    at = np.flatnonzero(new)
+    return keys[at], rows[at], np.diff(np.append(at, len(keys)))
+
+
+def at_levels(keys: np.ndarray, rows: np.ndarray, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs; "so often or more" is an indicator of its own, marked in the key's top byte."""
+    keys, rows, n = counted_pairs(keys, rows)
+    parts = [(keys[n >= least] | np.uint64(i << 56), rows[n >= least]) for i, least in enumerate(levels)]
+    return np.concatenate([k for k, _ in parts]), np.concatenate([r for _, r in parts])
 
 
 class Lookup:
-    """Positions of keys in a sorted set, with a small table that drops most others first."""
+    """Positions of keys in a sorted set, with a small table that drops most others first.
+
+    With more than one level, keys have 56 bits and a level in the top byte.
+    """
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.sort(keys.astype(np.uint64))
+    def __init__(self, keys: np.ndarray, levels: tuple[int, ...] = (1,)):
+        self.keys, self.levels = np.sort(keys.astype(np.uint64)), levels
+        self.low = np.uint64((1 << 56) - 1 if len(levels) > 1 else (1 << 64) - 1)
         self.sieve = np.zeros(1 << SIEVE, bool)
-        self.sieve[self._slot(self.keys)] = True
+        self.sieve[self._slot(self.keys & self.low)] = True
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIEVE)
 
     def present(self, keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (row, feature number) of the keys that are in the set."""
+        """Distinct (row, feature number) of the keys that are in the set, by row."""
         if not len(self.keys):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         on = np.flatnonzero(self.sieve[self._slot(keys)])
-        keys, rows = keys[on], rows[on]
+        keys, rows = at_levels(keys[on], rows[on], self.levels)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         hit = self.keys[at] == keys
-        pair = np.unique(rows[hit] * len(self.keys) + at[hit])
+        pair = np.sort(rows[hit] * len(self.keys) + at[hit])
         return pair // len(self.keys), pair % len(self.keys)
 
 
-def choose_features(sample: DataFrame, extract: Extract, most: int, least_docs: int) -> np.ndarray:
+def choose_features(sample: DataFrame, extract: Extract, most: int, least_docs: int, least_chi: float = 0.0, levels: tuple[int, ...] = (1,)) -> np.ndarray:
     """Keys of the `most` features by chi-square among those in `least_docs` texts or more."""
 
     def count(batches):
         for batch in slices(batches):
-            keys, rows = distinct_pairs(*extract(batch.column(0)))
+            keys, rows = at_levels(*extract(batch.column(0)), levels)
             good = batch.column(1).to_numpy()[rows] == 1
             uniq, inv = np.unique(keys, return_inverse=True)
             pos = np.bincount(inv[good], minlength=len(uniq))
@@ -138,14 +151,14 @@ def choose_features(sample: DataFrame, extract: Extract, most: int, least_docs:
     grams = sample.mapInArrow(count, "key long, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
     seen = F.col("a") + F.col("b")
     gap = F.col("a") * (n - p) - F.col("b") * p
-    chi = gap * gap / (seen * (n - seen + 0.5))
-    best = grams.where(seen >= least_docs).orderBy(chi.desc(), "key").limit(most).select("key").collect()
+    chi = gap * gap * n / (seen * (n - seen + 0.5) * p * (n - p))
+    best = grams.where((seen >= least_docs) & (chi >= least_chi)).orderBy(chi.desc(), "key").limit(most).select("key").collect()
     return np.sort(np.array([r["key"] for r in best], np.int64).view(np.uint64))
 
 
-def sample_matrix(sample: DataFrame, extract: Extract, keys: np.ndarray, also: Callable[[pa.Array], pa.Array] | None = None):
+def sample_matrix(sample: DataFrame, extract: Extract, keys: np.ndarray, also: Callable[[pa.Array], pa.Array] | None = None, levels: tuple[int, ...] = (1,)):
     """Label, features and (with `also`) features of a changed text of each sampled row; the sample's bound bounds it."""
-    look = Lookup(keys)
+    look = Lookup(keys, levels)
 
     def rows_of(texts: pa.Array) -> list[bytes]:
         row, feature = look.present(*extract(texts))
@@ -163,18 +176,18 @@ def sample_matrix(sample: DataFrame, extract: Extract, keys: np.ndarray, also: C
     return np.array([r["label"] for r in got]), take("x"), take("y")
 
 
-def score_texts(docs: DataFrame, extract: Extract, keys: np.ndarray, weights: np.ndarray, link: Callable[[np.ndarray], np.ndarray], out: str = "score") -> DataFrame:
+def score_texts(docs: DataFrame, extract: Extract, keys: np.ndarray, weights: np.ndarray, link: Callable[[np.ndarray], np.ndarray], levels: tuple[int, ...] = (1,)) -> DataFrame:
     """doc_id and the link of the summed weights of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast((keys, weights))  # as many features as the model may have
     base = id_text(docs)
 
     def score(batches):
         keys, weights = shared.value
-        look = Lookup(keys)
+        look = Lookup(keys, levels)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(link(row_sums(look, extract, weights, batch.column(1))))], names=["doc_id", out])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(link(row_sums(look, extract, weights, batch.column(1))))], names=["doc_id", "score"])
 
-    return base.mapInArrow(score, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, {out} double")
+    return base.mapInArrow(score, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def row_sums(look: Lookup, extract: Extract, weights: np.ndarray, texts: pa.Array) -> np.ndarray:

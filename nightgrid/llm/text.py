@@ -59,7 +59,7 @@ def from_raw(data: np.ndarray, off: np.ndarray) -> pa.Array:
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of all texts, and where each text's words start."""
-    arr = pc.fill_null(texts, "").cast(pa.large_string())
+    arr = from_raw(*raw(texts))  # starts at 0: ascii_lower misreads slices
     if lower:
         arr = pc.ascii_lower(arr)
     lists = pc.ascii_split_whitespace(arr)

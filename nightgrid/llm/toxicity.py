@@ -1,6 +1,6 @@
 """Counterfactually regularised toxicity classifier.
 
-Logistic regression over indicators of byte 5-grams.  Each labelled text that
+Logistic regression over indicators of how often byte 5-grams occur.  Each labelled text that
 mentions a group is paired with the same text with the group swapped for
 another one; the squared difference of their logits is penalised, so a group's
 name alone neither raises nor lowers the score.
@@ -23,6 +23,8 @@ GRAM = 5
 SAMPLE = 10_000  # labelled texts that the model is fitted on, at most
 FEATURES = 3_000
 LEAST_DOCS = 3
+LEVELS = (1, 2, 4)  # an indicator each for so many occurrences or more
+LEAST_CHI = 20.0  # chance alone passes this for about one in 100,000 features
 #: Neutral mentions; the terms of one group stand in for each other, each for the next one.
 IDENTITIES = (
     ("women", "men", "girls", "boys"),
@@ -96,8 +98,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: Column, swap: float =
     """
     extract = partial(byte_grams, GRAM)
     rows = labelled_sample(docs, labels, label, fold, sample)
-    keys = choose_features(rows, extract, features, LEAST_DOCS)
-    y, x, other = sample_matrix(rows, extract, keys, partial(swapped, groups=groups))
+    keys = choose_features(rows, extract, features, LEAST_DOCS, LEAST_CHI, LEVELS)
+    y, x, other = sample_matrix(rows, extract, keys, partial(swapped, groups=groups), LEVELS)
     if not len(keys):
         rate = float(y.mean()) if len(y) else 0.5
         return Model(keys, np.zeros(0), logit(min(max(rate, 0.001), 0.999)))
@@ -108,7 +110,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: Column, swap: float =
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score in 0..1 of every whole text; empty and null texts get the bias alone."""
     bias = model.bias
-    return score_texts(docs, partial(byte_grams, GRAM), model.keys, model.weights, lambda s: 1 / (1 + np.exp(-np.clip(s + bias, -40, 40))))
+    return score_texts(docs, partial(byte_grams, GRAM), model.keys, model.weights, lambda s: 1 / (1 + np.exp(-np.clip(s + bias, -40, 40))), LEVELS)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.3, **fit) -> DataFrame:

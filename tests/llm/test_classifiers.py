@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nightgrid.llm import quality, toxicity
 from nightgrid.llm.ngrams import byte_grams, outline_grams
 from nightgrid.llm.queries import QUERIES
+from nightgrid.llm.text import slices
 
 SF = "/root/testdata/sf0.1"
 SMALL = "/root/testdata/sf0.001"
@@ -50,6 +51,19 @@ def test_byte_grams_match_a_plain_loop():
     assert list(zip(rows.tolist(), keys.tolist())) == want
 
 
+def test_slices_read_like_whole_batches():
+    texts = pa.array([f"Word{i} ÄB c{i % 7} " * (i % 40) for i in range(900)] + [None])
+    for extract in (lambda t: byte_grams(5, t), lambda t: outline_grams(3, t)):
+        keys, rows = extract(texts)
+        at, n = [], 0
+        for part in slices([pa.record_batch({"text": texts})], max_bytes=20_000):
+            k, r = extract(part.column(0))
+            at.append((k, r + n))
+            n += part.num_rows
+        assert n == 901 and len(at) > 5
+        assert sorted(zip(np.concatenate([a[1] for a in at]).tolist(), np.concatenate([a[0] for a in at]).tolist())) == sorted(zip(rows.tolist(), keys.tolist()))
+
+
 def test_outline_grams_see_shape_and_repeats():
     def grams(t):
         return set(outline_grams(3, pa.array([t]))[0].tolist())
