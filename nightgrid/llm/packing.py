@@ -1,10 +1,10 @@
 """Best-fit-decreasing packing whose bin counts are certified by lower bounds.
 
 Pieces are dealt to partitions and packed there.  A dual-feasible function
-turns the piece lengths into a lower bound on any packing; a partition whose
-bin count equals its bound is final.  The others have a gap: their bins that are
-nearly full stay, the documents of their other bins are exchanged between the
-gap partitions and best-fit decreasing runs again, over ever fewer partitions.
+turns the piece lengths into a lower bound on any packing.  A partition whose
+bin count equals its bound is certified and offers only its unfilled bins.  The
+others have a gap and exchange more of their documents.  Best-fit decreasing
+runs again on what is exchanged, over ever fewer partitions, down to one task.
 """
 
 from __future__ import annotations
@@ -99,17 +99,20 @@ def pieces(docs: DataFrame, vocab: str, end_id: int = 2, capacity: int = CAPACIT
     return base.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def settled(bins: np.ndarray, size: np.ndarray, used: int, capacity: int) -> np.ndarray:
-    """Bins that a partition with a gap keeps.
+def settled(bins: np.ndarray, size: np.ndarray, used: int, capacity: int, certified: bool) -> np.ndarray:
+    """Bins that a partition keeps when others are still to be filled.
 
-    The fullest stay, as long as they waste a quarter of a bin together.  As
-    many of them as have to go, those of the smallest pieces, go too: small
+    The fullest stay, as long as they waste a quarter of a bin together.  A
+    certified partition gives up only the rest, whose room others can use.
+    One with a gap gives up as many again, those of the smallest pieces: small
     pieces are what the next best fit closes its bins with.
     """
     filled = np.bincount(bins, weights=size, minlength=used).astype(np.int64)
     order = np.argsort(-filled, kind="stable")
     keep = np.zeros(used, bool)
     keep[order[np.cumsum(capacity - filled[order]) <= capacity // 4]] = True
+    if certified:
+        return keep
     pieces_of = np.bincount(bins, minlength=used) * keep
     keep[np.argsort(-pieces_of, kind="stable")[: used - int(keep.sum())]] = False
     return keep
@@ -119,8 +122,8 @@ def _fitter(capacity: int, turn: int, last: bool):
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         size = frame["size"].to_numpy()
         b, offset, used = best_fit_decreasing(size, capacity)
-        final = last or used == lower_bound(size, capacity)
-        keep = np.ones(used, bool) if final else settled(b, size, used, capacity)
+        certified = used == lower_bound(size, capacity)
+        keep = np.ones(used, bool) if last else settled(b, size, used, capacity, certified)
         seq = (turn << 56) + (int(frame["deal"].iloc[0]) << 28) + b
         return pd.DataFrame({"uid": frame["uid"], "size": frame["size"], "seq": seq, "place": offset, "kept": keep[b]})
 
@@ -131,8 +134,7 @@ def pack_sequences(parts: DataFrame, capacity: int = CAPACITY, deal: int = DEAL_
     """`parts` (with a column length of 1..capacity) plus sequence_id and offset.
 
     Every piece gets one place; a sequence is gapless from 0.  Rounds end when
-    no gap is left or one task held all that remained.  The bound of what remains certifies the count
-    up to the gap of the last round.
+    nothing is exchanged or one task held all that remained.
     """
     fixed = stored(parts, "packing-pieces").withColumn("_uid", F.monotonically_increasing_id())
     fixed = stored(fixed, "packing-numbered")
