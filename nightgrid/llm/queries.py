@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightgrid.llm import bitpack, decontaminate, packing, quality, rules, toxicity
+from nightgrid.llm import bitpack, decontaminate, packing, quality, rules, toxicity, web_queries
 from nightgrid.llm.text import crc_mod
 from nightgrid.llm.tokens import vocab_path
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(web_queries.QUERIES)
+ORACLES: dict[str, str] = dict(web_queries.ORACLES)
 
 
 def query(fn):
