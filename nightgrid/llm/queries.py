@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightgrid.llm import bitpack, decontaminate, packing, quality, rules, toxicity, web_queries
+from nightgrid.llm import bitpack, decontaminate, jaccard, packing, quality, rules, toxicity, web_queries
 from nightgrid.llm.text import crc_mod
 from nightgrid.llm.tokens import vocab_path
 
@@ -44,6 +44,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans")
 
 
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(packing.pieces(table(spark, sf_dir, "documents"), vocab_path()))
