@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightgrid.llm import bitpack, decontaminate, jaccard, packing, quality, rules, toxicity, web_queries
+from nightgrid.llm import bitpack, ctw, decontaminate, jaccard, packing, quality, rules, toxicity, web_queries
 from nightgrid.llm.text import crc_mod
 from nightgrid.llm.tokens import vocab_path
 
@@ -38,6 +38,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) == 1)
 
 
+@query
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
