@@ -242,7 +242,8 @@ def linked_texts(texts: DataFrame, threshold: float = THRESHOLD, recall: float =
             sets = pa.array([s.tobytes() for s in distinct_shingles(batch.column(3))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], sets], names=["key", "group", "n", "grams"])
 
-    wanted = texts.join(sized, "key").select("key", "group", "n", "text").dropDuplicates(["key"])
+    # the same plan at every size: a table of components that happens to be small is not broadcast
+    wanted = texts.join(sized.hint("merge"), "key").select("key", "group", "n", "text").dropDuplicates(["key"])
     shingled = wanted.mapInArrow(grams, "key binary, group long, n long, grams binary")
     rows = _tiled(shingled, "group", "n", tile).select("group", "lo", "hi", "part", "key", "grams")
     exact = stored(rows.mapInArrow(_by_tile(_verify(threshold)), "a binary, b binary, links long"), "jaccard-links")
@@ -280,6 +281,6 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     ids = keyed.select(F.col(key).alias("key"), F.col(row).alias("row"), F.col("doc_id"))
     grouped = ids.join(linked.select("key", "root"), "key", "left").groupBy(F.coalesce("root", "key").alias("root"))
     chosen = grouped.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "key")).alias("c")).select(F.col("c.key").alias(key), F.col("c.row").alias(row))
-    kept = keyed.join(chosen, [key, row], "left_semi")
+    kept = keyed.join(chosen.hint("merge"), [key, row], "left_semi")
     order = Window.partitionBy(key, row).orderBy(row)  # rows that are equal in every column
     return kept.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).select(*docs.columns)
