@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 from nightgrid.llm.storage import shared_folder, stored
 from nightgrid.llm.text import codes, id_text, raw, slices, split_words
 
-DEPTH = 5
+DEPTH = 4
 BLOCK_BYTES = 16 << 20
 END = 10
 
