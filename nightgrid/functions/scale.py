@@ -3,7 +3,7 @@
 * `first_per_key`   - keep one row per key by an order, map-side combined
 * `sized_join`      - broadcast only after the small side was counted, salted shuffle join beyond
 * `global_rank`     - exact total order position without a single-task window
-* `exact_quantiles` - exact percentiles through histogram refinement, any row count
+* `exact_quantiles` - exact percentiles through counted range partitions, any row count and type
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ from pyspark.sql.window import Window
 
 BROADCAST_BYTES = 32 << 20
 HOT_ROWS = 1_000_000
-MAX_SALTS = 256
-_BINS = 4096
+NULL_SALTS = 64  # keys that are NULL match nothing and may lie anywhere
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -85,15 +84,16 @@ def sized_join(
     if fits_broadcast(small, max_bytes):
         return big.join(F.broadcast(small), on, how)
     hot = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    hot = hot.select(*on, F.least(F.lit(MAX_SALTS), F.ceil(F.col("_n") / hot_rows)).cast("int").alias("_salts"))
+    hot = hot.select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
     no_key = F.lit(False)
     for c in on:
         no_key = no_key | F.col(c).isNull()
-    spread = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])
+    # by row position: equal rows of a hot key spread as well, and any column type will do
+    spread = F.monotonically_increasing_id()
     left = big.join(F.broadcast(hot), on, "left")
     left = left.withColumn(
         "_salt",
-        F.when(no_key, F.pmod(spread, F.lit(MAX_SALTS)))
+        F.when(no_key, F.pmod(spread, F.lit(NULL_SALTS)))
         .when(F.col("_salts").isNotNull(), F.pmod(spread, F.col("_salts")))
         .otherwise(0)
         .cast("int"),
@@ -153,57 +153,56 @@ def exact_order_stats(df: DataFrame, value: str, targets: DataFrame, by: Sequenc
     """The nth smallest `value` per group: `targets` plus `value`, `rest`.
 
     `targets` has the columns `by`, anything else, and `nth` (0-based).  `rest`
-    is the index of the nth row among rows of equal value.
-
-    Values lie on a 4096 x 4096 grid between the group minimum and maximum.
-    Two histogram passes (at most 4096 rows per group) find the cell of every
-    wanted rank; only rows of those cells, pre-aggregated by value, are
-    ordered at the end.  Nothing is sampled and no group is gathered whole.
-    The small tables between the passes are checkpointed, so `df` is read four
-    times and not once per nested use.
+    is the index of the nth row among rows of equal value.  The value keeps its
+    type, so long ids and structs are ordered as they are; NULL and NaN do not
+    count.
+
+    Equal values are counted first.  Distinct ones are range partitioned by
+    (group, value), so neither an outlier nor a large group lands in one task;
+    the row counts of the pieces (one per partition and group in it) say in which
+    piece a wanted row lies, and only that piece is joined, on its own number.
     """
     by = list(by)
     if {"nth", "value", "rest"} & set(by):
         raise ValueError("group columns may not be named nth, value or rest")
-    base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    base = base.where(~F.isnan("_v"))
-    ext = cut_lineage(base.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
-    span = F.col("_hi") - F.col("_lo")
-    grid = float(_BINS * _BINS)
-    cell = F.when(span > 0, F.least(F.lit(grid - 1), F.floor((F.col("_v") - F.col("_lo")) / span * grid))).otherwise(0)
-    celled = base.join(ext, by).select(*by, "_v", cell.cast("long").alias("_cell"))
-    celled = celled.withColumn("_coarse", F.floor(F.col("_cell") / _BINS).cast("long"))
-
-    def pick(hist: DataFrame, keys: list[str], wanted: DataFrame, bin_col: str) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy(bin_col)
-        hist = hist.withColumn("_cum", F.sum("_c").over(w))
-        hit = wanted.join(hist, keys)
-        hit = hit.where((F.col("_k") >= F.col("_cum") - F.col("_c")) & (F.col("_k") < F.col("_cum")))
-        return hit.withColumn("_k", F.col("_k") - (F.col("_cum") - F.col("_c"))).drop("_c", "_cum")
-
-    wanted = targets.withColumn("_k", F.col("nth").cast("long"))
-    coarse = celled.groupBy(*by, "_coarse").agg(F.count("_v").alias("_c"))
-    t1 = cut_lineage(pick(coarse, by, wanted, "_coarse"))
-    inside = celled.join(t1.select(*by, "_coarse").distinct(), [*by, "_coarse"], "left_semi")
-    fine = inside.groupBy(*by, "_coarse", "_cell").agg(F.count("_v").alias("_c"))
-    t2 = cut_lineage(pick(fine, [*by, "_coarse"], t1, "_cell"))
-    inside = celled.join(t2.select(*by, "_cell").distinct(), [*by, "_cell"], "left_semi")
-    values = inside.groupBy(*by, "_cell", "_v").agg(F.count("_v").alias("_c"))
-    t3 = pick(values, [*by, "_cell"], t2.drop("_coarse"), "_v")
-    return t3.select(*targets.columns, F.col("_v").alias("value"), F.col("_k").alias("rest"))
+    spark = df.sparkSession
+    base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_os_v"))
+    if isinstance(base.schema["_os_v"].dataType, (T.DoubleType, T.FloatType)):
+        base = base.where(~F.isnan("_os_v"))
+    counts = base.groupBy(*by, "_os_v").agg(F.count(F.lit(1)).alias("_os_c"))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pieces = cut_lineage(counts.repartitionByRange(n, *by, "_os_v").withColumn("_os_p", F.spark_partition_id()))
+    sizes = pieces.groupBy(*by, "_os_p").agg(F.sum("_os_c").alias("_os_n"))
+    wanted = targets.withColumn("_os_k", F.col("nth").cast("long"))
+    if by:
+        before = Window.partitionBy(*by).orderBy("_os_p").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.withColumn("_os_start", F.coalesce(F.sum("_os_n").over(before), F.lit(0)))
+        located = wanted.join(starts, by)
+    else:  # one row per partition
+        rows, at, spots = sorted(sizes.collect(), key=lambda r: r["_os_p"]), 0, []
+        for r in rows:
+            spots.append(F.struct(F.lit(r["_os_p"]).alias("_os_p"), F.lit(r["_os_n"]).alias("_os_n"), F.lit(at).cast("long").alias("_os_start")))
+            at += r["_os_n"]
+        spots = spots or [F.struct(F.lit(-1).alias("_os_p"), F.lit(0).cast("long").alias("_os_n"), F.lit(0).cast("long").alias("_os_start"))]
+        located = wanted.select("*", F.inline(F.array(*spots)))
+    located = located.where((F.col("_os_k") >= F.col("_os_start")) & (F.col("_os_k") < F.col("_os_start") + F.col("_os_n")))
+    located = located.withColumn("_os_k", F.col("_os_k") - F.col("_os_start")).drop("_os_start", "_os_n")
+    upto = Window.partitionBy("_os_p", *by).orderBy("_os_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = pieces.withColumn("_os_cum", F.sum("_os_c").over(upto))
+    hit = ranked.join(located, [*by, "_os_p"]).where((F.col("_os_k") >= F.col("_os_cum") - F.col("_os_c")) & (F.col("_os_k") < F.col("_os_cum")))
+    return hit.select(*targets.columns, F.col("_os_v").alias("value"), (F.col("_os_k") - F.col("_os_cum") + F.col("_os_c")).alias("rest"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles: rows `(by…, prob, quantile)`."""
-    keys = list(by) or ["_g"]
-    base = df if by else df.withColumn("_g", F.lit(0))
-    base = base.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, value)
-    n = base.groupBy(*keys).agg(F.count(value).alias("_n"))
+    base = df.select(*by, F.col(value).cast("double").alias(value))
+    base = base.where(F.col(value).isNotNull() & ~F.isnan(value))
+    n = base.groupBy(*by).agg(F.count(value).alias("_n")).where("_n > 0")
     t = n.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     t = t.withColumn("_pos", F.col("prob") * (F.col("_n") - 1).cast("double"))
     t = t.withColumn("nth", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
-    hit = exact_order_stats(base, value, t, keys)
-    out = hit.groupBy(*keys, "prob", "_pos").agg(F.min("value").alias("_a"), F.max("value").alias("_b"))
+    hit = exact_order_stats(base, value, t, by)
+    out = hit.groupBy(*by, "prob", "_pos").agg(F.min("value").alias("_a"), F.max("value").alias("_b"))
     frac = F.col("_pos") - F.floor("_pos")
     out = out.withColumn("quantile", F.col("_a") + (F.col("_b") - F.col("_a")) * frac)
     return out.select(*by, "prob", "quantile")
@@ -227,9 +226,17 @@ def chain(array: Column, *steps) -> Column:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all task slots when a few input files would feed a job whose rows
-    each expand to much work.  Inputs with many files stay as they are."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= slots:
+    """Deal a small parameter side to all task slots before each of its rows
+    expands to much work.
+
+    Only a frame whose scans hold less than one split per slot is dealt anew;
+    whatever has more data than that already comes in enough partitions, and
+    files are judged by their bytes, not by their number.
+    """
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if int(size.toString()) >= slots * split:
         return df
     return df.repartition(slots, *keys)

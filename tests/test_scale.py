@@ -33,3 +33,39 @@ def test_exact_quantiles(spark):
     for k, g in df.toPandas().groupby("k"):
         for p in (0.01, 0.5, 0.995):
             assert abs(got[(k, p)] - np.quantile(g.v, p)) < 1e-9
+
+
+def test_order_stats_keep_types_and_outliers(spark):
+    base = 4_600_000_000_000_000_000
+    rows = [(i % 3, base + i * 3, float(i)) for i in range(999)] + [(0, base - 1, 1e30), (1, base - 2, float("nan")), (2, base - 3, None)]
+    df = spark.createDataFrame(rows, "k int, id long, v double")
+    wanted = spark.createDataFrame([(0, 7), (1, 0), (2, 333)], "k int, nth long")
+    got = {r.k: r.value for r in scale.exact_order_stats(df, "id", wanted, ["k"]).collect()}
+    by_key = {k: sorted(r[1] for r in rows if r[0] == k) for k in range(3)}
+    assert got == {0: by_key[0][7], 1: by_key[1][0], 2: by_key[2][333]}
+    q = {r.prob: r.quantile for r in scale.exact_quantiles(df, "v", [0.0, 0.5, 1.0]).collect()}
+    values = [r[2] for r in rows if r[2] is not None and r[2] == r[2]]
+    assert q == {0.0: 0.0, 0.5: np.quantile(values, 0.5), 1.0: 1e30}
+    assert scale.exact_quantiles(df.limit(0), "v", [0.5]).count() == 0
+
+
+def test_quantiles_never_broadcast_the_data(spark):
+    df = skewed(spark, 50_000)
+    for frame in (scale.exact_quantiles(df, "v", [0.5]), scale.exact_quantiles(df, "v", [0.5], ["k"])):
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_halo_rank_of_long_ids(spark):
+    from nightgrid.operators.photometry import star_photometry
+
+    rows = [(1, 4_600_000_000_000_000_000 + i, 1.0, 9.0) for i in range(200)]
+    out = star_photometry(spark.createDataFrame(rows, "field_id int, source_id long, mag double, limit double"))
+    assert out.where("halo_bin > 0").count() == 10
+
+
+def test_sized_join_spreads_equal_rows_and_maps(spark):
+    big = spark.range(2000).select(F.lit(1).alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    small = spark.createDataFrame([(1, "x")], "k int, w string")
+    assert scale.sized_join(big, small, ["k"], max_bytes=1, hot_rows=100).count() == 2000
