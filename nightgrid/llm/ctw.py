@@ -38,7 +38,7 @@ from nightgrid.llm.storage import shared_folder, stored
 from nightgrid.llm.text import codes, id_text, raw, slices, split_words
 
 DEPTH = 4
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 END = 10
 
 
