@@ -237,6 +237,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     slots = spark.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    if int(size.toString()) >= slots * split:
+    if int(str(size)) >= slots * split:
         return df
     return df.repartition(slots, *keys)

@@ -6,6 +6,7 @@ Canonical columns: `source_id` long, `ra`, `dec` double, `mag` float-like,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -171,12 +172,11 @@ def magnitude_slice(df: DataFrame, lo: float | None, hi: float, limit: int | Non
 
 
 def _seed_ranges(lo: float, hi: float, step: float) -> list[tuple[float, float]]:
-    step, out, at = max(0.05, step), [], lo
-    while at + 1e-9 < hi:
-        nxt = min(hi, at + step)
-        out.append((at, nxt))
-        at = nxt
-    return out
+    """Equal ranges of `step` (0.05 at least) from `lo`, the last one cut at `hi`."""
+    width = max(0.05, step)
+    n = max(0, math.ceil((hi - lo - 1e-9) / width))
+    cuts = [lo + i * width for i in range(n)] + [hi]
+    return list(zip(cuts, cuts[1:]))
 
 
 def _leaf_edges(ranges: list[tuple[float, float]], min_span: float) -> list[float]:
@@ -217,6 +217,7 @@ def leaf_histogram(df: DataFrame, edges: Sequence[float]) -> DataFrame:
     mag = F.col("mag").cast("double")
     guess = F.get(table, F.least(F.lit(slots - 1), F.greatest(F.lit(0), F.floor((mag - edges[0]) / width).cast("int"))))
     leaf = guess
+    # a slot is as wide as the narrowest interval, so it meets two edges at most
     for _ in range(3):
         leaf = F.when((leaf < n - 1) & (mag > F.get(upper, leaf)), leaf + 1).otherwise(leaf)
     inside = df.where((mag > float(edges[0])) & (mag <= float(edges[-1])))
@@ -262,14 +263,21 @@ def plan_magnitude_batches(
 
 
 def batch_counts(df: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Imported rows per manifest batch; the manifest is a bounded plan."""
-    hit = (F.col("mag") > F.col("mag_min_exclusive")) & (F.col("mag") <= F.col("mag_max"))
-    mags = df.groupBy("mag").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        mags.join(F.broadcast(manifest), hit)
-        .groupBy("mag_min_exclusive", "mag_max")
-        .agg(F.sum("n").alias("imported_rows"))
-    )
+    """Imported rows per manifest batch.
+
+    The manifest is a plan whose length depends on the magnitude range and the
+    span only; its disjoint ranges become the leaves of one counting pass, and
+    counts meet their batch by leaf number.
+    """
+    spans = sorted((r["mag_min_exclusive"], r["mag_max"]) for r in manifest.select("mag_min_exclusive", "mag_max").distinct().collect())
+    leaves = "leaf int, mag_min_exclusive double, mag_max double"
+    if not spans:
+        return df.sparkSession.createDataFrame([], "mag_min_exclusive double, mag_max double, imported_rows long")
+    edges = sorted({e for s in spans for e in s})
+    at = {e: i for i, e in enumerate(edges)}
+    rows = [(i, a, b) for a, b in spans for i in range(at[a], at[b])]
+    counted = leaf_histogram(df, edges).join(df.sparkSession.createDataFrame(rows, leaves), "leaf")
+    return counted.groupBy("mag_min_exclusive", "mag_max").agg(F.sum("n_rows").alias("imported_rows"))
 
 
 def batch_report(manifest: DataFrame, imported: DataFrame, min_ratio: float = 0.98) -> DataFrame:

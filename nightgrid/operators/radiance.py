@@ -76,17 +76,25 @@ SMALL_KERNEL = 1024
 
 
 def convolve_cells(cells: DataFrame, kernel: Kernel, tile: int = 512) -> DataFrame:
-    """Kernel sum per cell; NULL counts as 0, nothing outside the raster.
+    """Kernel sum per cell; nothing outside the raster.
 
-    Small kernels scatter each cell over its neighbours and sum with a map-side
+    NULL and NaN count as 0 and several rows of one cell are summed first, so
+    both ways below give the same rows.  Small kernels scatter each cell over its neighbours and sum with a map-side
     partial aggregate.  Large ones would multiply the table by the kernel area
     and go through tiles with a halo and an FFT instead.
     """
+    cells = whole_cells(cells)
     if len(kernel) <= SMALL_KERNEL:
         return _convolve_scatter(cells, kernel)
     return convolve_tiled(cells, kernel, tile)
 
 
+def whole_cells(cells: DataFrame) -> DataFrame:
+    """One row per cell with a finite value: NULL and NaN are 0, repeated cells add up."""
+    v = F.coalesce(F.nanvl(dbl("v"), F.lit(0.0)), F.lit(0.0))
+    return cells.groupBy("r", "c").agg(F.sum(v).alias("v"))
+
+
 def _convolve_scatter(cells: DataFrame, kernel: Kernel) -> DataFrame:
     put = spread(cells, "r", "c").select("r", "c", F.coalesce("v", F.lit(0.0)).alias("v"), F.explode(_offsets(kernel)).alias("k"))
     put = put.select(
@@ -101,17 +109,28 @@ def _convolve_scatter(cells: DataFrame, kernel: Kernel) -> DataFrame:
 
 def convolve_tiled(cells: DataFrame, kernel: Kernel, tile: int = 512) -> DataFrame:
     """Same result through square tiles: each cell is copied to the tiles its
-    halo touches, and one tile (at most (tile + 2 halo)^2 cells) is one FFT."""
+    halo touches, and one tile (at most (tile + 2 halo)^2 cells) is one FFT.
+    The kernel is transformed once per task."""
     halo = max(max(abs(a), abs(b)) for a, b, _ in kernel)
     side = tile + 2 * halo
+    n = side + 2 * halo
+    drs, dcs, weights = (np.array(x) for x in zip(*kernel))
 
     def covers(x: str) -> Column:
         return F.sequence(
             F.floor((F.col(x) - halo) / tile).cast("int"), F.floor((F.col(x) + halo) / tile).cast("int")
         )
 
-    copies = cells.select("r", "c", F.coalesce("v", F.lit(0.0)).alias("v"), F.explode(covers("r")).alias("tr"))
+    copies = whole_cells(cells).select("r", "c", "v", F.explode(covers("r")).alias("tr"))
     copies = copies.select("*", F.explode(covers("c")).alias("tc"))
+    made: dict[str, np.ndarray] = {}
+
+    def transformed() -> np.ndarray:
+        if "kernel" not in made:
+            ker = np.zeros((n, n))
+            ker[drs % n, dcs % n] = weights
+            made["kernel"] = np.fft.rfft2(ker)
+        return made["kernel"]
 
     def one_tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = key[0] * tile - halo, key[1] * tile - halo
@@ -121,11 +140,7 @@ def convolve_tiled(cells: DataFrame, kernel: Kernel, tile: int = 512) -> DataFra
         own = (rr >= halo) & (rr < halo + tile) & (cc >= halo) & (cc < halo + tile)
         if not own.any():
             return pd.DataFrame({"r": [], "c": [], "v": []})
-        n = side + 2 * halo
-        ker = np.zeros((n, n))
-        for a, b, w in kernel:
-            ker[a % n, b % n] = w
-        full = np.fft.irfft2(np.fft.rfft2(grid, (n, n)) * np.fft.rfft2(ker), (n, n))
+        full = np.fft.irfft2(np.fft.rfft2(grid, (n, n)) * transformed(), (n, n))
         return pd.DataFrame({"r": pdf.r[own], "c": pdf.c[own], "v": full[rr[own], cc[own]]})
 
     return copies.groupBy("tr", "tc").applyInPandas(one_tile, "r int, c int, v double")

@@ -22,6 +22,8 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/nightgrid-{name}-{os.urandom(6).hex()}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
     return os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
 
 

@@ -93,7 +93,8 @@ DIM = "dim as (select max(r)+1 as nr, max(c)+1 as nc from dem_cells)"
 
 def bilinear_sql(src: str, border: str) -> str:
     """CTE `smp` over `src` with gx, gy: height h."""
-    null = "when not (gx >= 0 and gy >= 0 and gx < nc-1 and gy < nr-1) then null" if border == "null" else ""
+    edge = 1 if border == "null" else 0
+    null = f"when not (gx >= 0 and gy >= 0 and gx < nc-{edge} and gy < nr-{edge}) then null"
     return f"""g1 as (select s.*, cast(greatest(0e0,least(nc-1,floor(gx))) as int) as ci, cast(greatest(0e0,least(nr-1,floor(gy))) as int) as ri, nr, nc from {src} s, dim),
 smp as (select g1.*, case {null} when ri < nr-1 and ci < nc-1 then (a.h*(1e0-(gx-ci))+b.h*(gx-ci))*(1e0-(gy-ri))+(d.h*(1e0-(gx-ci))+e.h*(gx-ci))*(gy-ri) else a.h end as h
  from g1 join dem_cells a on a.r=ri and a.c=ci left join dem_cells b on b.r=ri and b.c=ci+1 left join dem_cells d on d.r=ri+1 and d.c=ci left join dem_cells e on e.r=ri+1 and e.c=ci+1)"""

@@ -238,8 +238,7 @@ def _(spark, sf):
     out, ckpt = scratch_dir(spark, "slots"), scratch_dir(spark, "slots-ckpt")
     q = stream.write_latest_slots(rows, out, ckpt, availableNow=True)
     q.awaitTermination()
-    last = max(int(p["v"]) for p in spark.read.parquet(out).select("v").distinct().collect())
-    table = spark.read.parquet(f"{out}/v={last}")
+    table = stream.read_latest_slots(spark, out)
     return rounded(table.select("site", "slot_ts", "fetch_id", "cloud_cover", "precipitation_type", "temperature_c"))
 
 
@@ -284,7 +283,9 @@ def _(spark, sf):
 @query("windowed_observations_stream")
 def _(spark, sf):
     win = stream.windowed_observations(event_stream(spark, sf), "3 hours", "1 hour")
-    return rounded(run_to_table(spark, win, "windows", mode="update"))
+    out, ckpt = scratch_dir(spark, "windows"), scratch_dir(spark, "windows-ckpt")
+    stream.write_windows(win, out, ckpt, availableNow=True).awaitTermination()
+    return rounded(stream.read_windows(spark, out))
 
 
 @query("windowed_observations")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from nightgrid.functions.scale import first_per_key
 from nightgrid.operators.weather import TTL_HOURS, latest_slots
 from nightgrid.sources.forecast import flatten_forecast
 
@@ -24,24 +27,91 @@ def forecast_rows_stream(payloads: DataFrame) -> DataFrame:
 def write_latest_slots(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep the newest fetch per (site, slot) under `path`.
 
-    Every micro-batch is reduced to its newest rows and merged with the table
-    of the batch before it into a new folder `v=<batch>`.  A repeated batch
-    after a failure rewrites the same folder from the same input.
+    The table is partitioned by slot day; `day=<d>/v=<batch>` is the state of a
+    day after a batch.  A micro-batch reads and writes only the days it
+    touches.  A repeated batch after a failure starts from the versions before
+    it and replaces its own; versions older than those are dropped.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        merged = batch
-        if batch_id > 0:
-            merged = merged.unionByName(spark.read.parquet(f"{path}/v={batch_id - 1}"))
-        newest = [-F.unix_micros("fetched"), -F.col("fetch_id")]
-        latest_slots(merged, newest).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        batch = batch.persist()
+        try:
+            fresh = batch.withColumn("day", F.to_date("slot_ts").cast("string"))
+            days = [r["day"] for r in fresh.select("day").distinct().collect()]  # slot days of one micro-batch
+            if not days:
+                return
+            before = {d: v for d, v in slot_versions(spark, path, batch_id).items() if d in days}
+            merged = fresh
+            if before:
+                old = [spark.read.parquet(f"{path}/day={d}/v={v}").withColumn("day", F.lit(d)) for d, v in sorted(before.items())]
+                merged = functools.reduce(DataFrame.unionByName, old, fresh)
+            newest = [-F.unix_micros("fetched"), -F.col("fetch_id")]
+            out = latest_slots(merged, newest).withColumn("v", F.lit(batch_id))
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "v").parquet(path)
+            _drop_versions(spark, path, before)
+        finally:
+            batch.unpersist()
 
     return (
         rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _children(spark: SparkSession, path: str, key: str) -> list[str]:
+    files, where = _folder(spark, path)
+    if not files.exists(where):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(where)]
+    return sorted(n.removeprefix(f"{key}=") for n in names if n.startswith(f"{key}="))
+
+
+def slot_versions(spark: SparkSession, path: str, below: int | None = None) -> dict[str, int]:
+    """Newest version of each slot day, from folder names; with `below` only earlier batches."""
+    out = {}
+    for day in _children(spark, path, "day"):
+        known = [int(v) for v in _children(spark, f"{path}/day={day}", "v")]
+        known = [v for v in known if below is None or v < below]
+        if known:
+            out[day] = max(known)
+    return out
+
+
+def _drop_versions(spark: SparkSession, path: str, before: dict[str, int]) -> None:
+    for day, last in before.items():
+        for v in _children(spark, f"{path}/day={day}", "v"):
+            if int(v) < last:
+                files, where = _folder(spark, f"{path}/day={day}/v={v}")
+                files.delete(where, True)
+
+
+def read_latest_slots(spark: SparkSession, path: str) -> DataFrame:
+    """The newest state of every slot day."""
+    table = spark.read.parquet(path)
+    last = table.groupBy("day").agg(F.max("v").alias("v"))  # partition columns only
+    return table.join(last, ["day", "v"], "left_semi").drop("day", "v")
+
+
+def write_windows(windows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Updated windows of each micro-batch in a folder `v=<batch>` of their own."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+
+    query = windows.writeStream.foreachBatch(put).outputMode("update")
+    return query.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def read_windows(spark: SparkSession, path: str, keys: Sequence[str] = ("site", "win_start")) -> DataFrame:
+    """Each window once, as its last micro-batch left it."""
+    return first_per_key(spark.read.parquet(path), list(keys), [-F.col("v")]).drop("v")
+
+
 # Smoothing gain per 50 ms of each field and the slot pull.
 GAINS = {
     "cloud_cover": 0.05,
@@ -59,33 +129,43 @@ PULLED = {"cloud_cover", "cloud_low", "cloud_mid", "cloud_high", "precip_rate_mm
 SLOT_PULL = 0.75
 
 
-def gain(base: float, dt: float) -> float:
-    """Smoothing share for a time step, independent of the update rate."""
-    base, dt = min(0.9999, max(0.0001, base)), min(0.50, max(0.01, dt))
-    return 1.0 - (1.0 - base) ** (dt / 0.05)
+def shares(dt: np.ndarray, names: Sequence[str]) -> np.ndarray:
+    """Smoothing share of each step (row) and field (column): the gain per 50 ms, carried over the step.
+
+    Steps count as 10 ms at least and half a second at most.
+    """
+    per_step = np.clip([GAINS[n] for n in names], 1e-4, 0.9999)
+    return 1.0 - np.power(1.0 - per_step[None, :], np.clip(dt, 0.01, 0.50)[:, None] / 0.05)
 
 
 def smooth_rows(pdf: pd.DataFrame, names: list[str], state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-    """Smooth rows in time order from `state` = (last time, slot, *values)."""
+    """Smooth rows in time order from `state` = (last time, slot, *values).
+
+    A NULL or NaN reading leaves its field as it is.
+    """
     pdf = pdf.sort_values(["ts", "event_id"])
     last, slot, *vals = state or (None, None, *[0.0] * len(names))
-    out = []
-    for row in pdf.itertuples(index=False):
-        now, hour = row.ts.timestamp(), int(row.ts.timestamp() // 3600)
-        dt = 0.01 if last is None else now - last
-        moved = slot != hour
-        for i, n in enumerate(names):
-            target, a = getattr(row, n), gain(GAINS[n], dt)
-            if n == "wind_direction_deg":
-                vals[i] = (vals[i] + ((target - vals[i] + 180.0) % 360.0 - 180.0) * a) % 360.0
-                continue
-            vals[i] += (target - vals[i]) * a
-            if moved and n in PULLED:
-                vals[i] += (target - vals[i]) * SLOT_PULL
-        last, slot = now, hour
-        out.append((row.event_id, row.site, row.ts, *vals))
-    cols = ["event_id", "site", "ts", *names]
-    return pd.DataFrame(out, columns=cols), (last, slot, *vals)
+    # nanoseconds of the column's own clock, whatever unit pandas chose
+    now = pdf["ts"].astype("datetime64[ns]").astype("int64").to_numpy() / 1e9
+    hour = np.floor(now / 3600).astype(np.int64)
+    dt = np.diff(now, prepend=now[0] - 0.01 if last is None else last)
+    share = shares(dt, names)
+    moved = np.append(slot != hour[0], hour[1:] != hour[:-1])
+    targets = pdf[names].to_numpy(np.float64)
+    round_trip = np.array([n == "wind_direction_deg" for n in names])
+    pull = np.where([n in PULLED for n in names], SLOT_PULL, 0.0)
+    at, out = np.array(vals, np.float64), np.empty_like(targets)
+    for i, (target, a, new) in enumerate(zip(targets, share, moved)):
+        gap = target - at
+        gap = np.where(round_trip, np.mod(gap + 180.0, 360.0) - 180.0, gap)
+        gap = np.where(np.isnan(target), 0.0, gap)
+        at = at + gap * a
+        if new:
+            at = at + np.where(np.isnan(target), 0.0, target - at) * pull
+        at = np.where(round_trip, np.mod(at, 360.0), at)
+        out[i] = at
+    done = pdf[["event_id", "site", "ts"]].assign(**{n: out[:, k] for k, n in enumerate(names)})
+    return done, (float(now[-1]), int(hour[-1]), *at.tolist())
 
 
 def smooth_weather(stream: DataFrame, names: list[str]) -> DataFrame:
