@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nightgrid.functions.angles import clamp
-from nightgrid.functions.scale import first_per_key, global_rank
+from nightgrid.functions.scale import first_per_key, global_rank, staged
 
 # Accepted header names per column, in priority order.
 ALIASES = {
@@ -62,13 +62,20 @@ def _finite(c: Column) -> Column:
 
 
 def _with_parsed(df: DataFrame) -> DataFrame:
-    """Typed columns from tolerant casts; unreadable text becomes NULL."""
-    cols = []
-    for name in ("ra", "dec"):
-        cols.append(_number(name, "double").alias(name))
-    cols.append(_number("mag", "float").alias("mag"))
-    if "bp_rp" in df.columns:
-        b = _number("bp_rp", "float")
+    """Typed columns from tolerant casts; unreadable text becomes NULL.
+
+    Every text is read once: filters on the results are not pushed into it.
+    """
+    keep = [c for c in df.columns if c not in ALIASES]
+    kinds = {"ra": "double", "dec": "double", "mag": "float", "bp_rp": "float", "pmra": "float", "pmdec": "float", "parallax": "float"}
+    read = {f"_{n}": _number(n, k) for n, k in kinds.items() if n in df.columns}
+    if "source_id" in df.columns:
+        read |= {"_id": _number("source_id", "long"), "_id_real": _number("source_id", "double")}
+    present = set(df.columns)
+    df = staged(df, **read)
+    cols = [F.col(f"_{name}").alias(name) for name in REQUIRED]
+    if "bp_rp" in present:
+        b = F.col("_bp_rp")
         inf = F.lit(float("inf"))
         filled = (
             F.when(b.isNull() | F.isnan(b), DEFAULT_BP_RP).when(b == inf, 2.5).when(b == -inf, -0.5).otherwise(b)
@@ -77,19 +84,18 @@ def _with_parsed(df: DataFrame) -> DataFrame:
     else:
         cols.append(F.lit(DEFAULT_BP_RP).cast("float").alias("bp_rp"))
     for name in ("pmra", "pmdec", "parallax"):
-        if name in df.columns:
-            v = _number(name, "float")
+        if name in present:
+            v = F.col(f"_{name}")
             cols.append(F.when(_finite(v), v).alias(name))
         else:
             cols.append(F.lit(None).cast("float").alias(name))
-    if "source_id" in df.columns:
-        f = _number("source_id", "double")
+    if "source_id" in present:
+        f = F.col("_id_real")
         through_float = F.when(_finite(f), F.when(f < 0, F.ceil(f)).otherwise(F.floor(f))).cast("string").try_cast("long")
-        sid = F.coalesce(_number("source_id", "long"), through_float)
+        sid = F.coalesce("_id", through_float)
         cols.append(F.when(sid >= 0, sid).alias("source_id"))
     else:
         cols.append(F.lit(None).cast("long").alias("source_id"))
-    keep = [c for c in df.columns if c not in ALIASES]
     return df.select(*cols, *keep)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nightgrid.functions.angles import clamp, wrap360
-from nightgrid.functions.scale import cut_lineage, first_per_key, sized_join
+from nightgrid.functions.scale import cut_lineage, first_per_key, sized_join, staged
 from nightgrid.operators.positions import sky_positions
 
 NAME = r"(?i)^(NGC|IC)0*([0-9]+[A-Za-z]?)$"
@@ -27,34 +27,29 @@ def _finite(c: Column) -> Column:
     return F.when(~F.isnan(v) & (v != inf) & (v != -inf), v)
 
 
-def _parts(text: Column) -> Column:
-    """Sexagesimal pieces of a coordinate text, NULL for a plain number."""
+def _pieces(text: Column) -> Column:
+    """Pieces of a coordinate text between colons, unit marks or blanks."""
     t = F.translate(F.trim(text), "hmd's\"", "::::")  # s and " are dropped
-    pieces = F.when(t.contains(":"), F.split(t, ":")).otherwise(F.split(t, r"\s+"))
-    pieces = F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: p != "")
-    return F.when(F.size(pieces) >= 2, pieces)
+    return F.filter(F.split(t, r"\s*:\s*|\s+"), lambda p: p != "")
 
 
-def _sexagesimal(text: Column) -> Column:
-    p = _parts(text)
+def _sexagesimal(p: Column) -> Column:
+    """Unsigned value of two pieces or more, NULL for a plain number."""
     first = F.abs(p[0].try_cast("double"))
     mins = F.abs(F.get(p, F.lit(1)).try_cast("double"))
     secs = F.when(F.size(p) >= 3, F.abs(F.get(p, F.lit(2)).try_cast("double"))).otherwise(0.0)
-    return first + mins / 60.0 + secs / 3600.0
+    return F.when(F.size(p) >= 2, first + mins / 60.0 + secs / 3600.0)
 
 
-def _ra(c: Column, hours: bool) -> Column:
-    t = _text(c)
-    plain = _finite(t)
+def _ra(pieces: Column, plain: Column, hours: bool) -> Column:
     if hours:
         plain = F.when((plain >= 0) & (plain <= 24), plain * 15.0).otherwise(plain)
-    return wrap360(F.coalesce(_sexagesimal(t) * 15.0, plain))
+    return wrap360(F.coalesce(_sexagesimal(pieces) * 15.0, plain))
 
 
-def _dec(c: Column) -> Column:
-    t = _text(c)
-    sign = F.when(F.trim(_parts(t)[0]).startswith("-"), -1.0).otherwise(1.0)
-    return clamp(F.coalesce(sign * _sexagesimal(t), _finite(t)), -90.0, 90.0)
+def _dec(pieces: Column, plain: Column) -> Column:
+    sign = F.when(pieces[0].startswith("-"), -1.0).otherwise(1.0)
+    return clamp(F.coalesce(sign * _sexagesimal(pieces), plain), -90.0, 90.0)
 
 
 def deep_sky_catalog(raw: DataFrame) -> DataFrame:
@@ -80,14 +75,22 @@ def deep_sky_catalog(raw: DataFrame) -> DataFrame:
         whole = F.floor(F.abs(_finite(c))) * F.signum(_finite(c))
         return F.coalesce(whole.cast("int"), F.regexp_extract(c, r"-?\d+", 0).try_cast("int"))
 
-    ra = F.coalesce(_ra(val("raj2000", "radeg"), False), _ra(val("ra"), True))
-    dec = _dec(val("dej2000", "decdeg", "decj2000", "dec"))
-    ngc, ic = number(val("ngc")), number(val("ic"))
+    # each coordinate is cut and each number read once; what follows works on the pieces
+    texts = {"deg": val("raj2000", "radeg"), "hours": val("ra"), "dec": val("dej2000", "decdeg", "decj2000", "dec")}
+    texts = {k: _text(c) for k, c in texts.items()}
+    first = {f"_p_{k}": _pieces(c) for k, c in texts.items()} | {f"_n_{k}": _finite(c) for k, c in texts.items()}
+    names = F.split(F.translate(val("comname", "commonnames"), "|;", ",,"), r"\s*,\s*")
+    raw = staged(raw, **first, _ngc=number(val("ngc")), _ic=number(val("ic")), _names=F.filter(names, lambda p: F.trim(p) != ""))
+    ra = F.coalesce(_ra(F.col("_p_deg"), F.col("_n_deg"), False), _ra(F.col("_p_hours"), F.col("_n_hours"), True))
+    dec = _dec(F.col("_p_dec"), F.col("_n_dec"))
+    ngc, ic = F.col("_ngc"), F.col("_ic")
     by_number = F.when(ngc > 0, F.concat(F.lit("NGC "), ngc.cast("string"))).when(
         ic > 0, F.concat(F.lit("IC "), ic.cast("string"))
     )
-    named = F.coalesce(_text(val("name")), by_number)
-    compact = F.regexp_replace(named, r"\s+", "")
+    raw = staged(raw, _named=F.coalesce(_text(val("name")), by_number))
+    named = F.col("_named")
+    raw = staged(raw, _compact=F.regexp_replace(named, r"\s+", ""))
+    compact = F.col("_compact")
     canon = F.concat(F.upper(F.regexp_extract(compact, NAME, 1)), F.upper(F.regexp_extract(compact, NAME, 2)))
 
     def axis(names: tuple[str, ...], raw_name: str, floor: float) -> Column:
@@ -95,12 +98,10 @@ def deep_sky_catalog(raw: DataFrame) -> DataFrame:
         v = _finite(c) / 60.0 if key == raw_name else _finite(c)
         return F.when(v.isNotNull(), F.greatest(F.lit(floor), v))
 
-    maj0 = F.coalesce(axis(("majaxdeg", "majax"), "majax", 0.02), F.lit(0.10))
-    min0 = F.coalesce(axis(("minaxdeg", "minax"), "minax", 0.01), maj0)
-    names = F.filter(
-        F.transform(F.split(F.translate(val("comname", "commonnames"), "|;", ",,"), ","), lambda p: F.trim(p)), lambda p: p != ""
-    )
-    out = raw.select(
+    raw = staged(raw, _maj=F.coalesce(axis(("majaxdeg", "majax"), "majax", 0.02), F.lit(0.10)))
+    raw = staged(raw, _min=F.coalesce(axis(("minaxdeg", "minax"), "minax", 0.01), F.col("_maj")))
+    maj0, min0 = F.col("_maj"), F.col("_min")
+    fields = [
         F.when(compact.rlike(NAME), canon).otherwise(named).alias("name"),
         F.coalesce(F.trim(val("objtype", "type")), F.lit("")).alias("obj_type"),
         ra.alias("ra"),
@@ -113,9 +114,11 @@ def deep_sky_catalog(raw: DataFrame) -> DataFrame:
         _finite(val("surfbrb", "surfbr")).alias("surf_br_b"),
         _text(val("hubbletype", "hubble")).alias("hubble_type"),
         number(val("messiernr", "m")).alias("messier"),
-        F.get(names, F.lit(0)).alias("common_name"),
+        F.trim(F.get("_names", F.lit(0))).alias("common_name"),
         _text(val("notes", "openngcnotes", "opengcnotes", "nednotes")).alias("notes"),
-    )
+    ]
+    # a boundary, so that the filter below is not pushed into the parsing
+    out = raw.select(F.inline(F.array(F.struct(*fields))))
     out = out.where("ra is not null and dec is not null and name is not null and name <> ''")
     return out.withColumn("effective_mag", F.coalesce("mag_v", "mag_b", F.lit(99.0)))
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nightgrid.operators.catalog import ALIASES, resolve_columns, union_catalogs
+from nightgrid.functions.scale import staged
+from nightgrid.operators.catalog import ALIASES, REQUIRED, resolve_columns, union_catalogs
 
 # Column order of headerless JSON rows.
 JSON_COLUMNS = (
@@ -26,27 +27,64 @@ JSON_COLUMNS = (
 )
 
 
-def read_star_tables(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def _headers(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
+    """(file, first line that is no comment) of every file: one short row a file, like a listing."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value"
+    )
+    lines = lines.where(~F.ltrim("value").startswith("#") & (F.trim("value") != ""))
+    first = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "n")).alias("value"))
+    return sorted((r["file"], r["value"]) for r in first.collect())
+
+
+def _cells(line: str, sep: str) -> list[str]:
+    cells = line.strip().split() if sep == " " else line.split(sep)
+    return [c.strip().lstrip("\ufeff").strip('"') for c in cells]
+
+
+def star_table_files(spark: SparkSession, paths: Sequence[str]) -> tuple[dict[tuple[str, tuple[str, ...]], list[str]], list[tuple[str, str]]]:
+    """Readable files by (separator, header), and (file, reason) of the others."""
+    good: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    bad = []
+    for file, line in _headers(spark, paths):
+        # the ECSV default is white space
+        sep = next((x for x in (",", ";", "\t") if x in line), " ")
+        names = tuple(_cells(line, sep))
+        known = {n.lower().replace(" ", "_") for n in names}
+        missing = [c for c in REQUIRED if not known & set(ALIASES[c])]
+        if missing or len(set(names)) < len(names):
+            bad.append((file, f"missing required column: {missing[0]}" if missing else "repeated column name"))
+        else:
+            good.setdefault((sep, names), []).append(file)
+    return good, bad
+
+
+def read_star_tables(spark: SparkSession, paths: Sequence[str], skipped: list[tuple[str, str]] | None = None) -> DataFrame:
     """CSV / ECSV tables as text columns plus `source_file`.
 
-    Every path (file, folder or glob) is a family of files with one header.
-    `#` lines are comments; the separator is `;` when the header has no comma.
+    `#` lines are comments; the header's separator is a comma, a semicolon, a
+    tab or else white space.  Files are read together with those of the same
+    header, so a different column order is never mixed up.  A file without the
+    required columns is left out; `skipped` receives (file, reason).
     """
+    good, bad = star_table_files(spark, paths)
+    if skipped is not None:
+        skipped.extend(bad)
     frames = []
-    for path in paths:
-        lines = spark.read.text(path).where(~F.ltrim("value").startswith("#") & (F.trim("value") != ""))
-        first = lines.first()
-        if first is None:
-            continue
-        header = first["value"]
-        sep = ";" if ";" in header and "," not in header else ","
-        names = [h.strip().strip('"') for h in header.split(sep)]
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = spark.read.csv(path, schema=schema, header=True, sep=sep, comment="#", enforceSchema=True)
-        df = df.withColumn("source_file", F.col("_metadata.file_name"))
+    for (sep, names), files in sorted(good.items()):
+        if sep == " ":
+            lines = spark.read.text(files).withColumn("source_file", F.col("_metadata.file_name"))
+            lines = lines.where(~F.ltrim("value").startswith("#") & (F.trim("value") != ""))
+            cells = F.transform(F.split(F.trim("value"), r"\s+"), lambda c: F.btrim(c, F.lit('"')))
+            lines = staged(lines, cells=cells).where(F.col("cells") != F.array(*[F.lit(n) for n in names]))
+            df = lines.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)], "source_file")
+        else:
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+            df = spark.read.csv(files, schema=schema, header=True, sep=sep, comment="#", enforceSchema=True)
+            df = df.withColumn("source_file", F.col("_metadata.file_name"))
         frames.append(resolve_columns(df))
     if not frames:
-        raise ValueError("no star table has a header line")
+        raise ValueError(f"no readable star table: {bad[:3]}")
     return union_catalogs(frames)
 
 

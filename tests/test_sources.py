@@ -32,3 +32,17 @@ def test_three_json_shapes(spark, tmp_path):
     assert sorted(rows["a.json"], key=str) == sorted([(None, "1", "2", "3"), (None, "4", "5", None)], key=str)
     assert rows["b.json"] == [("11", "7", "8", "9")]
     assert rows["c.json"] == [("12", "13", "14", "15")]
+
+
+def test_mixed_headers_white_space_and_bad_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ra,dec,mag\n1,2,3\n")
+    (tmp_path / "b.csv").write_text("mag,ra,dec\n1,2,3\n")
+    (tmp_path / "c.ecsv").write_text("# %ECSV 1.0\n# ---\nra dec phot_g_mean_mag source_id\n10 20  5 77\n30 40 6 78\n")
+    (tmp_path / "d.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "e.csv").write_text("# nothing\n")
+    skipped = []
+    rows = {(r.source_file, r.ra, r.dec, r.mag) for r in src.read_star_tables(spark, [str(tmp_path)], skipped).collect()}
+    assert rows == {("a.csv", "1", "2", "3"), ("b.csv", "2", "3", "1"), ("c.ecsv", "10", "20", "5"), ("c.ecsv", "30", "40", "6")}
+    assert len(skipped) == 1 and skipped[0][0].endswith("d.csv") and "ra" in skipped[0][1]
+    with pytest.raises(ValueError):
+        src.read_star_tables(spark, [str(tmp_path / "d.csv")])
