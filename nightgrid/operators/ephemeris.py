@@ -175,8 +175,13 @@ PLANETS = (
 _ELEMENTS = ("name", "base", "l0", "l1", "p0", "p1", "e0", "e1", "i0", "i1", "n0", "n1", "a")
 
 
-def planet_table(rows: DataFrame) -> DataFrame:
-    """Five planets per row (`ts`): position, distance and magnitude."""
+def planet_table(rows: DataFrame, phase: bool = False) -> DataFrame:
+    """Five planets per row (`ts`): position, distance and magnitude.
+
+    The magnitude dims by 0.01 per degree of phase angle (Sun, planet, Earth).
+    Without `phase` a planet counts as fully lit, as the sky view draws it; with
+    it the angle is computed and returned as `phase_angle`.
+    """
     elements = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(_ELEMENTS, p)]) for p in PLANETS])
     df = _sun(staged(rows, _T=_century(julian_day("ts"))))
     df = df.select("*", F.inline(elements))
@@ -208,8 +213,11 @@ def planet_table(rows: DataFrame) -> DataFrame:
     df = staged(df, distance_au=F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y") + F.col("_z") * F.col("_z")))
     df = staged(df, ecl_lon=wrap360(atan2_d(F.col("_y"), F.col("_x"))), ecl_lat=asin_d(F.col("_z") / F.col("distance_au")))
     ra, dec = _equatorial(F.col("ecl_lon"), F.col("ecl_lat"), 23.4392911 - 0.0130042 * t)
-    mag = F.col("base") + 5.0 * F.log10("distance_au")
-    return df.select(*rows.columns, "name", "ecl_lon", "ecl_lat", "distance_au", ra.alias("ra"), dec.alias("dec"), mag.alias("mag"))
+    r, d = F.col("_r"), F.col("distance_au")
+    df = df.withColumn("phase_angle", F.acos(clamp((r * r + d * d - au * au) / (2.0 * r * d), -1.0, 1.0)) * DEG if phase else F.lit(0.0))
+    mag = F.col("base") + 5.0 * F.log10("distance_au") + 0.01 * F.col("phase_angle")
+    more = ["phase_angle"] if phase else []
+    return df.select(*rows.columns, "name", "ecl_lon", "ecl_lat", "distance_au", ra.alias("ra"), dec.alias("dec"), mag.alias("mag"), *more)
 
 
 def eclipse_factor(table: DataFrame) -> DataFrame:

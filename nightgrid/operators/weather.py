@@ -23,11 +23,18 @@ def latest_slots(records: DataFrame, newest: Sequence[Column]) -> DataFrame:
     return first_per_key(records, ["site", "slot_ts"], newest)
 
 
-def forecast_coverage(records: DataFrame, as_of, target=None) -> DataFrame:
-    """Covered time per `(site, fetch_id)`, freshness and date coverage.
+def _at_place(place: tuple[float, float]) -> Column:
+    near = (F.abs(F.col("lat") - place[0]) < 1e-6) & (F.abs(F.col("lon") - place[1]) < 1e-6)
+    return F.coalesce(near, F.lit(False))
+
+
+def forecast_coverage(records: DataFrame, as_of, target=None, place: tuple[float, float] | None = None) -> DataFrame:
+    """Covered time per `(site, fetch_id)`, freshness, date coverage and location match.
 
     `records` has `site, fetch_id, fetched, time`; `as_of` is a timestamp and
-    `target` a date, both Columns.
+    `target` a date, both Columns.  With `place` (latitude, longitude) they also
+    have `lat, lon`, and `here` says whether the whole fetch is for that place;
+    a fetch with a missing coordinate is not.
     """
     age = F.abs(F.unix_timestamp(as_of) - F.unix_timestamp("fetched_at"))
     out = records.groupBy("site", "fetch_id").agg(
@@ -35,6 +42,7 @@ def forecast_coverage(records: DataFrame, as_of, target=None) -> DataFrame:
         F.max("time").alias("coverage_end"),
         F.max("fetched").alias("fetched_at"),
         F.count(F.lit(1)).alias("n_slots"),
+        *([F.bool_and(_at_place(place)).alias("here")] if place else []),
     )
     out = out.withColumn("fresh", age < TTL_HOURS * 3600)
     if target is not None:

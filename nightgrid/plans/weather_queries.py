@@ -46,16 +46,17 @@ def records(spark, sf):
 @query("forecast_coverage")
 def _(spark, sf):
     rows = view(spark, sf, "forecast_rows").selectExpr(
-        "site", "cast(floor(event_id/40) as bigint) as fetch_id", "slot_ts as time", "fetched"
+        "site", "cast(floor(event_id/40) as bigint) as fetch_id", "slot_ts as time", "fetched",
+        "case when site < 4 then site * 1.5e0 end as lat", "site * 2e0 as lon",
     )
     as_of, target = F.lit("2024-01-05 06:00:00").cast("timestamp"), F.lit("2024-01-05").cast("date")
-    return wx.forecast_coverage(rows, as_of, target)
+    return wx.forecast_coverage(rows, as_of, target, (3.0, 4.0))
 
 
 oracle(
     "forecast_coverage",
     "forecast_rows",
-    """c as (select site, cast(floor(event_id/40) as bigint) as fetch_id, min(slot_ts) as coverage_start, max(slot_ts) as coverage_end, max(fetched) as fetched_at, count(*) as n_slots from forecast_rows group by 1,2)
+    """c as (select site, cast(floor(event_id/40) as bigint) as fetch_id, min(slot_ts) as coverage_start, max(slot_ts) as coverage_end, max(fetched) as fetched_at, count(*) as n_slots, bool_and(site = 2) as here from forecast_rows group by 1,2)
 select *, abs(floor(epoch(fetched_at))-epoch(timestamp '2024-01-05 06:00:00')) < 43200 as fresh, cast(coverage_start as date) <= date '2024-01-05' and date '2024-01-05' <= cast(coverage_end as date) as covers from c""",
 )
 
