@@ -33,15 +33,19 @@ def read_grid_headers(spark: SparkSession, path: str) -> DataFrame:
 def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     """Cells `(path, r, c, h)`; missing trailing values become nodata.
 
-    Lines are numbered inside their file block, values counted per line; the
-    window that turns counts into offsets runs over lines of one file, never
-    over values.  Row 0 is the first (northern) line of the grid.
+    A file may have any number of blocks (splits).  Counts of values place each
+    block in its file and each line in its block, so a task orders the lines of
+    one block at most.  Row 0 is the first (northern) line of the grid.
     """
     head = read_grid_headers(spark, path).where("ncols is not null and nrows is not null")
     body = _lines(spark, path).where(~F.upper("value").rlike(rf"^({HEADER_KEYS})\s"))
     body = body.withColumn("cells", F.split("value", r"\s+"))
-    order = Window.partitionBy("path").orderBy("block", "line").rowsBetween(Window.unboundedPreceding, -1)
-    starts = body.withColumn("start", F.coalesce(F.sum(F.size("cells")).over(order), F.lit(0)))
+    blocks = body.groupBy("path", "block").agg(F.sum(F.size("cells")).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    above = Window.partitionBy("path", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    starts = body.withColumn("start", F.coalesce(F.sum(F.size("cells")).over(above), F.lit(0)))
+    starts = starts.join(blocks, ["path", "block"]).withColumn("start", F.col("start") + F.col("base"))
     cells = starts.select("path", "start", F.posexplode("cells").alias("pos", "text"))
     cells = cells.join(head, "path").withColumn("idx", (F.col("start") + F.col("pos")).cast("long"))
     nodata = F.coalesce("nodata_value", F.lit(-9999.0))
