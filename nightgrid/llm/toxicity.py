@@ -64,7 +64,7 @@ def logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def fit_logistic(y: np.ndarray, x: list[np.ndarray], other: list[np.ndarray], n_features: int, swap: float, ridge: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_logistic(y: np.ndarray, x: list[np.ndarray], other: list[np.ndarray], n_features: int, swap: float, ridge: float = 3e-5, steps: int = 600) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated gradient descent on
     mean log loss + ridge/2 |w|^2 + swap/2 mean (w.x - w.x')^2 over the pairs."""
     row = np.repeat(np.arange(len(x)), [len(v) for v in x])
