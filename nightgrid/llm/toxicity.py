@@ -64,19 +64,24 @@ def logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def fit_logistic(y: np.ndarray, x: list[np.ndarray], other: list[np.ndarray], n_features: int, swap: float, ridge: float = 3e-5, steps: int = 600) -> tuple[np.ndarray, float]:
+def fit_logistic(y: np.ndarray, x: list[np.ndarray], other: list[np.ndarray], n_features: int, swap: float, ridge: float = 3e-5, steps: int = 1500) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated gradient descent on
     mean log loss + ridge/2 |w|^2 + swap/2 mean (w.x - w.x')^2 over the pairs."""
     row = np.repeat(np.arange(len(x)), [len(v) for v in x])
     col = np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
-    pairs = [i for i, v in enumerate(other) if len(v)]
-    prow = np.concatenate([np.zeros(0, np.int64), *[np.full(len(x[i]) + len(other[i]), k) for k, i in enumerate(pairs)]])
-    pcol = np.concatenate([np.zeros(0, np.int64), *[np.append(x[i], other[i]) for i in pairs]]).astype(np.int64)
-    psign = np.concatenate([np.zeros(0), *[np.append(np.ones(len(x[i])), -np.ones(len(other[i]))) for i in pairs]])
-    n, widest = len(y), max([1, *map(len, x)])
+    # only what a swap changes counts: features of one text of the pair and not of the other
+    pairs = [(np.setdiff1d(x[i], v), np.setdiff1d(v, x[i])) for i, v in enumerate(other) if len(v)]
+    prow = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs])
+    pcol = np.concatenate([np.zeros(0, np.int64), *[v for p in pairs for v in p]]).astype(np.int64)
+    psign = np.concatenate([np.zeros(0), *[s * np.ones(len(v)) for p in pairs for s, v in zip((1, -1), p)]])
+    n = len(y)
     bias = logit(np.clip(y.mean(), 0.5 / n, 1 - 0.5 / n))
-    scale = 4.0 / (1 + np.bincount(col, minlength=n_features) * widest / n + 8 * swap)  # a step for each feature
-    scale = np.minimum(scale, 16.0)
+    # row sums bound the curvature, so these steps cannot diverge
+    size = np.array([len(v) + 1 for v in x])
+    bend = np.bincount(col, weights=size[row], minlength=n_features) / (4 * n) + ridge
+    if pairs:
+        bend += swap / len(pairs) * np.bincount(pcol, weights=np.bincount(prow, minlength=len(pairs))[prow], minlength=n_features)
+    scale, bias_step = 1 / bend, 4 / size.mean()
     w, v, b, vb = np.zeros(n_features), np.zeros(n_features), bias, bias
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(vb + np.bincount(row, weights=v[col], minlength=n), -40, 40)))
@@ -84,7 +89,7 @@ def fit_logistic(y: np.ndarray, x: list[np.ndarray], other: list[np.ndarray], n_
         if pairs:
             gap = np.bincount(prow, weights=psign * v[pcol], minlength=len(pairs)) / len(pairs)
             g += swap * np.bincount(pcol, weights=psign * gap[prow], minlength=n_features)
-        new, nb = v - scale * g, vb - 0.5 * float((p - y).mean())
+        new, nb = v - scale * g, vb - bias_step * float((p - y).mean())
         v, vb = new + k / (k + 3) * (new - w), nb + k / (k + 3) * (nb - b)
         w, b = new, nb
     return w, b
