@@ -41,6 +41,7 @@ from nightgrid.llm.text import codes, id_text, raw, slices, split_words
 DEPTH = 4
 BLOCK_BYTES = 4 << 20
 END = 10
+STATS = ["block", "pos", "word", "gram", "n"]
 
 
 def byte_stream(texts: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -74,20 +75,28 @@ def byte_stream(texts: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, np.nda
     return keys[real], np.append(0, np.cumsum(size)), flat, off
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 def _block_stats(rows: pa.Table, depth: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Distinct words and n-grams of a block with their counts in its training texts."""
+    """Distinct words and n-grams of a block with their counts in its training texts.
+
+    `pos` is the place in the block's list, which the scorer builds again: words
+    in order of appearance, n-grams in ascending order.
+    """
     held = rows.column("held_out").to_numpy()
     keys, at, flat, off = byte_stream(rows.column("text").combine_chunks(), depth)
     taught = ~np.repeat(held, np.diff(off))
     if len(flat):
         number, words = codes(flat)
         n = np.bincount(number[taught], minlength=len(words))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), words.cast(pa.string()), pa.nulls(len(words), pa.int64()), pa.array(n)], names=["block", "word", "gram", "n"])
-    grams = np.sort(keys)
-    grams = grams[np.append(True, grams[1:] != grams[:-1])] if len(grams) else grams
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(np.arange(len(words), dtype=np.int32)), words.cast(pa.string()), pa.nulls(len(words), pa.int64()), pa.array(n)], names=STATS)
+    grams = distinct(keys)
     taught = np.sort(keys[~np.repeat(held, np.diff(at))])
     n = np.searchsorted(taught, grams, "right") - np.searchsorted(taught, grams, "left")
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block)), pa.nulls(len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], names=["block", "word", "gram", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block)), pa.array(np.arange(len(grams), dtype=np.int32)), pa.nulls(len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], names=STATS)
 
 
 def _open(uri: str):
@@ -112,7 +121,7 @@ def _get(folder: str, block: int) -> pa.Table:
 
 
 def write_blocks(docs: DataFrame, folder: str, depth: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Write (doc_id, text, held_out) in blocks of about `block_bytes`; rows block, word or gram, n."""
+    """Write (doc_id, text, held_out) in blocks of about `block_bytes`; rows block, pos, word or gram, n."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -135,11 +144,11 @@ def write_blocks(docs: DataFrame, folder: str, depth: int, block_bytes: int = BL
         if held:
             yield from full()
 
-    return docs.mapInArrow(work, "block long, word string, gram long, n long")
+    return docs.mapInArrow(work, "block long, pos int, word string, gram long, n long")
 
 
 def word_counts(words: DataFrame) -> DataFrame:
-    """(block, word, n) to (block, word, c) where c, the count over all blocks, isn't n.
+    """(block, pos, word, n) to (block, pos, c) where c, the count over all blocks, isn't n.
 
     Rows of block -1 hold sums by task: c distinct words in training and n all of them.
     """
@@ -147,15 +156,16 @@ def word_counts(words: DataFrame) -> DataFrame:
     rows = words.withColumn("c", F.sum("n").over(over)).withColumn("first", F.row_number().over(over.orderBy("block")) == 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distinct = total = 0
+        distinct_words = total = 0
         for batch in batches:
             n, c, first = (batch.column(i) for i in (2, 3, 4))
-            distinct += int((first.to_numpy(zero_copy_only=False) & (c.to_numpy() > 0)).sum())
+            distinct_words += int((first.to_numpy(zero_copy_only=False) & (c.to_numpy() > 0)).sum())
             total += pc.sum(n).as_py() or 0
-            yield batch.select([0, 1, 2, 3]).filter(pc.not_equal(n, c))
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([None], pa.string()), pa.array([total]), pa.array([distinct])], names=["block", "word", "n", "c"])
+            told = batch.select([0, 1, 3]).filter(pc.not_equal(n, c))
+            yield pa.RecordBatch.from_arrays([*told.columns, pa.nulls(told.num_rows, pa.int64())], names=["block", "pos", "c", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0], pa.int32()), pa.array([distinct_words]), pa.array([total])], names=["block", "pos", "c", "n"])
 
-    return rows.select("block", "word", "n", "c", "first").mapInArrow(work, "block long, word string, n long, c long")
+    return rows.select("block", "pos", "n", "c", "first").mapInArrow(work, "block long, pos int, c long, n long")
 
 
 def log_gamma(x: Column) -> Column:
@@ -230,20 +240,17 @@ def _scorer(folder: str, depth: int):
         rows = _get(folder, block)
         held = rows.column("held_out").to_numpy()
         keys, at, flat, off = byte_stream(rows.column("text").combine_chunks(), depth)
-        grams = reply.filter(pc.is_valid(reply.column("gram")))
-        known, logs = grams.column("gram").to_numpy().view(np.uint64), grams.column("logp").to_numpy()
-        order = np.argsort(known)
-        known, logs = known[order], logs[order]
+        is_gram, pos, value = (reply.column(c).to_numpy() for c in ("is_gram", "pos", "value"))
+        known = distinct(keys)
+        logs = np.empty(len(known))
+        logs[pos[is_gram]] = value[is_gram]
         each = logs[np.searchsorted(known, keys)]
         total = np.add.reduceat(each, at[:-1])
         n, logc, seen = np.diff(off), np.zeros(len(held)), np.zeros(len(held), np.int64)
         if len(flat):
             number, words = codes(flat)
             count = np.bincount(number[~np.repeat(held, n)], minlength=len(words))
-            told = reply.filter(pc.is_valid(reply.column("word")))
-            where = pc.index_in(words, value_set=told.column("word").combine_chunks().cast(pa.large_string()))
-            got = pc.is_valid(where).to_numpy(zero_copy_only=False)
-            count[got] = told.column("c").to_numpy()[where.filter(pa.array(got)).to_numpy()]
+            count[pos[~is_gram]] = value[~is_gram].astype(np.int64)
             owner = np.repeat(np.arange(len(n)), n)
             logc = np.bincount(owner, weights=np.log10(count + 1.0)[number], minlength=len(n))
             seen = np.bincount(owner, weights=(count > 0)[number], minlength=len(n)).astype(np.int64)
@@ -263,15 +270,15 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_col: s
     kind = base.schema["doc_id"].dataType.simpleString()
     folder = shared_folder(base.sparkSession, "ctw-blocks")
     stats = stored(write_blocks(base, folder, depth, block_bytes), "ctw-stats")
-    words = stored(word_counts(stats.where("word is not null").select("block", "word", "n")), "ctw-words")
+    words = stored(word_counts(stats.where("word is not null").select("block", "pos", "word", "n")), "ctw-words")
     taught = base.where(~F.col("held_out")).count()
     sums = words.where("block = -1").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).first()
     n = (sums["n"] or 0) + taught
     v = (sums["c"] or 0) + (1 if taught else 0)
-    listed = stats.where("gram is not null").select("block", "gram", "n")
+    listed = stats.where("gram is not null").select("block", "pos", "gram", "n")
     logs = gram_logs(stored(listed.groupBy("gram").agg(F.sum("n").alias("n")), "ctw-grams"), depth)
-    told = listed.select("block", "gram").distinct().join(logs, "gram").select("block", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("c"), "gram", "logp")
-    told = told.unionByName(words.where("block >= 0").select("block", "word", "c", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("logp")))
+    told = listed.join(logs, "gram").select("block", "pos", F.lit(True).alias("is_gram"), F.col("logp").alias("value"))
+    told = told.unionByName(words.where("block >= 0").select("block", "pos", F.lit(False).alias("is_gram"), F.col("c").cast("double").alias("value")))
     out = f"doc_id {kind}, held_out boolean, words long, seen long, logc double, score double, bytes long"
     got = told.groupBy("block").applyInArrow(_scorer(folder, depth), out)
     tokens = F.col("words") + 1  # the end of a text is a token
