@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 from nightgrid.llm.storage import shared_folder, stored
 from nightgrid.llm.text import codes, id_text, raw, slices, split_words
 
-DEPTH = 4
+DEPTH = 5
 BLOCK_BYTES = 4 << 20
 END = 10
 STATS = ["block", "pos", "word", "gram", "n"]

@@ -138,6 +138,12 @@ def test_op5_matches_brute_force_and_uses_contexts(spark):
     assert sum(r.score for r in held) > 0.75 * sum(want[r.doc_id][6] for r in held)
 
 
+def test_op5_takes_five_bytes_of_context(spark, tmp_path):
+    rows = [(i, f"{'xy'[i % 2]}abcd{'uv'[i % 2]} tail {i % 3}") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    same(QUERIES["op5_context_tree"](spark, str(tmp_path)).collect(), plain(rows, held7, 5))
+
+
 def test_byte_stream_of_edge_texts():
     texts = ["ab c", "", None, " ", "Q"]
     keys, at, _, _ = ctw.byte_stream(pa.array(texts), 2)
