@@ -188,7 +188,7 @@ def _(spark, sf):
         "case when source_id % 5 <> 0 then cast(source_id % 7000 as string) end as sid",
         "floor(ra) + 4e-7 as ra",
         "floor(dec) - 3e-7 as dec",
-    ).where("dec > -80")
+    )
     return search.match_equivalent(a, b)
 
 
@@ -312,7 +312,7 @@ from p where alt >= 0 group by 1,2""",
 
 @query("sky_position_text")
 def _(spark, sf):
-    stars = view(spark, sf, "stars").where("mag <= 3.2")
+    stars = view(spark, sf, "stars")
     obs = view(spark, sf, "observers")
     p = pos.sky_positions(stars.select("source_id", "ra", "dec", "mag"), obs, min_alt=30.0, precise=True)
     return p.select(
@@ -388,8 +388,8 @@ def screen_sql(alt: str, az: str) -> tuple[str, str, str]:
     return sx, sy, den
 
 
-def on_screen(spark, sf, limit=6.0):
-    stars = view(spark, sf, "stars").where(F.col("mag") <= limit).select("source_id", "ra", "dec", "mag", "seq")
+def on_screen(spark, sf):
+    stars = view(spark, sf, "stars").select("source_id", "ra", "dec", "mag", "seq")
     return pos.screen_positions(pos.sky_positions(stars, view(spark, sf, "observers")), cameras(spark, sf))
 
 
