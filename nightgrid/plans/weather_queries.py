@@ -104,7 +104,7 @@ def windy(spark, sf):
     rows = view(spark, sf, "forecast_rows").selectExpr(
         "site", "slot_ts", "event_id", "value % 100 / 100e0 as cloud_cover", "(value*7) % 360 as wind_direction_deg", "event_type as precipitation_type"
     )
-    return wx.latest_slots(rows, [-F.col("event_id")]).where(F.hour("slot_ts") % 5 != 0)
+    return wx.latest_slots(rows, [-F.col("event_id")])
 
 
 @query("interpolate_weather")
@@ -127,14 +127,9 @@ select req_id, site, {c6('case when ca is null then cb when cb is null then ca e
 )
 
 
-def steady(spark, sf):
-    rows = latest(spark, sf)
-    return rows.where(F.hour("slot_ts") % 5 != 0)
-
-
 @query("weather_or_fallback")
 def _(spark, sf):
-    return rounded(wx.weather_or_fallback(asked(spark, sf), steady(spark, sf)).drop("req_ts"), 5)
+    return rounded(wx.weather_or_fallback(asked(spark, sf), latest(spark, sf)).drop("req_ts"), 5)
 
 
 def _noise(x: str, n: int) -> str:
@@ -192,7 +187,7 @@ select site, slot_ts, {c6('0.05e0+2.75e0*pow(cloud_cover,1.15e0)','optical_depth
 def _(spark, sf):
     ev = view(spark, sf, "forecast_rows")
     obs = ev.where("event_type = 'view'").selectExpr("event_id as obs_id", "site", "fetched as ts")
-    metrics = ev.where("event_type = 'error' and hour(fetched) % 9 < 1").selectExpr(
+    metrics = ev.where("event_type = 'error'").selectExpr(
         "site", "fetched as ts", "value % 50 / 100e0 - 0.02e0 as aod", "case when event_id % 3 = 0 then 101000e0 when event_id % 3 = 1 then 990e0 end as pressure_hpa"
     )
     return rounded(wx.atmosphere_asof(obs, metrics).drop("ts"))
