@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nightgrid.functions.angles import rounded
+from nightgrid.functions.scale import cut_lineage
 from nightgrid.operators import terrain as ter
 from nightgrid.plans.adapters import table, view
 from nightgrid.plans.catalog_queries import scratch_dir
@@ -117,7 +118,8 @@ oracle(
 select point_id, {c6('h','h_clamp')}, {c6('case when gx >= 0 and gy >= 0 and gx < nc-1 and gy < nr-1 then h end','h_null')} from smp""",
 )
 
-AZ, BANDS, STEP, REACH = 15.0, 6, 450.0, 40_000.0
+AZ, BANDS, STEP, REACH = 0.5, 20, 50.0, 150_000.0
+N_AZ = 720
 
 
 def posts(spark, sf):
@@ -161,9 +163,14 @@ oracle(
 )
 
 
+def domes(spark, sf):
+    """Written once: the peak rules read them several times, and the rays are cast for the first."""
+    return cut_lineage(ter.light_domes(samples(spark, sf), view(spark, sf, "radiance_cells")))
+
+
 @query("light_domes")
 def _(spark, sf):
-    return rounded(ter.light_domes(samples(spark, sf), view(spark, sf, "radiance_cells")))
+    return rounded(domes(spark, sf))
 
 
 DOMES = f"""rz as (select r, c, {CLEAN['region']} as v from radiance_cells),
@@ -180,7 +187,7 @@ oracle(
 
 @query("horizon_summary")
 def _(spark, sf):
-    return rounded(ter.horizon_summary(ter.horizon_profile(samples(spark, sf)), 24))
+    return rounded(ter.horizon_summary(ter.horizon_profile(samples(spark, sf)), N_AZ))
 
 
 oracle(
@@ -195,9 +202,9 @@ select obs_id, {c6('max(a)','max_deg')}, {c6('avg(a)','mean_deg')}, {c6('max(a)
 
 @query("dome_peaks")
 def _(spark, sf):
-    d = ter.light_domes(samples(spark, sf), view(spark, sf, "radiance_cells"))
-    both = ter.dome_peaks(d, 24).withColumn("rule", F.lit("neighbour"))
-    return rounded(both.unionByName(ter.dome_peaks(d, 24, "window").withColumn("rule", F.lit("window"))))
+    d = domes(spark, sf)
+    both = ter.dome_peaks(d, N_AZ).withColumn("rule", F.lit("neighbour"))
+    return rounded(both.unionByName(ter.dome_peaks(d, N_AZ, "window").withColumn("rule", F.lit("window"))))
 
 
 oracle(
@@ -214,13 +221,13 @@ select obs_id, cast(az_idx as int) as az_idx, {c6('az_idx*15e0','az')}, {c6('dom
 
 @query("cluster_peaks")
 def _(spark, sf):
-    d = ter.light_domes(samples(spark, sf), view(spark, sf, "radiance_cells"))
-    return rounded(ter.cluster_peaks(ter.dome_peaks(d, 24), width=40.0))
+    d = domes(spark, sf)
+    return rounded(ter.cluster_peaks(ter.dome_peaks(d, N_AZ), width=40.0))
 
 
 @query("band_points")
 def _(spark, sf):
-    return rounded(ter.band_points(ter.horizon_profile(samples(spark, sf)), 24, exaggeration=1.5))
+    return rounded(ter.band_points(cut_lineage(ter.horizon_profile(samples(spark, sf))), N_AZ, exaggeration=1.5))
 
 
 oracle(
