@@ -1,9 +1,10 @@
-"""n-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""n-gram Jaccard join with banded MinHash signatures and exact verification.
 
-Equal texts are one class from the start.  Each distinct text gets one sorted
-label of MinHash values in each tree of a forest.  Matched prefixes are
-shortened from the full label until pairs at the threshold share a prefix in
-some tree with the target recall; texts under one prefix are candidates.
+Equal texts are one class from the start.  Each distinct text gets MinHash
+values in each of several trees.  One prefix length serves all texts: the
+longest under which pairs at the threshold share a prefix in some tree with
+the target recall; texts under one prefix are candidates.  Longer prefixes
+would find nothing that this one does not.
 
     1  within a prefix, sketches of whole signatures say which texts are worth
        connecting; only a spanning forest of these is kept
