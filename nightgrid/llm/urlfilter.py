@@ -61,8 +61,9 @@ class Rule:
 
 
 def compile_rules(sites: Sequence[tuple[str, str]] = SITE_RULES, globs: Sequence[tuple[str, str]] = GLOBS) -> list[Rule]:
-    """A site rule fits its host and all subdomains, so it gives two globs."""
+    """A site rule fits its host and all subdomains, so it gives two globs.  So does a glob of hosts: a host can come without a path."""
     out = [Rule(g, v, None, -i) for i, (v, g) in enumerate(globs)]
+    out += [Rule(g[:-3], v, None, -i) for i, (v, g) in enumerate(globs) if g.endswith("/**") and "/" not in g[:-3] and "**" not in g[:-3]]
     for verdict, site in sites:
         out += [Rule(head + site + "**", verdict, site, 1 + len(site)) for head in ("", "*.")]
     return out

@@ -72,6 +72,14 @@ def test_site_rules_on_edge_urls(spark):
     assert urlfilter.judge(pages.limit(0)).count() == 0
 
 
+def test_host_globs_fit_hosts_without_a_path(spark):
+    bad = ["http://best-casino.biz", "http://spam-x.org?q=1", "http://a.spam-x.org#f", "http://x.ads-1.net", "http://ADS-1.net", "http://my-adult-site.org"]
+    good = ["http://robots.txt", "http://wp-admin", "http://goodspam-x.org", "http://q.org?u=casino", "http://"]
+    pages = spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlfilter.judge(pages).collect()}
+    assert got == {i: "block" if i < len(bad) else "allow" for i in range(len(bad + good))}
+
+
 def test_canonical_urls(spark):
     urls = {"https://www.A.com:443/x.html?utm_source=f&b=1#t": "a.com/x?b=1", "http://a.com/x/": "a.com/x", "http://a.com/?ref=z": "a.com", "none": None}
     df = spark.createDataFrame([(u,) for u in [*urls, None]], "url string")
