@@ -224,6 +224,12 @@ def _verify(threshold: float) -> Callable:
     return work
 
 
+def wanted_texts(texts: DataFrame, sized: DataFrame) -> DataFrame:
+    """key, group, n and text of each key of `sized`: copies collapse before any text is shuffled."""
+    # the same plan at every size: a table of components that happens to be small is not broadcast
+    return texts.dropDuplicates(["key"]).join(sized.hint("merge"), "key").select("key", "group", "n", "text")
+
+
 def linked_texts(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
     """`texts` (key, text), any number of rows a key, to (key, root, n_links) of every text with a link."""
     signed = stored(_signed(texts, prefix_length(threshold=threshold, recall=recall)), "jaccard-signatures")
@@ -243,9 +249,7 @@ def linked_texts(texts: DataFrame, threshold: float = THRESHOLD, recall: float =
             sets = pa.array([s.tobytes() for s in distinct_shingles(batch.column(3))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], sets], names=["key", "group", "n", "grams"])
 
-    # the same plan at every size: a table of components that happens to be small is not broadcast
-    wanted = texts.join(sized.hint("merge"), "key").select("key", "group", "n", "text").dropDuplicates(["key"])
-    shingled = wanted.mapInArrow(grams, "key binary, group long, n long, grams binary")
+    shingled = wanted_texts(texts, sized).mapInArrow(grams, "key binary, group long, n long, grams binary")
     rows = _tiled(shingled, "group", "n", tile).select("group", "lo", "hi", "part", "key", "grams")
     exact = stored(rows.mapInArrow(_by_tile(_verify(threshold)), "a binary, b binary, links long"), "jaccard-links")
     links = exact.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("n_links"))

@@ -90,6 +90,15 @@ def test_op8_matches_all_pairs(spark):
     assert sorted((tuple(r) for r in QUERIES["op8_jaccard_join"](spark, SF).collect()), key=str) == plain(rows)
 
 
+def test_copies_collapse_before_their_texts_are_joined(spark):
+    texts = spark.range(900).selectExpr("cast(cast(id % 3 as string) as binary) as key", "concat('text ', id % 3) as text")
+    sized = spark.range(2).selectExpr("cast(cast(id as string) as binary) as key", "id as group", "2L as n")
+    got = jaccard.wanted_texts(texts, sized)
+    assert sorted((r.group, r.text) for r in got.collect()) == [(0, "text 0"), (1, "text 1")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
+
+
 def test_prefixes_shorten_to_the_recall():
     assert jaccard.prefix_length(recall=0.5) > jaccard.prefix_length(recall=0.99) > jaccard.prefix_length(recall=0.9999999)
     d = jaccard.prefix_length()
