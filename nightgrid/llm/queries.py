@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightgrid.llm import bitpack, ctw, decontaminate, jaccard, packing, quality, rules, toxicity, web_queries
+from nightgrid.llm import alignment, bitpack, ctw, decontaminate, jaccard, packing, quality, rules, toxicity, web_queries
 from nightgrid.llm.text import crc_mod
 from nightgrid.llm.tokens import vocab_path
 
@@ -62,3 +62,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.id_files(table(spark, sf_dir, "documents"), vocab_path())
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), vocab_path(), vocab_path("piece_bpe_32k.model"))
