@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightgrid.llm.storage import stored
-from nightgrid.llm.text import from_raw, id_text, raw, slices
+from nightgrid.llm.text import from_raw, id_text, raw, raw_bytes, slices
 from nightgrid.llm.tokens import encoder
 
 BLOCK_BYTES = 8 << 20
@@ -68,6 +68,7 @@ class PieceEncoder:
         ]
         self.data = np.frombuffer(b"".join(coded), np.uint8)
         self.off = np.append(0, np.cumsum([len(c) for c in coded])).astype(np.int64)
+        self.size = np.diff(self.off)
         self._reset()
 
     def _reset(self) -> None:
@@ -129,20 +130,50 @@ class ByteTokens:
             coded[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         self.data = np.frombuffer(b"".join(coded), np.uint8)
         self.off = np.append(0, np.cumsum([len(c) for c in coded])).astype(np.int64)
+        self.size = np.diff(self.off)
 
 
-def align(a: list[int], b: list[int], a_end: list[int], b_end: list[int]) -> tuple[str, int, list[int]]:
-    """Groups as text, their number, and each overlapping pair as a * 2^32 + b, for sides that end together."""
-    i = j = 0
-    links, groups, from_a, from_b = [], [], 0, 0
-    while i < len(a):
-        links.append(a[i] << 32 | b[j])
-        x, y = a_end[i], b_end[j]
-        i, j = i + (x <= y), j + (y <= x)
-        if x == y:
-            groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-            from_a, from_b = i, j
-    return ";".join(groups), len(groups), links
+def _joined(texts: pa.Array, off: np.ndarray, by: str) -> pa.Array:
+    """Each run of texts as one."""
+    lists = pa.LargeListArray.from_arrays(pa.array(off, pa.int64()), texts)
+    return pc.binary_join(lists, pa.scalar(by, texts.type))
+
+
+def align(a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray, a_off: np.ndarray, b_off: np.ndarray):
+    """Groups of each window as text, their number, and its overlapping pairs (a * 2^32 + b) with where they start.
+
+    Windows lie end to end, and both sides of one have equal bytes: `a_off` and
+    `b_off` are their first tokens, `a_end` and `b_end` the bytes where tokens end.
+    """
+    i = np.flatnonzero(np.isin(a_end, b_end, assume_unique=True))
+    j = np.searchsorted(b_end, a_end[i])
+    sides = [
+        _joined(pa.array(ids).cast(pa.large_string()), np.append(0, last + 1), ",")
+        for ids, last in ((a, i), (b, j))
+    ]
+    groups = pc.binary_join_element_wise(*sides, pa.scalar("|", pa.large_string()))
+    at = np.searchsorted(i, a_off)
+    # the B tokens of each A token: from the first that ends after its start to the first that ends at or after its end
+    first = np.searchsorted(b_end, np.append(0, a_end[:-1]), "right")
+    n = np.searchsorted(b_end, a_end) - first + 1
+    ends = np.append(0, np.cumsum(n))
+    partner = np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)
+    links = np.repeat(a.astype(np.uint64), n) << np.uint64(32) | b[partner].astype(np.uint64)
+    return _joined(groups, at, ";"), np.diff(at), links, ends[a_off]
+
+
+class Rows:
+    """Runs of values that grow at the end."""
+
+    def __init__(self, dtype):
+        self.data, self.off = np.zeros(1 << 16, dtype), np.zeros(1, np.int64)
+
+    def add(self, data: np.ndarray, off: np.ndarray) -> None:
+        end = self.off[-1] + len(data)
+        while end > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        self.data[self.off[-1] : end] = data
+        self.off = np.append(self.off, self.off[-1] + off[1:])
 
 
 def sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -160,14 +191,12 @@ class Aligner:
 
     def reset(self) -> None:
         self.known: dict[tuple[bytes, bytes], int] = {}
-        self.text: list[str] = []
-        self.groups: list[int] = []
-        self.links: list[np.ndarray] = []
+        self.groups = np.zeros(0, np.int64)
+        self.text, self.links = Rows(np.uint8), Rows(np.uint64)
 
     def _same(self, side, ids: np.ndarray, off: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """True for each text whose token bytes are its own bytes."""
-        size = np.diff(side.off)
-        even = sums(size[ids], off) == np.diff(at)
+        even = sums(side.size[ids], off) == np.diff(at)
         keep = np.repeat(even, np.diff(off))
         got, _ = gather(side.data, side.off, ids[keep])
         want = data[np.repeat(even, np.diff(at))]
@@ -176,25 +205,31 @@ class Aligner:
         return even & (sums(wrong, at) == 0)
 
     def _number(self, a: pa.Array, b: pa.Array) -> np.ndarray:
-        """Number of each window; new ones are aligned."""
+        """Number of each window; new ones are aligned together."""
         a, b = a.dictionary_encode(), b.dictionary_encode()
         both = a.indices.to_numpy().astype(np.int64) * max(1, len(b.dictionary)) + b.indices.to_numpy()
         pairs, where = np.unique(both, return_inverse=True)
-        a_names, b_names = a.dictionary.to_numpy(zero_copy_only=False), b.dictionary.to_numpy(zero_copy_only=False)
-        out = np.empty(len(pairs), np.int64)
-        for k, (i, j) in enumerate(zip(*(x.tolist() for x in np.divmod(pairs, max(1, len(b_names)))))):
-            key = a_names[i], b_names[j]
-            number = self.known.get(key)
-            if number is None:
-                number = self.known[key] = len(self.text)
-                x, y = np.frombuffer(key[0], np.uint32), np.frombuffer(key[1], np.uint32)
-                ends = [np.cumsum(np.diff(s.off)[ids]).tolist() for s, ids in ((self.a, x), (self.b, y))]
-                text, groups, links = align(x.tolist(), y.tolist(), *ends)
-                self.text.append(text)
-                self.groups.append(groups)
-                self.links.append(np.array(links, np.uint64))
-            out[k] = number
-        return out[where]
+        i, j = np.divmod(pairs, max(1, len(b.dictionary)))
+        keys = list(zip(a.dictionary.take(pa.array(i)).to_pylist(), b.dictionary.take(pa.array(j)).to_pylist()))
+        number = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            number[fresh] = np.arange(len(self.groups), len(self.groups) + len(fresh))
+            self.known.update(zip([keys[k] for k in fresh.tolist()], number[fresh].tolist()))
+            self._learn(a.dictionary.take(pa.array(i[fresh])), b.dictionary.take(pa.array(j[fresh])))
+        return number[where]
+
+    def _learn(self, a: pa.Array, b: pa.Array) -> None:
+        sides = []
+        for side, windows in ((self.a, a), (self.b, b)):
+            data, off = raw_bytes(windows)
+            ids = data.view(np.uint32)
+            sides.append((ids, np.cumsum(side.size[ids]), off // 4))
+        (a, a_end, a_off), (b, b_end, b_off) = sides
+        text, groups, links, off = align(a, b, a_end, b_end, a_off, b_off)
+        self.text.add(*raw(text))
+        self.links.add(links, off)
+        self.groups = np.append(self.groups, groups)
 
     def windows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of A and of B in each text (0 where it has none), its windows, and where they start."""
@@ -208,7 +243,7 @@ class Aligner:
         a, b = a[np.repeat(good, np.diff(a_off))], b[np.repeat(good, np.diff(b_off))]
         if not len(a):
             return n_a, n_b, np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-        a_end, b_end = np.cumsum(np.diff(self.a.off)[a]), np.cumsum(np.diff(self.b.off)[b])
+        a_end, b_end = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
         i = np.flatnonzero(np.isin(a_end, b_end, assume_unique=True))
         j = np.searchsorted(b_end, a_end[i])
         opens_a = np.append(self.a.data[self.a.off[a[1:]]] == SPACE, True)
@@ -248,14 +283,14 @@ class Block:
         """One row per document, and a last one with the windows and pairs of the block."""
         tool, name = self.tool, uuid.uuid4().hex
         numbers, where = np.unique(np.concatenate([r[3] for r in self.rows]), return_inverse=True)
-        links = [tool.links[k] for k in numbers.tolist()]
-        size = np.array([len(x) for x in links], np.int64)
+        links, link_off = gather(tool.links.data, tool.links.off, numbers)
+        size = np.diff(link_off)
         freq = np.bincount(where, minlength=len(numbers)).astype(np.int64)
-        pairs, pair_of = np.unique(np.concatenate([np.zeros(0, np.uint64), *links]), return_inverse=True)
+        pairs, pair_of = np.unique(links, return_inverse=True)
         pair_n = np.zeros(len(pairs), np.int64)
         np.add.at(pair_n, pair_of, np.repeat(freq, size))
-        groups = np.array([tool.groups[k] for k in numbers.tolist()], np.int64)
-        text = [tool.text[k] for k in numbers.tolist()]
+        groups = tool.groups[numbers]
+        text = from_raw(*gather(tool.text.data, tool.text.off, numbers))
         out = {c: [] for c in PARTS[2:8]}
         at = 0
         for _, n_a, n_b, number, off in self.rows:
@@ -265,14 +300,14 @@ class Block:
             out["n_b"].append(n_b)
             out["n_groups"].append(sums(groups[here], off))
             out["n_links"].append(sums(size[here], off))
+            for whole in _joined(text.take(pa.array(here)), off, ";").cast(pa.large_binary()):
+                whole = whole.as_buffer()
+                out["groups_sha256"].append(hashlib.sha256(whole).hexdigest() if whole.size else "")
             coded = here.astype("<u4")
-            for lo, hi in zip(off[:-1].tolist(), off[1:].tolist()):
-                whole = ";".join([text[k] for k in here[lo:hi].tolist()])
-                out["groups_sha256"].append(hashlib.sha256(whole.encode()).hexdigest() if whole else "")
-                out["windows"].append(coded[lo:hi].tobytes())
+            out["windows"] += [coded[lo:hi].tobytes() for lo, hi in zip(off[:-1].tolist(), off[1:].tolist())]
         docs = pa.concat_arrays([r[0] for r in self.rows])
         n = len(docs)
-        shared = [freq, pairs, pair_n, pair_of.astype("<u4"), np.append(0, np.cumsum(size))]
+        shared = [freq, pairs, pair_n, pair_of.astype("<u4"), link_off]
         nulls = pa.nulls(1, pa.int64())
         cols = [pa.array([name] * (n + 1)), pa.concat_arrays([docs, pa.nulls(1, ids)])]
         cols += [pa.concat_arrays([pa.array(np.concatenate(out[c]), pa.int64()), nulls]) for c in PARTS[2:6]]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightgrid.llm import alignment, bitpack, ctw, decontaminate, jaccard, packing, quality, rules, toxicity, web_queries
+from nightgrid.llm import alignment, bitpack, ctw, decontaminate, divergence, jaccard, packing, quality, repeats, rules, toxicity, web_queries
 from nightgrid.llm.text import crc_mod
 from nightgrid.llm.tokens import vocab_path
 
@@ -67,3 +67,16 @@ def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"), vocab_path(), vocab_path("piece_bpe_32k.model"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = divergence.ORACLE
+
+
+@query
+def op13_repeat_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut_repeats(table(spark, sf_dir, "documents")).drop("kept")

@@ -52,6 +52,15 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def raw_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all binary values end to end, and where each starts."""
+    values = values.cast(pa.large_binary())
+    off = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    held = values.buffers()[2]
+    held = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+    return (held[off[0] : off[-1]], off - off[0]) if len(off) else (held[:0], np.zeros(1, np.int64))
+
+
 def from_raw(data: np.ndarray, off: np.ndarray) -> pa.Array:
     """Texts over bytes that are known to be UTF-8."""
     return pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)])
