@@ -68,18 +68,33 @@ def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gram, _join(h[: -(SIZE - 64)], h[SIZE - 64 :])
 
 
-def _least(values: np.ndarray) -> np.ndarray:
-    """Least of each REACH consecutive values."""
+def _best(values: np.ndarray, pick=np.minimum) -> np.ndarray:
+    """Least (or greatest) of each REACH consecutive values."""
     width = 1
     while 2 * width <= REACH:
-        values = np.minimum(values[:-width], values[width:])
+        values = pick(values[:-width], values[width:])
         width *= 2
     rest = REACH - width
-    return np.minimum(values[:-rest], values[rest:]) if rest else values
+    return pick(values[:-rest], values[rest:]) if rest else values
+
+
+def _loops(gram: np.ndarray, anchor: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """True for each run of starts whose anchor lies in it twice."""
+    # no window around a place has a greater least than its value, and one has that value if it is the least there
+    none = np.zeros(REACH - 1, np.uint64)
+    least = np.flatnonzero(_best(np.concatenate([none, anchor, none]), np.maximum) == gram)
+    lo, hi = np.searchsorted(least, start), np.searchsorted(least, start + size + REACH - 1)
+    n = hi - lo
+    ends = np.append(0, np.cumsum(n))
+    at = least[np.arange(ends[-1]) + np.repeat(lo - ends[:-1], n)]
+    found = np.append(0, np.cumsum(gram[at] == np.repeat(anchor[start], n)))
+    return found[ends[1:]] - found[ends[:-1]] > 1
 
 
 class Windows:
-    """Runs of starts with one anchor in a block: anchor, first start (in the block), starts, and a hash of their bytes."""
+    """Runs of starts with one anchor in a block: anchor, first start (in the block), starts, further starts whose bytes
+    belong to it (where a long run was cut), a hash of all its bytes, and whether the anchor lies in it twice, so that
+    it may repeat itself."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, gram_hashes: bool = False):
         parts, grams = [], []
@@ -87,7 +102,7 @@ class Windows:
         for lo in range(0, max(0, len(data) - SIZE + 1), STARTS):
             hi = min(lo + STARTS, len(data) - SIZE + 1)
             gram, whole = _grams(data[lo : hi + SIZE - 1])
-            anchor = _least(gram)
+            anchor = _best(gram)
             at = np.flatnonzero(np.arange(lo, hi) <= last[lo:hi])
             if not len(at):
                 continue
@@ -99,19 +114,22 @@ class Windows:
             # long runs (of one repeated byte, say) are cut
             pieces = -(-size // RUN)
             more = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            stop = np.repeat(begin + size, pieces)
             begin = np.repeat(begin, pieces) + more * RUN
             size = np.diff(np.append(begin, len(at)))
+            more = np.minimum(stop - begin - size, DEEP - SIZE)
             spread = mix(whole[at])
             turn = np.arange(len(at), dtype=np.uint64)
             one, two = (np.append(np.uint64(0), np.cumsum(x)) for x in (spread, spread * turn))
-            end = begin + size
+            end = begin + size + more
             hashed = two[end] - two[begin] - begin.astype(np.uint64) * (one[end] - one[begin])
-            hashed = mix(np.uint64(2) * hashed + (one[end] - one[begin]) + size.astype(np.uint64))
-            parts.append((key[begin], at[begin] + lo, size, hashed))
+            hashed = mix(np.uint64(2) * hashed + (one[end] - one[begin]) + (size + np.int64(RUN) * more).astype(np.uint64))
+            parts.append((key[begin], at[begin] + lo, size, more, hashed, _loops(gram, anchor, at[begin], size)))
             if gram_hashes:
                 grams.append((at + lo, whole[at]))
-        cols = zip(*parts) if parts else [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]]
-        self.anchor, self.start, self.size, self.hash = (np.concatenate(list(c)) for c in cols)
+        kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint64, bool)
+        cols = (np.concatenate([np.zeros(0, kind), *[p[i] for p in parts]]) for i, kind in enumerate(kinds))
+        self.anchor, self.start, self.size, self.more, self.hash, self.loop = cols
         if gram_hashes:
             self.gram_at, self.gram = (np.concatenate([g[i] for g in grams]) if grams else np.zeros(0, np.int64) for i in (0, 1))
 
@@ -152,13 +170,14 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh = np.append(0, np.cumsum(_firsts([anchor, w.hash[order]])))
             end = np.append(begin[1:], len(anchor)) if len(begin) else begin
             n = np.minimum(end - begin, np.maximum(2, fresh[end] - fresh[begin]))
+            n = np.maximum(n, 1 + np.logical_or.reduceat(w.loop[order], begin)) if len(begin) else n
             cols = [pa.array(anchor[begin].view(np.int64)), pa.repeat(pa.scalar(int(blocks[lo]), pa.int64()), len(begin)), pa.array(n, pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, ["anchor", "block", "n"])
 
 
-SENT = ["anchor", "hash", "doc_id", "block", "row", "start", "size", "text"]
-SENT_TYPES = [*[pa.int64()] * 7, pa.binary()]
-SENT_SCHEMA = "anchor long, hash long, doc_id long, block long, row long, start long, size long, text binary"
+SENT = ["anchor", "hash", "doc_id", "block", "row", "start", "size", "more", "loop", "text"]
+SENT_TYPES = [*[pa.int64()] * 8, pa.bool_(), pa.binary()]
+SENT_SCHEMA = "anchor long, hash long, doc_id long, block long, row long, start long, size long, more long, loop boolean, text binary"
 
 
 def _send(docs: pa.Table, replies: pa.Table) -> pa.Table:
@@ -174,25 +193,25 @@ def _send(docs: pa.Table, replies: pa.Table) -> pa.Table:
     place = np.minimum(np.searchsorted(wanted, anchor), max(0, len(wanted) - 1))
     known = wanted[place] == anchor if len(wanted) else np.zeros(len(anchor), bool)
     cold = known & ~hot[place] if len(wanted) else known
-    cols = [anchor[cold], w.hash.view(np.int64)[cold], w.start[cold], w.size[cold]]
+    cols = [anchor[cold], w.hash.view(np.int64)[cold], w.start[cold], w.size[cold], w.more[cold], w.loop[cold]]
     if hot.any():  # one window per start, found by the whole passage
         runs = np.flatnonzero(known & hot[place])
         at = np.repeat(w.start[runs], w.size[runs]) + np.arange(w.size[runs].sum()) - np.repeat(np.cumsum(w.size[runs]) - w.size[runs], w.size[runs])
         gram = w.gram[np.searchsorted(w.gram_at, at)]
-        more = [gram.view(np.int64), mix(gram ^ np.uint64(SIZE)).view(np.int64), at, np.ones(len(at), np.int64)]
+        more = [gram.view(np.int64), mix(gram ^ np.uint64(SIZE)).view(np.int64), at, np.ones(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), bool)]
         cols = [np.concatenate(x) for x in zip(cols, more)]
-    key, hashed, start, size = cols
+    key, hashed, start, size, more, loop = cols
     row = np.searchsorted(off, start, "right") - 1
     order = np.lexsort((start, row, ids[row], hashed, key))
-    key, hashed, start, size, row = (x[order] for x in (key, hashed, start, size, row))
+    key, hashed, start, size, more, loop, row = (x[order] for x in (key, hashed, start, size, more, loop, row))
     lead = _firsts([key, hashed])
-    length = np.where(lead, size + SIZE - 1, 0)
+    length = np.where(lead, size + more + SIZE - 1, 0)
     ends = np.append(0, np.cumsum(length))
     held = data[np.arange(ends[-1]) + np.repeat(start - ends[:-1], length)] if len(length) else data[:0]
     text = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(held))])
     text = pc.if_else(pa.array(lead), text.cast(pa.binary()), pa.scalar(None, pa.binary()))
     block = pa.repeat(docs["block"][0], len(key)) if docs.num_rows else pa.array([], pa.int64())
-    cols = [key, hashed, ids[row], block, row, start - off[row], size, text]
+    cols = [key, hashed, ids[row], block, row, start - off[row], size, more, loop, text]
     return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], SENT).cast(pa.schema(list(zip(SENT, SENT_TYPES))))
 
 
@@ -274,9 +293,9 @@ def intervals(common: np.ndarray, left: np.ndarray, rank: np.ndarray, least: int
 def _resolve(groups: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        key, hashed, ids, block, row, start, size = (table[c].to_numpy() for c in SENT[:7])
+        key, hashed, ids, block, row, start, size, more, loop = (table[c].to_numpy(zero_copy_only=False) for c in SENT[:9])
         order = np.lexsort((start, row, block, ids, hashed, key))
-        key, hashed, ids, block, row, start, size = (x[order] for x in (key, hashed, ids, block, row, start, size))
+        key, hashed, ids, block, row, start, size, more, loop = (x[order] for x in (key, hashed, ids, block, row, start, size, more, loop))
         lead = _firsts([key, hashed])
         member = np.cumsum(lead) - 1  # which distinct window each row is
         lead = np.flatnonzero(lead)
@@ -287,9 +306,9 @@ def _resolve(groups: bool):
         having = np.full(len(lead), -1)
         rows = np.flatnonzero(held)[::-1]
         having[member[rows]] = rows
-        # suffixes of the windows that share an anchor with a different one
+        # suffixes of the windows that share an anchor with a different one, or may repeat themselves
         number = np.cumsum(_firsts([key[lead]])) - 1
-        pick = np.flatnonzero(np.bincount(number)[number] > 1)
+        pick = np.flatnonzero((np.bincount(number)[number] > 1) | loop[lead])
         data, off = raw_bytes(text.take(pa.array(order[having[pick]])))
         count = size[lead[pick]]
         owner = np.repeat(pick, count)
@@ -306,7 +325,12 @@ def _resolve(groups: bool):
         rank[np.lexsort((start[lead[owner]] + shift, row[lead[owner]], block[lead[owner]], ids[lead[owner]]))] = np.arange(len(sa))
         found = intervals(common, left, rank)
         if groups:
-            return _group_rows(found, lead, copies, owner, shift, ids, start, size)
+            # equal windows, unless a group of the tree holds all of the string
+            deepest = np.maximum(common, np.append(common[1:], -1))
+            leaf = np.flatnonzero(edge & (copies[owner] > 1) & (deepest < np.minimum(length, DEEP)))
+            rest = np.setdiff1d(np.flatnonzero(copies > 1), pick)
+            leaves = [(owner[leaf], shift[leaf], np.minimum(length[leaf], DEEP)), (rest, 0 * rest, (size + more)[lead[rest]] + SIZE - 1)]
+            return _group_rows(found, [np.concatenate(x) for x in zip(*leaves)], lead, copies, owner, shift, ids, start)
         lose = np.array([x for f in found for x in f[3]], np.int64)
         span = np.array([f[2] for f in found for _ in f[3]], np.int64)
         later = np.ones(len(key), bool)
@@ -319,10 +343,10 @@ def _resolve(groups: bool):
     return run
 
 
-def _group_rows(found, lead, copies, owner, shift, ids, start, size) -> pa.Table:
+def _group_rows(found, leaves, lead, copies, owner, shift, ids, start) -> pa.Table:
     """Every occurrence of every group: its string is named by its first occurrence and its length."""
     out = {c: [] for c in ("first_doc", "first_start", "length", "doc_id", "start")}
-    sets = [(lead[k] + np.arange(copies[k]), np.zeros(copies[k], np.int64), size[lead[k]] + SIZE - 1) for k in np.flatnonzero(copies > 1).tolist()]
+    sets = [(lead[k] + np.arange(copies[k]), np.full(copies[k], move), length) for k, move, length in zip(*(x.tolist() for x in leaves))]
     for lo, hi, length, _ in found:
         own = owner[lo : hi + 1]
         n = copies[own]
