@@ -35,7 +35,9 @@ from nightgrid.llm.text import from_raw, id_text, raw, raw_bytes, slices
 from nightgrid.llm.tokens import encoder
 
 BLOCK_BYTES = 8 << 20
-CACHED_CHUNKS = 250_000  # chunks and windows kept by a Python worker
+SLICE_BYTES = 1 << 20
+CACHED = 120_000  # chunks and windows that a Python worker keeps for its next block
+APART = b"\xff\xff\xff\xff"  # no id
 MARK = "▁"
 SPACE = 32
 
@@ -105,7 +107,7 @@ class PieceEncoder:
         place = np.append(0, np.cumsum(keep))
         coded = from_raw(data[keep], place[at]).dictionary_encode()
         where, names = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
-        if len(self.known) > CACHED_CHUNKS:
+        if len(self.known) > CACHED:
             self._reset()
         code = np.fromiter((self.known.get(c, -1) for c in names), np.int64, len(names))
         fresh = np.flatnonzero(code < 0)
@@ -190,7 +192,7 @@ class Aligner:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
+        self.known: dict[bytes, int] = {}
         self.groups = np.zeros(0, np.int64)
         self.text, self.links = Rows(np.uint8), Rows(np.uint64)
 
@@ -210,7 +212,7 @@ class Aligner:
         both = a.indices.to_numpy().astype(np.int64) * max(1, len(b.dictionary)) + b.indices.to_numpy()
         pairs, where = np.unique(both, return_inverse=True)
         i, j = np.divmod(pairs, max(1, len(b.dictionary)))
-        keys = list(zip(a.dictionary.take(pa.array(i)).to_pylist(), b.dictionary.take(pa.array(j)).to_pylist()))
+        keys = pc.binary_join_element_wise(a.dictionary.take(pa.array(i)), b.dictionary.take(pa.array(j)), pa.scalar(APART, pa.large_binary())).to_pylist()
         number = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
         fresh = np.flatnonzero(number < 0)
         if len(fresh):
@@ -319,9 +321,9 @@ class Block:
 def _blocks(a_path: str, b_path: str, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, tool = None, aligner(a_path, b_path)
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=SLICE_BYTES):
             if block is None:
-                if len(tool.known) > CACHED_CHUNKS:
+                if len(tool.known) > CACHED:
                     tool.reset()
                 block = Block(tool)
             block.add(batch)
