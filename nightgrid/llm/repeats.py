@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nightgrid.llm.storage import stored
+from nightgrid.llm.storage import parts_for, stored_by
 from nightgrid.llm.text import id_text, mix, raw, raw_bytes, slices
 
 SIZE = 100  # bytes of a passage
@@ -40,10 +40,10 @@ GRAM = 40  # bytes of an anchor
 REACH = SIZE - GRAM + 1
 RUN = 512  # starts of one window at most
 DEEP = 160  # bytes of a suffix that are compared
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 STARTS = 1 << 20
 HOT = 20_000
-BUCKET_ROWS = 60_000
+BUCKET_CHARS = 8_000_000  # characters of all texts for each bucket of windows
 FIRST = np.iinfo(np.int64).min  # place of null ids
 
 
@@ -180,8 +180,12 @@ SENT_TYPES = [*[pa.int64()] * 8, pa.bool_(), pa.binary()]
 SENT_SCHEMA = "anchor long, hash long, doc_id long, block long, row long, start long, size long, more long, loop boolean, text binary"
 
 
-def _send(docs: pa.Table, replies: pa.Table) -> pa.Table:
-    """Windows of one block whose anchors occur again; equal ones after the first go without their bytes."""
+def _send(docs: pa.Table, replies: pa.Table, copies: bool) -> pa.Table:
+    """Windows of one block whose anchors occur again.
+
+    Equal ones after the first go without their bytes (`copies`), or joined to
+    spans that the block is to lose (`more` is -1 there, `size` the length).
+    """
     docs = docs.combine_chunks().sort_by("row")
     texts = docs["text"].combine_chunks() if isinstance(docs["text"], pa.ChunkedArray) else docs["text"]
     data, off = raw(texts)
@@ -205,6 +209,13 @@ def _send(docs: pa.Table, replies: pa.Table) -> pa.Table:
     order = np.lexsort((start, row, ids[row], hashed, key))
     key, hashed, start, size, more, loop, row = (x[order] for x in (key, hashed, start, size, more, loop, row))
     lead = _firsts([key, hashed])
+    if not copies:
+        lost = merge_spans(0 * row[~lead], row[~lead], (start - off[row])[~lead], (start - off[row] + size + SIZE - 1)[~lead])
+        at, begin, end = (lost[c].to_numpy() for c in ("row", "begin", "end"))
+        none = 0 * at
+        spans = [mix(at.astype(np.uint64)).view(np.int64), none, off[at] + begin, end - begin, none - 1, none.astype(bool), at]
+        key, hashed, start, size, more, loop, row = (np.concatenate(x) for x in zip((x[lead] for x in (key, hashed, start, size, more, loop, row)), spans))
+        lead = more >= 0
     length = np.where(lead, size + more + SIZE - 1, 0)
     ends = np.append(0, np.cumsum(length))
     held = data[np.arange(ends[-1]) + np.repeat(start - ends[:-1], length)] if len(length) else data[:0]
@@ -224,36 +235,38 @@ def suffix_array(data: np.ndarray, start: np.ndarray, size: np.ndarray, group: n
     start, size, group = start[order], size[order], group[order]
     first = _firsts([group])
     common = np.where(first, -1, 0).astype(np.int64)
-    padded = np.append(data, np.zeros(8, np.uint8))
+    words = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        words[: len(data) - i] |= data[i:].astype(np.uint64) << np.uint64(56 - 8 * i)
+    inside = np.append(np.uint64(0), ~np.uint64(0) << np.arange(56, -1, -8, dtype=np.uint64))  # the first n bytes of a word
     live, depth = np.arange(len(order)), 0
-    tie = np.cumsum(first)
+    tie = np.cumsum(first) - 1
     while len(live):
-        # members of ties of one are done
-        n = np.bincount(tie)[tie]
-        live, tie = live[n > 1], tie[n > 1]
+        more = np.bincount(tie)[tie] > 1  # ties of one are done
+        live, tie = live[more], np.cumsum(_firsts([tie[more]])) - 1
         if not len(live) or depth >= size[live].max():
             break
-        word = np.zeros(len(live), np.uint64)
-        for i in range(8):
-            inside = size[live] > depth + i
-            byte = np.zeros(len(live), np.uint64)
-            byte[inside] = padded[start[live[inside]] + depth + i]
-            word = word << np.uint64(8) | byte
-        by = np.lexsort((word, tie))
-        word = word[by]
+        left = np.clip(size[live] - depth, 0, 8)
+        word = words[np.where(left > 0, start[live] + depth, 0)] & inside[left]
+        head = np.flatnonzero(_firsts([tie]))
+        mixed = np.zeros(len(head), bool)
+        mixed[tie[word != word[head][tie]]] = True
+        part = np.flatnonzero(mixed[tie])  # only ties that come apart are sorted
+        by = part[np.lexsort((word[part], tie[part]))]
         for x in (order, start, size):
-            x[live] = x[live[by]]
-        split = np.append(False, (tie[1:] == tie[:-1]) & (word[1:] != word[:-1]))
+            x[live[part]] = x[live[by]]
+        word[part] = word[by]
+        fresh = _firsts([tie])
+        split = ~fresh
+        split[1:] &= word[1:] != word[:-1]
         at = np.flatnonzero(split)
         apart = word[at] ^ word[at - 1]
         equal = np.zeros(len(at), np.int64)
         for i in range(1, 8):
             equal[apart >> np.uint64(64 - 8 * i) == 0] = i
+        common[live[~fresh]] = depth + 8
         common[live[at]] = depth + equal
-        fresh = _firsts([tie]) | split
-        tied = ~fresh
-        common[live[tied]] = depth + 8
-        tie = np.cumsum(fresh)
+        tie = np.cumsum(fresh | split) - 1
         depth += 8
     near = np.flatnonzero(common >= 0)
     common[near] = np.minimum(common[near], np.minimum(size[near], size[near - 1]))
@@ -268,10 +281,13 @@ def intervals(common: np.ndarray, left: np.ndarray, rank: np.ndarray, least: int
     after none in a longer interval, so each member is in at most one such list.
     """
     out, stack = [], []  # of [length, first, left, best, losers]
-    n = len(common)
-    for i in range(n + 1):
-        depth = int(common[i]) if i < n else -1
-        first, side, best = i - 1, int(left[i - 1]) if i else -1, i - 1
+    deep = np.append(common >= least, False)
+    steps = np.flatnonzero(deep | np.append(False, deep[:-1]))  # all others start and end nothing
+    before = np.maximum(steps - 1, 0)
+    depths = np.append(common, -1)[steps].tolist()
+    sides, rank = left[before].tolist(), rank.tolist()
+    for i, depth, side in zip(steps.tolist(), depths, sides):
+        first = best = i - 1
         while stack and stack[-1][0] > depth:
             length, first, other, old, lost = stack.pop()
             worse, best = (best, old) if rank[old] < rank[best] else (old, best)
@@ -279,7 +295,7 @@ def intervals(common: np.ndarray, left: np.ndarray, rank: np.ndarray, least: int
             side = other if other == side else -1
             if side < 0:
                 out.append((first, i - 1, length, lost))
-        if depth >= least and i:
+        if depth >= least:
             if stack and stack[-1][0] == depth:
                 top = stack[-1]
                 worse, top[3] = (best, top[3]) if rank[top[3]] < rank[best] else (top[3], best)
@@ -293,6 +309,8 @@ def intervals(common: np.ndarray, left: np.ndarray, rank: np.ndarray, least: int
 def _resolve(groups: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
+        spans = table.filter(pc.less(table["more"], 0))
+        table = table.filter(pc.greater_equal(table["more"], 0)).combine_chunks()
         key, hashed, ids, block, row, start, size, more, loop = (table[c].to_numpy(zero_copy_only=False) for c in SENT[:9])
         order = np.lexsort((start, row, block, ids, hashed, key))
         key, hashed, ids, block, row, start, size, more, loop = (x[order] for x in (key, hashed, ids, block, row, start, size, more, loop))
@@ -338,7 +356,9 @@ def _resolve(groups: bool):
         who = np.concatenate([np.flatnonzero(later), lead[owner[lose]]])
         begin = np.concatenate([start[later], start[lead[owner[lose]]] + shift[lose]])
         end = begin + np.concatenate([size[later] + SIZE - 1, span])
-        return merge_spans(block[who], row[who], begin, end)
+        lost = [spans[c].to_numpy() for c in ("block", "row", "start", "size")]
+        parts = zip((block[who], row[who], begin, end), (*lost[:3], lost[2] + lost[3]))
+        return merge_spans(*(np.concatenate(p) for p in parts))
 
     return run
 
@@ -401,25 +421,27 @@ def _cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.table(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents stored in numbered blocks: (block, row, doc_id, text)."""
+def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """Documents in numbered blocks, stored by block: (block, row, doc_id, text); and the buckets their windows need."""
     texts = id_text(docs, id_col, text_col)
     texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return stored(texts.mapInArrow(_in_blocks(block_bytes), "block long, row long, doc_id long, text string"), "repeat-blocks")
+    buckets = parts_for(texts, chars=BUCKET_CHARS)
+    slots = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return stored_by(texts.mapInArrow(_in_blocks(block_bytes), "block long, row long, doc_id long, text string"), "repeats", "block", slots), buckets
 
 
-def sent_windows(blocks: DataFrame, hot: int = HOT) -> DataFrame:
-    """Stored windows of all anchors that occur again."""
+def windows_by_anchor(blocks: DataFrame, buckets: int, hot: int, copies: bool):
+    """Windows of all anchors that occur again, grouped by anchor."""
     anchors = blocks.select("block", "text").mapInArrow(_anchor_rows, "anchor long, block long, n int")
     total = F.sum("n").over(Window.partitionBy("anchor"))  # a row per block and anchor
     again = anchors.withColumn("total", total).where(F.col("total") > 1)
     again = again.select("block", "anchor", (F.col("total") > hot).alias("hot"))
-    return stored(blocks.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_send, SENT_SCHEMA), "repeat-windows")
 
+    def send(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        return _send(docs, replies, copies)
 
-def _buckets(sent: DataFrame) -> DataFrame:
-    n = max(1, -(-sent.count() // BUCKET_ROWS))
-    return sent.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(n)).alias("bucket"))
+    sent = blocks.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(send, SENT_SCHEMA)
+    return sent.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"))
 
 
 def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -430,9 +452,9 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     or right inside its anchor windows; a repeat longer than a window comes as
     groups that overlap by 99 bytes.
     """
-    sent = sent_windows(in_blocks(docs, id_col, text_col, block_bytes), hot)
+    sent = windows_by_anchor(*in_blocks(docs, id_col, text_col, block_bytes), hot, copies=True)
     schema = "first_doc long, first_start long, length long, doc_id long, start long"
-    rows = _buckets(sent).applyInArrow(_resolve(True), schema)
+    rows = sent.applyInArrow(_resolve(True), schema)
     return rows.select(*[F.nullif(F.col(c), F.lit(int(FIRST))).alias(c) if c.endswith("doc") or c == "doc_id" else c for c in rows.columns])
 
 
@@ -448,8 +470,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     so no other column can clash.  Texts may be of any length; long ones are
     hashed piece by piece.
     """
-    blocks = in_blocks(docs, id_col, text_col, block_bytes)
-    sent = sent_windows(blocks, hot)
-    spans = _buckets(sent).applyInArrow(_resolve(False), "block long, row long, begin long, end long")
+    blocks, buckets = in_blocks(docs, id_col, text_col, block_bytes)
+    spans = windows_by_anchor(blocks, buckets, hot, copies=False).applyInArrow(_resolve(False), "block long, row long, begin long, end long")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut, schema)

@@ -30,3 +30,11 @@ def parts_for(docs: DataFrame, text_col: str = "text", chars: int = PART_CHARS)
     """Partitions of about `chars` characters each, counted over all rows."""
     total = docs.agg(F.sum(F.length(text_col).cast("long") + 1).alias("n")).first()["n"] or 0
     return max(1, math.ceil(total / chars))
+
+
+def stored_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Written as a table of hash buckets of `key` in the shared folder: a join or co-group on `key` does not shuffle it again."""
+    folder = shared_folder(df.sparkSession, name)
+    table = folder.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.option("path", folder).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+    return df.sparkSession.table(table)

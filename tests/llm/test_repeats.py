@@ -57,7 +57,7 @@ def test_matches_all_strings(spark, monkeypatch):
     rows = rows_with_repeats(1)
     assert cut(spark, rows, block_bytes=3000) == plain(rows)
     assert cut(spark, rows, hot=6, block_bytes=2000) == plain(rows)
-    monkeypatch.setattr(repeats, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(repeats, "BUCKET_CHARS", 2000)
     monkeypatch.setattr(repeats, "STARTS", 257)
     monkeypatch.setattr(repeats, "RUN", 100)
     assert cut(spark, rows) == plain(rows)
