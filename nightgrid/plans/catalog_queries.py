@@ -143,8 +143,7 @@ oracle(
     "fuse_brightest",
     "stars",
     f"""{HALVES}, u as (select *, 0 as src from base union all select *, 1 as src from extra),
-k as (select * from u where source_id > 0 qualify row_number() over (partition by source_id order by mag, src, seq)=1
- union all select * from u where not source_id > 0)
+k as (select * from u qualify source_id <= 0 or row_number() over (partition by source_id order by mag, src, seq)=1)
 select source_id, {c6('ra','ra')}, {c6('dec','dec')}, {c6('mag','mag')}, {c6('bp_rp','bp_rp')} from k""",
 )
 

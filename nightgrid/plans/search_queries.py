@@ -197,7 +197,7 @@ oracle(
     "stars",
     f"""a as (select distinct source_id as a_id, case when source_id % 3 <> 0 then cast(source_id % 5000 as varchar) else '' end as sid, floor(ra) as ra, floor(dec) as dec from stars),
 b as (select source_id*1000+cast(floor(mag*10) as bigint) as b_seq, case when source_id % 5 <> 0 then cast(source_id % 7000 as varchar) else '' end as sid,
-  floor(ra)+4e-7 as ra, floor(dec)-3e-7 as dec from stars where floor(dec)-3e-7 > -80),
+  floor(ra)+4e-7 as ra, floor(dec)-3e-7 as dec from stars),
 i as (select a_id, min(b_seq) as b_seq from a join b on a.sid = b.sid where a.sid <> '' group by 1),
 p as (select a_id, min(b_seq) as b_seq from a join b on a.ra = round(b.ra) and a.dec = round(b.dec) where not (a.sid <> '' and b.sid <> '')
   and abs({w180('a.ra-b.ra')}) <= 1e-6 and abs(a.dec-b.dec) <= 1e-6 group by 1)
@@ -327,7 +327,7 @@ oracle(
     "stars observers",
     f"""o0 as (select *, cast(datediff('day', date '2000-01-01', make_date(year,1,1)) as double)+doy+ut_hour/24e0-0.5e0 as d from observers),
 o as (select *, {w360(f'{GMST}+lon')} as lst from o0),
-p as (select obs_id, source_id, ra, dec, lst, {_ALT} as alt, {_AZ} as az, cast(floor(ra/15e0*3600e0+0.5e0) as bigint) % 86400 as ss from stars, o where mag <= 3.2e0)
+p as (select obs_id, source_id, ra, dec, lst, {_ALT} as alt, {_AZ} as az, cast(floor(ra/15e0*3600e0+0.5e0) as bigint) % 86400 as ss from stars, o)
 select obs_id, source_id, {c6('alt','alt',5)}, {c6('az','az',5)}, {c6('lst','lst',5)}, printf('%02dh %02dm %02ds', ss//3600, (ss//60)%60, ss%60) as ra_text,
  case when dec >= 0 then '+' else '-' end || printf('%.3f', abs(dec)) || '°' as dec_text from p where alt >= 30""",
 )
@@ -394,7 +394,7 @@ def on_screen(spark, sf):
 
 
 _SX, _SY, _DEN = screen_sql("alt", "az")
-ON_SCREEN = f"""o as (select *, {LST} as lst from observers), p as (select obs_id, source_id, seq, mag, {_ALT} as alt, {_AZ} as az from stars, o where mag <= 6e0),
+ON_SCREEN = f"""o as (select *, {LST} as lst from observers), p as (select obs_id, source_id, seq, mag, {_ALT} as alt, {_AZ} as az from stars, o),
 {CAMS}, q as (select p.*, {_SX} as sx, {_SY} as sy, {_DEN} as den, width, height from p join cam using (obs_id) where alt >= 0),
 scr as (select * from q where den > 1e-6 and sx between -30e0 and width+30e0 and sy between -30e0 and height+30e0)"""
 

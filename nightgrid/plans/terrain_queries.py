@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from nightgrid.functions.angles import rounded
 from nightgrid.functions.scale import cut_lineage
+from nightgrid.operators import horizon as hor
 from nightgrid.operators import terrain as ter
 from nightgrid.plans.adapters import table, view
 from nightgrid.plans.catalog_queries import scratch_dir
-from nightgrid.plans.radiance_queries import CLEAN
 from nightgrid.plans.registry import c6, oracle, query
-from nightgrid.plans.search_queries import D, K
 from nightgrid.sources import grids
 
 HEADERS = """select s_suppkey as seq, case when s_suppkey % 9 = 4 then 'Y_(' || cast((s_suppkey*7)%40 as varchar(9)) || '_' || cast((s_suppkey*7)%40+6 as varchar(9)) || ')X_(' || cast((s_suppkey*11)%50 as varchar(9)) || '_' || cast((s_suppkey*11)%50+8 as varchar(9)) || ').npy'
@@ -128,44 +127,19 @@ def posts(spark, sf):
     )
 
 
-def samples(spark, sf):
+def rays(spark, sf):
     cells, grid = dem_grid(spark, sf, 1000.0)
-    return ter.ray_samples(
-        posts(spark, sf), ter.cell_stencils(cells), grid, BANDS, REACH, STEP, AZ, eye=1.7, border="null", missing=0.0
-    )
-
-
-RAYS = f"""{DIM}, st as (select 0 as step, 0.5e0 as d, 0e0 as last, false as light union all
- select step+1, nd, case when nd-last >= 2000e0 then nd else last end, nd-last >= 2000e0 from
-  (select *, case when d < 450e0 then least(d*1.5e0,450e0) when d < 3000e0 then d+450e0 when d < 15000e0 then d+900e0 else d+1800e0 end as nd from st) where nd < 40000e0),
-cuts as (select 0 as b, 0e0 as lo, exp(ln(5000e0)/4e0) as hi union all select i, exp(ln(5000e0)*i/4e0), least(5000e0,exp(ln(5000e0)*(i+1)/4e0)) from range(1,4) t(i)
- union all select 4, 5000e0, exp(ln(5000e0)+(ln(40000e0)-ln(5000e0))/2e0) union all select 5, exp(ln(5000e0)+(ln(40000e0)-ln(5000e0))/2e0), 40000e0),
-po as (select obs_id, cast((obs_id*7) % 50 as double)*1000e0+250e0 as x, cast((obs_id*11) % 40 as double)*1000e0+125e0 as y from observers),
-og as (select obs_id, x, y, x/1000e0 as gx, y/1000e0 as gy from po), {bilinear_sql('og','null').replace('g1','g0').replace('smp','gnd')},
-ry as (select g.obs_id, i as az_idx, step, d, b as band, light, coalesce(g.h,0e0)+1.7e0 as eye, g.x+d*sin(i*15e0*{K}) as x, g.y+d*cos(i*15e0*{K}) as y
- from gnd g, range(24) t(i), st left join cuts on lo <= d and d < hi),
-rg as (select ry.*, x/1000e0 as gx, y/1000e0 as gy from ry), {bilinear_sql('rg','null')},
-sa as (select *, coalesce(h,0e0) as hh, atan2(coalesce(h,0e0)-d*d/(2e0*6371000e0)-eye, d) as ang from smp)"""
-PROFILE = """pf as (select obs_id, az_idx, band, ang as angle, d as dist, hh as height from sa where band is not null
- qualify row_number() over (partition by obs_id, az_idx, band order by ang desc, d)=1)"""
+    return hor.Rays(posts(spark, sf), cells, grid, BANDS, REACH, STEP, AZ, eye=1.7, border="null", missing=0.0)
 
 
 @query("horizon_profile")
 def _(spark, sf):
-    return rounded(ter.horizon_profile(samples(spark, sf)))
-
-
-oracle(
-    "horizon_profile",
-    "dem_cells observers",
-    f"{RAYS}, {PROFILE} select obs_id, cast(az_idx as int) as az_idx, band, {c6('angle','angle')}, {c6('dist','dist')}, {c6('height','height')} from pf",
-    recursive=True,
-)
+    return rounded(hor.horizon_profile(rays(spark, sf)))
 
 
 def domes(spark, sf):
     """Written once: the peak rules read them several times, and the rays are cast for the first."""
-    return cut_lineage(ter.light_domes(samples(spark, sf), view(spark, sf, "radiance_cells")))
+    return cut_lineage(hor.light_domes(rays(spark, sf), view(spark, sf, "radiance_cells")))
 
 
 @query("light_domes")
@@ -173,31 +147,9 @@ def _(spark, sf):
     return rounded(domes(spark, sf))
 
 
-DOMES = f"""rz as (select r, c, {CLEAN['region']} as v from radiance_cells),
-tp as (select *, max(ang) over (partition by obs_id, az_idx order by step rows between unbounded preceding and current row) as top from sa),
-sn as (select obs_id, az_idx, d, v from tp join rz on rz.r = cast(floor(y/1000e0) as int) and rz.c = cast(floor(x/1000e0) as int) where light and ang > top-0.17e0 and v > 0.1e0),
-dm as (select obs_id, az_idx, sum(v*20e0/greatest(1e0,d/1000e0)) as dome, min_by(d, (-v, d)) as peak_dist from sn group by 1,2)"""
-oracle(
-    "light_domes",
-    "dem_cells observers radiance_cells",
-    f"{RAYS}, {DOMES} select obs_id, cast(az_idx as int) as az_idx, {c6('dome','dome')}, {c6('peak_dist','peak_dist')} from dm",
-    recursive=True,
-)
-
-
 @query("horizon_summary")
 def _(spark, sf):
-    return rounded(ter.horizon_summary(ter.horizon_profile(samples(spark, sf)), N_AZ))
-
-
-oracle(
-    "horizon_summary",
-    "dem_cells observers",
-    f"""{RAYS}, ln as (select obs_id, az_idx, max(ang)*{D} as a from sa where band is not null group by 1,2)
-select obs_id, {c6('max(a)','max_deg')}, {c6('avg(a)','mean_deg')}, {c6('max(a) filter (where az_idx=0)','north')}, {c6('max(a) filter (where az_idx=6)','east')},
- {c6('max(a) filter (where az_idx=12)','south')}, {c6('max(a) filter (where az_idx=18)','west')} from ln group by 1""",
-    recursive=True,
-)
+    return rounded(ter.horizon_summary(hor.horizon_profile(rays(spark, sf)), N_AZ))
 
 
 @query("dome_peaks")
@@ -207,54 +159,24 @@ def _(spark, sf):
     return rounded(both.unionByName(ter.dome_peaks(d, N_AZ, "window").withColumn("rule", F.lit("window"))))
 
 
-oracle(
-    "dome_peaks",
-    "dem_cells observers radiance_cells",
-    f"""{RAYS}, {DOMES}, nb as (select a.obs_id, a.az_idx, a.dome, a.peak_dist, coalesce(p.dome,0e0) as pv, coalesce(n.dome,0e0) as nv from dm a
-  left join dm p on p.obs_id=a.obs_id and p.az_idx=(a.az_idx+23)%24 left join dm n on n.obs_id=a.obs_id and n.az_idx=(a.az_idx+1)%24),
-pk as (select obs_id, az_idx, dome, peak_dist, 'neighbour' as rule from nb where dome >= 0.2e0 and dome >= pv and dome > nv
- union all select a.obs_id, a.az_idx, a.dome, a.peak_dist, 'window' from dm a where a.dome > 10e0 and not exists (select 1 from dm b where b.obs_id=a.obs_id and b.dome > a.dome))
-select obs_id, cast(az_idx as int) as az_idx, {c6('az_idx*15e0','az')}, {c6('dome','dome')}, {c6('peak_dist','peak_dist')}, {c6('log10(1e0+dome)*exp(-peak_dist/35000e0)','glow')}, rule from pk""",
-    recursive=True,
-)
-
-
 @query("cluster_peaks")
 def _(spark, sf):
     d = domes(spark, sf)
-    return rounded(ter.cluster_peaks(ter.dome_peaks(d, N_AZ), width=40.0))
+    return rounded(ter.cluster_peaks(ter.dome_peaks(d, N_AZ)))
 
 
 @query("band_points")
 def _(spark, sf):
-    return rounded(ter.band_points(cut_lineage(ter.horizon_profile(samples(spark, sf))), N_AZ, exaggeration=1.5))
-
-
-oracle(
-    "band_points",
-    "dem_cells observers",
-    f"""{RAYS}, {PROFILE}, e as (select obs_id, band, az_idx, az_idx*15e0 as az, angle*{D} as elev from pf),
-r as (select * from e union all select obs_id, band, 24, 360e0, elev from e where az_idx = 0)
-select obs_id, band, cast(az_idx as int) as az_idx, {c6('az','az')}, {c6('elev','elev')}, {c6('case when elev < -80e0 then -20e0 else elev*1.5e0 end','height')} from r""",
-    recursive=True,
-)
+    return rounded(ter.band_points(cut_lineage(hor.horizon_profile(rays(spark, sf))), N_AZ, exaggeration=1.5))
 
 
 @query("profile_store")
 def _(spark, sf):
     path = scratch_dir(spark, "profiles")
-    grids.write_profiles(ter.horizon_profile(samples(spark, sf)), path)
+    grids.write_profiles(hor.horizon_profile(rays(spark, sf)), path)
     return rounded(grids.read_profiles(spark, path))
 
 
-oracle(
-    "profile_store",
-    "dem_cells observers",
-    f"{RAYS}, {PROFILE} select obs_id, cast(az_idx as int) as az_idx, band, {c6('angle','angle')}, {c6('dist','dist')}, {c6('height','height')} from pf",
-    recursive=True,
-)
-
-
 @query("ascii_grid")
 def _(spark, sf):
     """The elevation raster as ASCII tiles of ten rows, written and read back."""

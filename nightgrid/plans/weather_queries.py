@@ -113,10 +113,9 @@ def _(spark, sf):
 
 
 WINDY = """wd as (select site, slot_ts, value % 100 / 100e0 as cc, (value*7) % 360 as wdir, event_type as pt from forecast_rows qualify row_number() over (partition by site, slot_ts order by event_id desc)=1),
-wn as (select * from wd where hour(slot_ts) % 5 <> 0),
 rq as (select event_id as req_id, event_id % 7 as site, fetched as ts, date_trunc('hour', fetched) as s0 from forecast_rows),
 ip as (select req_id, rq.site, ts, s0, (epoch_us(ts)-epoch_us(s0))/3.6e9 as t, a.cc as ca, b.cc as cb, a.wdir as wa, b.wdir as wb, a.pt as pa, b.pt as pb
- from rq left join wn a on a.site=rq.site and a.slot_ts=s0 left join wn b on b.site=rq.site and b.slot_ts=s0+interval 1 hour)"""
+ from rq left join wd a on a.site=rq.site and a.slot_ts=s0 left join wd b on b.site=rq.site and b.slot_ts=s0+interval 1 hour)"""
 oracle(
     "interpolate_weather",
     "forecast_rows",
@@ -156,13 +155,13 @@ _MIX = ", ".join(
 oracle(
     "weather_or_fallback",
     "forecast_payloads forecast_rows",
-    f"""{FLAT}, {LATEST}, sl as (select * from lat where hour(slot_ts) % 5 <> 0), {CLIMATE},
+    f"""{FLAT}, {LATEST}, {CLIMATE},
 rq as (select event_id as req_id, event_id % 7 as site, fetched as ts, date_trunc('hour', fetched) as s0 from forecast_rows),
 r2 as (select *, s0+interval 1 hour as s1, (epoch_us(ts)-epoch_us(s0))/3.6e9 as t from rq)
 select req_id, r2.site, {_MIX}, case when a.site is null and b.site is null then case when t >= 0.5e0 then q.precipitation_type else p.precipitation_type end
  when a.site is null then b.precipitation_type when b.site is null then a.precipitation_type when t >= 0.5e0 then b.precipitation_type else a.precipitation_type end as precipitation_type,
  case when a.site is null and b.site is null then 'fallback' else 'remote' end as source
-from r2 left join sl a on a.site=r2.site and a.slot_ts=s0 left join sl b on b.site=r2.site and b.slot_ts=s1
+from r2 left join lat a on a.site=r2.site and a.slot_ts=s0 left join lat b on b.site=r2.site and b.slot_ts=s1
  join clim p on p.day=(dayofyear(s0)-1)%365 and p.hour=hour(s0) join clim q on q.day=(dayofyear(s1)-1)%365 and q.hour=hour(s1)""",
 )
 
@@ -196,7 +195,7 @@ def _(spark, sf):
 oracle(
     "atmosphere_asof",
     "forecast_rows",
-    f"""m as (select site, fetched as ts, value % 50 / 100e0 - 0.02e0 as aod, case when event_id % 3 = 0 then 101000e0 when event_id % 3 = 1 then 990e0 end as p from forecast_rows where event_type='error' and hour(fetched) % 9 < 1),
+    f"""m as (select site, fetched as ts, value % 50 / 100e0 - 0.02e0 as aod, case when event_id % 3 = 0 then 101000e0 when event_id % 3 = 1 then 990e0 end as p from forecast_rows where event_type='error'),
 o as (select event_id as obs_id, site, fetched as ts from forecast_rows where event_type='view'),
 a as (select obs_id, o.site, case when floor(epoch(o.ts))-floor(epoch(m.ts)) < 43200 then aod end as aod, case when floor(epoch(o.ts))-floor(epoch(m.ts)) < 43200 then case when p > 2000e0 then p/100e0 else p end end as pr
  from o asof left join m on o.site=m.site and o.ts >= m.ts),
