@@ -6,7 +6,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,13 +75,13 @@ def _offsets(kernel: Kernel) -> Column:
 SMALL_KERNEL = 1024
 
 
-def convolve_cells(cells: DataFrame, kernel: Kernel, tile: int = 512) -> DataFrame:
+def convolve_cells(cells: DataFrame, kernel: Kernel, tile: int = 1024) -> DataFrame:
     """Kernel sum per cell; nothing outside the raster.
 
     NULL and NaN count as 0 and several rows of one cell are summed first, so
     both ways below give the same rows.  Small kernels scatter each cell over its neighbours and sum with a map-side
     partial aggregate.  Large ones would multiply the table by the kernel area
-    and go through tiles with a halo and an FFT instead.
+    and go through tiles and FFTs instead.
     """
     cells = whole_cells(cells)
     if len(kernel) <= SMALL_KERNEL:
@@ -107,43 +107,81 @@ def _convolve_scatter(cells: DataFrame, kernel: Kernel) -> DataFrame:
     return out.where("home").select("r", "c", "v")
 
 
-def convolve_tiled(cells: DataFrame, kernel: Kernel, tile: int = 512) -> DataFrame:
-    """Same result through square tiles: each cell is copied to the tiles its
-    halo touches, and one tile (at most (tile + 2 halo)^2 cells) is one FFT.
-    The kernel is transformed once per task."""
-    halo = max(max(abs(a), abs(b)) for a, b, _ in kernel)
-    side = tile + 2 * halo
-    n = side + 2 * halo
-    drs, dcs, weights = (np.array(x) for x in zip(*kernel))
+def _fast_size(n: int) -> int:
+    """The least length from n on whose only prime factors are 2, 3 and 5."""
+    while True:
+        rest = n
+        for p in (2, 3, 5):
+            while rest % p == 0:
+                rest //= p
+        if rest == 1:
+            return n
+        n += 1
 
-    def covers(x: str) -> Column:
-        return F.sequence(
-            F.floor((F.col(x) - halo) / tile).cast("int"), F.floor((F.col(x) + halo) / tile).cast("int")
-        )
 
-    copies = whole_cells(cells).select("r", "c", "v", F.explode(covers("r")).alias("tr"))
-    copies = copies.select("*", F.explode(covers("c")).alias("tc"))
-    made: dict[str, np.ndarray] = {}
-
-    def transformed() -> np.ndarray:
-        if "kernel" not in made:
-            ker = np.zeros((n, n))
-            ker[drs % n, dcs % n] = weights
-            made["kernel"] = np.fft.rfft2(ker)
-        return made["kernel"]
-
-    def one_tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = key[0] * tile - halo, key[1] * tile - halo
-        grid = np.zeros((side, side))
-        rr, cc = (pdf.r - r0).to_numpy(), (pdf.c - c0).to_numpy()
-        grid[rr, cc] = pdf.v.to_numpy()
-        own = (rr >= halo) & (rr < halo + tile) & (cc >= halo) & (cc < halo + tile)
-        if not own.any():
-            return pd.DataFrame({"r": [], "c": [], "v": []})
-        full = np.fft.irfft2(np.fft.rfft2(grid, (n, n)) * transformed(), (n, n))
-        return pd.DataFrame({"r": pdf.r[own], "c": pdf.c[own], "v": full[rr[own], cc[own]]})
-
-    return copies.groupBy("tr", "tc").applyInPandas(one_tile, "r int, c int, v double")
+def _spread_tile(kernel: Kernel, tile: int):
+    """One tile to the parts of its padded result, a row for each tile that a part lies in."""
+    halo = max(max(abs(a), abs(b)) for a, b, _ in kernel)
+    drs, dcs, weights = (np.array(x) for x in zip(*kernel))
+    made: dict[tuple, np.ndarray] = {}
+
+    def transformed(shape: tuple) -> np.ndarray:
+        if shape not in made:
+            ker = np.zeros((2 * halo + 1, 2 * halo + 1))
+            ker[drs + halo, dcs + halo] = weights
+            made.clear()
+            made[shape] = np.fft.rfft2(ker, shape)
+        return made[shape]
+
+    def run(cells: pa.Table) -> pa.Table:
+        r, c, v = (cells[n].to_numpy() for n in ("r", "c", "v"))
+        r0, c0 = int(r.min()), int(c.min())
+        grid = np.zeros((int(r.max()) - r0 + 1, int(c.max()) - c0 + 1))
+        grid[r - r0, c - c0] = v
+        full = tuple(n + 2 * halo for n in grid.shape)
+        shape = tuple(_fast_size(n) for n in full)
+        out = np.fft.irfft2(np.fft.rfft2(grid, shape) * transformed(shape), shape)[: full[0], : full[1]]
+        rows, top, left = [], r0 - halo, c0 - halo
+        for tr in range(top // tile, (top + full[0] - 1) // tile + 1):
+            for tc in range(left // tile, (left + full[1] - 1) // tile + 1):
+                y0, x0 = max(top, tr * tile), max(left, tc * tile)
+                part = out[y0 - top : min(full[0], (tr + 1) * tile - top), x0 - left : min(full[1], (tc + 1) * tile - left)]
+                own = tr == r0 // tile and tc == c0 // tile
+                home = np.stack([r, c]).astype(np.int32).tobytes() if own else None
+                rows.append((tr, tc, y0, x0, part.shape[0], part.shape[1], np.ascontiguousarray(part).tobytes(), home))
+        return pa.table([pa.array(col, t) for col, t in zip(zip(*rows), (*[pa.int32()] * 6, pa.binary(), pa.binary()))], PART_NAMES)
+
+    return run
+
+
+PART_NAMES = ["tr", "tc", "r0", "c0", "height", "width", "sums", "home"]
+
+
+def _add_parts(parts: pa.Table) -> pa.Table:
+    """Overlapping parts of one tile added up, at the cells that the tile holds."""
+    rows = parts.to_pylist()
+    home = [p["home"] for p in rows if p["home"] is not None]
+    if not home:
+        return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.float64())], ["r", "c", "v"])
+    r, c = np.frombuffer(home[0], np.int32).reshape(2, -1)
+    total = np.zeros(len(r))
+    for p in rows:
+        y, x = r - p["r0"], c - p["c0"]
+        on = (y >= 0) & (x >= 0) & (y < p["height"]) & (x < p["width"])
+        total[on] += np.frombuffer(p["sums"]).reshape(p["height"], p["width"])[y[on], x[on]]
+    return pa.table([pa.array(r), pa.array(c), pa.array(total)], ["r", "c", "v"])
+
+
+def convolve_tiled(cells: DataFrame, kernel: Kernel, tile: int = 1024) -> DataFrame:
+    """Same result by overlap-add: each cell goes to one tile, each tile is one
+    FFT of its cells and the margin that the kernel reaches.  What lies in
+    other tiles goes there as one strip a tile, and a tile adds up the strips it
+    gets: (1 + 2 halo / tile)^2 sums a cell are shuffled, and no cell twice.  A
+    task holds one tile with its margin, whatever the raster's size."""
+    tiled = whole_cells(cells).withColumn("tr", F.floor(F.col("r") / tile).cast("int")).withColumn("tc", F.floor(F.col("c") / tile).cast("int"))
+    schema = "tr int, tc int, r0 int, c0 int, height int, width int, sums binary, home binary"
+    parts = tiled.groupBy("tr", "tc").applyInArrow(_spread_tile(kernel, tile), schema)
+    return parts.groupBy("tr", "tc").applyInArrow(_add_parts, "r int, c int, v double")
 
 
 def sqm_class(sqm) -> Column:

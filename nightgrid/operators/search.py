@@ -24,6 +24,7 @@ from nightgrid.functions.angles import (
 )
 from nightgrid.functions.scale import chain, sized_join, spread, staged
 from nightgrid.functions.tiles import box_tiles, circle_lon_pad, tile_id
+from nightgrid.operators.regions import CELL, inside_counts
 
 # Sensor name, width and height in millimetres.
 SENSORS = (("tiny", 5.37, 4.04), ("aps_c", 23.6, 15.7), ("full_frame", 36.0, 24.0))
@@ -359,70 +360,24 @@ def measure_shapes(measures: DataFrame) -> DataFrame:
     )
 
 
-def region_stats(measures: DataFrame, points: DataFrame, strips: int = 64) -> DataFrame:
+def region_stats(measures: DataFrame, points: DataFrame, cell: float = CELL) -> DataFrame:
     """Sizes of each measured region and the even-odd count of points inside.
 
     `points`: `alt, az`.  Equal positions are counted once with a weight.
-    Outlines are unwrapped around the shape centre; a point first meets the
-    tiles of the bounding box, then only the outline edges of its horizontal
-    strip (1/64 of the box), so a pair costs a few edges instead of all.
+    Outlines are unwrapped around the shape centre and covered with cells
+    (`inside_counts`): no row is made of a region and a point in its inner cells.
     """
     shapes = measure_shapes(spread(measures, "measure_id"))
-    flat = shapes.where(F.col("outline").isNotNull())
-    flat = staged(
-        flat,
-        poly=F.transform(
-            "outline", lambda q: F.struct(wrap180(q["az"] - F.col("center_az")).alias("x"), q["alt"].alias("y"))
-        ),
-    ).select("measure_id", "center_az", "poly")
-    xs, ys = F.transform("poly", lambda q: q["x"]), F.transform("poly", lambda q: q["y"])
-    flat = staged(flat, x0=F.array_min(xs), x1=F.array_max(xs), y0=F.array_min(ys), y1=F.array_max(ys))
-    box = flat.select("measure_id", "center_az", "x0", "x1", "y0", "y1")
-    mid_x, half_x = (F.col("x0") + F.col("x1")) * 0.5, (F.col("x1") - F.col("x0")) * 0.5
-    mid_y, half_y = (F.col("y0") + F.col("y1")) * 0.5, (F.col("y1") - F.col("y0")) * 0.5
-    keyed = box.withColumn(
-        "tile", F.explode(box_tiles(F.col("center_az") + mid_x, mid_y, half_x + 1e-6, half_y + 1e-6, 5.0))
-    )
-    pts = points.groupBy("alt", "az").agg(F.count(F.lit(1)).alias("weight"))
-    hit = sized_join(pts.withColumn("tile", tile_id("az", "alt", 5.0)), keyed, ["tile"])
-    hit = staged(hit, px=wrap180(F.col("az") - F.col("center_az"))).withColumnRenamed("alt", "py").where(
-        (F.col("px") >= F.col("x0"))
-        & (F.col("px") <= F.col("x1"))
-        & (F.col("py") >= F.col("y0"))
-        & (F.col("py") <= F.col("y1"))
-    )
-
-    def strip(y: Column) -> Column:
-        tall = F.col("y1") - F.col("y0")
-        return F.when(tall > 0, F.floor((y - F.col("y0")) / tall * float(strips))).otherwise(0).cast("int")
-
-    hit = hit.select("measure_id", "px", "py", "weight", strip(F.col("py")).alias("strip"))
-    n = F.size("poly")
-    shifted = F.concat(F.slice("poly", n, F.lit(1)), F.slice("poly", F.lit(1), n - 1))
-    edges = flat.select("measure_id", "y0", "y1", F.explode(F.arrays_zip(F.col("poly").alias("p"), shifted.alias("q"))).alias("e"))
-    edges = edges.select(
+    flat = shapes.where(F.col("outline").isNotNull()).select(
         "measure_id",
-        F.col("e.p.x").alias("ex"),
-        F.col("e.p.y").alias("ey"),
-        F.col("e.q.x").alias("qx"),
-        F.col("e.q.y").alias("qy"),
-        "y0",
-        "y1",
-    ).where("ey <> qy")
-    edges = edges.withColumn(
-        "strip", F.explode(F.sequence(strip(F.least("ey", "qy")), strip(F.greatest("ey", "qy"))))
-    ).drop("y0", "y1")
-    x_at = (F.col("qx") - F.col("ex")) * (F.col("py") - F.col("ey")) / (F.col("qy") - F.col("ey")) + F.col("ex")
-    crossing = ((F.col("ey") > F.col("py")) != (F.col("qy") > F.col("py"))) & (F.col("px") < x_at)
-    parity = (
-        hit.join(edges, ["measure_id", "strip"])
-        .where(crossing)
-        .groupBy("measure_id", "px", "py")
-        .agg(F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"))
+        "center_az",
+        F.transform("outline", lambda q: wrap180(q["az"] - F.col("center_az"))).alias("xs"),
+        F.transform("outline", lambda q: q["alt"]).alias("ys"),
     )
-    inside = parity.where(F.col("n") % 2 == 1).groupBy("measure_id").agg(F.sum("weight").alias("n_inside"))
+    pts = points.groupBy("alt", "az").agg(F.count(F.lit(1)).alias("weight"))
     out = shapes.select("measure_id", "tool", "length", "diameter", "width", "height", "area")
-    return out.join(inside, "measure_id", "left").withColumn("n_inside", F.coalesce("n_inside", F.lit(0)))
+    out = out.join(inside_counts(flat, pts, cell), "measure_id", "left")
+    return out.withColumn("n_inside", F.coalesce("n_inside", F.lit(0)))
 
 
 def constellation_edges(nodes: DataFrame) -> DataFrame:

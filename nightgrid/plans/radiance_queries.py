@@ -12,6 +12,9 @@ from nightgrid.plans.search_queries import K, cd, sd
 
 GAUSS = rad.gaussian_kernel(1.5, 3.0, 1.0)
 POWER = rad.power_law_kernel(2.0, 1.0, 50.0, 4.0, 1.0)
+# the whole job: weights reach 200 cells, tiles of 1024
+WIDE_GAUSS = (30.0, 200.0, 1.0)
+WIDE_POWER = (2.0, 1.0, 50.0, 200.0, 1.0)
 CLEAN = {
     "raster": "case when v = -1e0 or v > 1e10 then null else v end",
     "point": "case when v < 0e0 or v > 1e6 then null else v end",
@@ -65,6 +68,16 @@ def _(spark, sf):
     return rounded(rad.convolve_tiled(clean(spark, sf), POWER, tile=32))
 
 
+@query("convolve_gaussian_wide")
+def _(spark, sf):
+    return rounded(rad.convolve_cells(clean(spark, sf), rad.gaussian_kernel(*WIDE_GAUSS)))
+
+
+@query("convolve_power_law_wide")
+def _(spark, sf):
+    return rounded(rad.convolve_cells(clean(spark, sf), rad.power_law_kernel(*WIDE_POWER)))
+
+
 oracle("convolve_gaussian", "radiance_cells", f"{GAUSS_SQL} select r, c, {c6('v','v')} from cv")
 oracle("convolve_power_law", "radiance_cells", f"{POWER_SQL} select r, c, {c6('v','v')} from cv")
 oracle("convolve_tiled", "radiance_cells", f"{POWER_SQL} select r, c, {c6('v','v')} from cv")
