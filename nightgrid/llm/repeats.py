@@ -40,13 +40,24 @@ GRAM = 40  # bytes of an anchor
 REACH = SIZE - GRAM + 1
 RUN = 512  # starts of one window at most
 DEEP = 160  # bytes of a suffix that are compared
-BLOCK_BYTES = 16 << 20
-STARTS = 1 << 20
+BLOCK_BYTES = 8 << 20
+STARTS = 1 << 18
 HOT = 20_000
 BUCKET_CHARS = 8_000_000  # characters of all texts for each bucket of windows
 FIRST = np.iinfo(np.int64).min  # place of null ids
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, … of each piece, end to end."""
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def _bytes_of(data: np.ndarray, begin: np.ndarray, size: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """The bytes of all pieces end to end, gathered some pieces at a time."""
+    parts = [data[_ranges(begin[i : i + step], size[i : i + step])] for i in range(0, len(begin), step)]
+    return np.concatenate([data[:0], *parts])
+
+
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = a * np.uint64(0x9E3779B97F4A7C15)
     out += b
@@ -98,12 +109,14 @@ class Windows:
 
     def __init__(self, data: np.ndarray, off: np.ndarray, gram_hashes: bool = False):
         parts, grams = [], []
-        last = np.repeat(off[1:] - SIZE, np.diff(off))  # the last start of the text that holds the place
         for lo in range(0, max(0, len(data) - SIZE + 1), STARTS):
             hi = min(lo + STARTS, len(data) - SIZE + 1)
             gram, whole = _grams(data[lo : hi + SIZE - 1])
             anchor = _best(gram)
-            at = np.flatnonzero(np.arange(lo, hi) <= last[lo:hi])
+            # starts whose bytes all lie in one text
+            texts = np.arange(np.searchsorted(off, lo, "right") - 1, np.searchsorted(off, hi))
+            begin = np.maximum(off[texts], lo)
+            at = _ranges(begin, np.maximum(np.minimum(off[texts + 1] - SIZE + 1, hi) - begin, 0)) - lo
             if not len(at):
                 continue
             key = anchor[at]
@@ -200,7 +213,7 @@ def _send(docs: pa.Table, replies: pa.Table, copies: bool) -> pa.Table:
     cols = [anchor[cold], w.hash.view(np.int64)[cold], w.start[cold], w.size[cold], w.more[cold], w.loop[cold]]
     if hot.any():  # one window per start, found by the whole passage
         runs = np.flatnonzero(known & hot[place])
-        at = np.repeat(w.start[runs], w.size[runs]) + np.arange(w.size[runs].sum()) - np.repeat(np.cumsum(w.size[runs]) - w.size[runs], w.size[runs])
+        at = _ranges(w.start[runs], w.size[runs])
         gram = w.gram[np.searchsorted(w.gram_at, at)]
         more = [gram.view(np.int64), mix(gram ^ np.uint64(SIZE)).view(np.int64), at, np.ones(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), bool)]
         cols = [np.concatenate(x) for x in zip(cols, more)]
@@ -218,8 +231,8 @@ def _send(docs: pa.Table, replies: pa.Table, copies: bool) -> pa.Table:
         lead = more >= 0
     length = np.where(lead, size + more + SIZE - 1, 0)
     ends = np.append(0, np.cumsum(length))
-    held = data[np.arange(ends[-1]) + np.repeat(start - ends[:-1], length)] if len(length) else data[:0]
-    text = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(held))])
+    held = _bytes_of(data, start, length)
+    text = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(held)])
     text = pc.if_else(pa.array(lead), text.cast(pa.binary()), pa.scalar(None, pa.binary()))
     block = pa.repeat(docs["block"][0], len(key)) if docs.num_rows else pa.array([], pa.int64())
     cols = [key, hashed, ids[row], block, row, start - off[row], size, more, loop, text]
