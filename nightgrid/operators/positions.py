@@ -7,8 +7,10 @@ sidereal angle, `year`.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -202,15 +204,73 @@ def pixel_buckets(screen: DataFrame, key: str = "obs_id", ties: Sequence[Column]
     return first_per_key(keyed, [key, "px", "py"], order).select(*cols, "px", "py")
 
 
+SEGMENT = "seg bigint, n_points bigint, first_step int, last_step int, length_px double, min_sx double, max_sy double"
+TRAIL_ROWS = 20_000  # trails that are computed at once
+
+
+def _trail_points(col: dict[str, np.ndarray], own: np.ndarray, step: np.ndarray):
+    """Screen x, y and whether it is in front of the camera, for step `step` of row `own`."""
+    v = {k: x[own] for k, x in col.items()}
+    hour = v["start_hour"] + v["_span"] * step / (v["n_steps"] - 1)
+    ha = (100.0 + v["doy"] * 0.9856 + hour * 15.0 + v["lon"] - v["ra"]) * RAD
+    dec, lat = v["dec"] * RAD, v["lat"] * RAD
+    sin_alt = np.clip(np.sin(dec) * np.sin(lat) + np.cos(dec) * np.cos(lat) * np.cos(ha), -1.0, 1.0)
+    alt = np.arcsin(sin_alt)
+    z = np.arccos(np.clip((np.sin(dec) - sin_alt * np.sin(lat)) / (np.cos(alt) * np.cos(lat) + 1e-10), -1.0, 1.0)) * DEG
+    rel = (np.where(np.sin(ha) > 0, 360.0 - z, z) - v["azimuth"]) * RAD
+    denom = 1.0 + np.cos(alt) * np.cos(rel)
+    k = 2.0 / np.where(denom > 1e-6, denom, 1.0)
+    scale = v["height"] * 0.5 * v["zoom"]
+    middle = 2.0 * np.tan(v["elevation"] * 0.5 * RAD)
+    sx = v["width"] * 0.5 + k * np.cos(alt) * np.sin(rel) * scale
+    sy = v["height"] * 0.5 + v["height"] * v["v_ratio"] - (k * np.sin(alt) - middle) * scale
+    return sx, sy, denom >= 1e-6
+
+
+def _trails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Islands of joined points of each trail; a batch is computed as one array of points."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, TRAIL_ROWS):
+            batch = whole.slice(lo, TRAIL_ROWS)
+            col = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names if n not in ("session_id", "source_id")}
+            n = col["n_steps"].astype(np.int64)
+            own = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            sx, sy, ok = _trail_points(col, own, step)
+            joined, goes_on, gap = np.zeros(len(own), bool), np.zeros(len(own), bool), np.zeros(len(own))
+            inner = own[1:] == own[:-1]
+            joined[1:], goes_on[:-1] = ok[:-1] & inner, ok[1:] & inner
+            gap[1:] = np.abs(np.diff(sx)) + np.abs(np.diff(sy))
+            linked = joined & (gap <= np.minimum(col["width"], col["height"])[own] * 0.5)
+            cuts = np.cumsum(~linked)
+            seg = cuts - np.append(0, cuts)[np.cumsum(n) - n][own]
+            kept = np.flatnonzero(ok & (joined | goes_on))
+            if not len(kept):
+                continue
+            own, seg, step, sx, sy = own[kept], seg[kept], step[kept], sx[kept], sy[kept]
+            fresh = np.ones(len(kept), bool)
+            fresh[1:] = (own[1:] != own[:-1]) | (seg[1:] != seg[:-1])
+            at = np.flatnonzero(fresh)
+            last = np.append(at[1:], len(kept)) - 1
+            length = np.add.reduceat(np.where(linked[kept], gap[kept], 0.0), at)
+            rows = pa.array(own[at])
+            cols = [batch.column("session_id").take(rows), batch.column("source_id").take(rows), pa.array(seg[at])]
+            cols += [pa.array(last - at + 1), pa.array(step[at], pa.int32()), pa.array(step[last], pa.int32()), pa.array(length)]
+            cols += [pa.array(np.minimum.reduceat(sx, at)), pa.array(np.maximum.reduceat(sy, at))]
+            yield pa.RecordBatch.from_arrays(cols, ["session_id", "source_id", *[f.split()[0] for f in SEGMENT.split(", ")]])
+
+
 def star_trails(
-    stars: DataFrame, sessions: DataFrame, steps_per_hour: float = 4.0, mag_cap: float = 5.5
+    stars: DataFrame, sessions: DataFrame, steps_per_hour: float = 4.0, mag_cap: float | None = None
 ) -> DataFrame:
     """Trail segments of each star in each session.
 
     `sessions`: `session_id, lat, lon, doy, start_hour, end_hour, mag_limit`
     plus the camera columns of `screen_positions`.  Stars meet sessions on
-    whole-magnitude bins.  A trail breaks at points behind the camera and at
-    jumps over half the shorter screen side.  `source_id` must be unique.
+    whole-magnitude bins; the at most 50 steps of a trail are made from its row
+    and its segments leave in its place, so nothing is exchanged after that join.  A trail breaks at points
+    behind the camera and at jumps over half the shorter screen side.
+    `mag_cap` drops fainter stars than it, whatever the session asks for.
     """
     span = F.col("end_hour") - F.col("start_hour")
     span = F.when(span < -12.0, span + 24.0).when(span > 12.0, span - 24.0).otherwise(span)
@@ -218,55 +278,13 @@ def star_trails(
     ses = ses.withColumn(
         "n_steps", F.greatest(F.lit(2), F.least(F.lit(50), F.floor(F.abs("_span") * steps_per_hour).cast("int")))
     )
-    ses = ses.withColumn("_cut", F.least(F.col("mag_limit"), F.lit(float(mag_cap))) + 1.0)
+    limit = F.col("mag_limit") if mag_cap is None else F.least(F.col("mag_limit"), F.lit(float(mag_cap)))
+    ses = ses.withColumn("_cut", limit + 1.0)
     top = F.floor("_cut").cast("int")
     ses = ses.withColumn("mag_bin", F.explode(F.sequence(F.lit(-30), top)))
     cat = stars.select("source_id", "ra", "dec", "mag", F.greatest(F.lit(-30), F.floor("mag").cast("int")).alias("mag_bin"))
-    hit = sized_join(cat, ses, ["mag_bin"]).where(F.col("mag") < F.col("_cut"))
-
-    # partition by trail first: the at most 50 steps of a star then stay in
-    # one task and the window below needs a sort but no second shuffle
-    hit = hit.repartition("session_id", "source_id")
-    pts = hit.select("*", F.explode(F.sequence(F.lit(0), F.col("n_steps") - 1)).alias("step"))
-    hour = F.col("start_hour") + F.col("_span") * F.col("step").cast("double") / (F.col("n_steps") - 1).cast("double")
-    ha = (100.0 + dbl("doy") * 0.9856 + hour * 15.0 + dbl("lon") - F.col("ra")) * RAD
-    pts = staged(pts, _ha=ha)
-    pts = staged(
-        pts, _sa=clamp(sin_d("dec") * sin_d("lat") + cos_d("dec") * cos_d("lat") * F.cos("_ha"), -1.0, 1.0)
-    )
-    pts = staged(pts, alt=F.asin("_sa") * DEG)
-    cos_az = (sin_d("dec") - F.col("_sa") * sin_d("lat")) / (cos_d("alt") * cos_d("lat") + 1e-10)
-    pts = staged(pts, _z=acos_d(cos_az))
-    pts = staged(pts, az=F.when(F.sin("_ha") > 0, 360.0 - F.col("_z")).otherwise(F.col("_z")))
-    sx, sy, denom = _screen("alt", "az")
-    pts = staged(pts, sx=sx, sy=sy, ok=denom >= 1e-6)
-    pts = pts.select(
-        "session_id",
-        "source_id",
-        "step",
-        "sx",
-        "sy",
-        "ok",
-        (F.least(F.col("width"), F.col("height")) * 0.5).alias("jump"),
-    )
-    w = Window.partitionBy("session_id", "source_id").orderBy("step")
-    gap = F.abs(F.col("sx") - F.lag("sx").over(w)) + F.abs(F.col("sy") - F.lag("sy").over(w))
-    flat = pts.select(
-        "*",
-        F.lag("ok", 1, False).over(w).alias("joined"),
-        F.lead("ok", 1, False).over(w).alias("goes_on"),
-        gap.alias("gap"),
-    )
-    is_cut = F.when(~F.col("joined") | (F.col("gap") > F.col("jump")), 1).otherwise(0)
-    flat = flat.withColumn("seg", F.sum(is_cut).over(w)).where("ok and (joined or goes_on)")
-    inner = F.when(F.col("joined") & (F.col("gap") <= F.col("jump")), F.col("gap")).otherwise(0.0)
-    return flat.groupBy("session_id", "source_id", "seg").agg(
-        F.count(F.lit(1)).alias("n_points"),
-        F.min("step").alias("first_step"),
-        F.max("step").alias("last_step"),
-        F.sum(inner).alias("length_px"),
-        F.min("sx").alias("min_sx"),
-        F.max("sy").alias("max_sy"),
-    )
-
-
+    hit = sized_join(spread(cat, "source_id"), ses, ["mag_bin"]).where(F.col("mag") < F.col("_cut"))
+    numbers = ["ra", "dec", "lat", "lon", "doy", "start_hour", "_span", "n_steps", "width", "height", "zoom", "azimuth", "elevation", "v_ratio"]
+    hit = hit.select("session_id", "source_id", *[dbl(c).alias(c) for c in numbers]).dropna()
+    kinds = ", ".join(f"{c} {hit.schema[c].dataType.simpleString()}" for c in ("session_id", "source_id"))
+    return hit.mapInArrow(_trails, f"{kinds}, {SEGMENT}")
