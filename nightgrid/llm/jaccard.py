@@ -1,18 +1,22 @@
-"""n-gram Jaccard join with banded MinHash signatures and exact verification.
-
-Equal texts are one class from the start.  Each distinct text gets MinHash
-values in each of several trees.  One prefix length serves all texts: the
-longest under which pairs at the threshold share a prefix in some tree with
-the target recall; texts under one prefix are candidates.  Longer prefixes
-would find nothing that this one does not.
-
-    1  within a prefix, sketches of whole signatures say which texts are worth
-       connecting; only a spanning forest of these is kept
-    2  connected components of the forest gather what has to be compared
-    3  inside a component every pair is verified on its exact shingle sets;
+"""n-gram Jaccard join with a MinHash LSH forest and exact verification.
+
+Equal texts are one class from the start.  Each distinct text has one label of
+8 MinHash values in each of 16 trees.  The labels of a tree are sorted, which
+makes them a prefix trie: the values that a label shares with its neighbours
+say how deep it is matched.
+
+    1  labels are range partitioned and sorted; those that share too short a
+       prefix with both neighbours leave
+    2  the search starts at whole labels and shortens the prefix step by step
+       to the one that gives the target recall for pairs at the threshold.  At
+       each step only the nodes that join texts which deeper ones have not yet
+       connected are searched; sketches of whole signatures say which texts are
+       worth connecting, and a spanning forest of these is kept
+    3  connected components of the forest gather what has to be compared
+    4  inside a component every pair is verified on its exact shingle sets;
        each text keeps its number of links, and links become classes
 
-Large prefixes and components are cut into tiles of bounded size, so no task
+Large nodes and components are cut into tiles of bounded size, so no task
 holds a whole group and no pair is written down.
 """
 
@@ -34,12 +38,13 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 16, 8
 RECALL = 0.999
+STEP = 2  # values that a prefix loses at a time
 TILE = 256
 COLUMNS = 8192  # shingles in one block of the exact comparison
 
 
 def prefix_length(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """Longest prefix under which `trees` trees find a pair at the threshold with the target recall."""
+    """Shortest prefix needed: the longest under which `trees` trees find a pair at the threshold with the target recall."""
     for d in range(depth, 1, -1):
         if 1 - (1 - threshold**d) ** trees >= recall:
             return d
@@ -92,22 +97,91 @@ def signatures(h: np.ndarray, off: np.ndarray, n: int = TREES * DEPTH) -> np.nda
     return out
 
 
-def _signed(texts: DataFrame, prefix: int) -> DataFrame:
-    """key, nodes (one hash for each tree's prefix) and sketch of each distinct text with words."""
+def prefix_steps(shortest: int, depth: int = DEPTH, step: int = STEP) -> list[int]:
+    """Prefix lengths from whole labels down to the shortest."""
+    return [*range(depth, shortest, -step), shortest]
+
+
+def _signed(texts: DataFrame) -> DataFrame:
+    """key, labels (one for each tree, in an order that sorts as the values do) and sketch of each distinct text with words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, max_bytes=1 << 20):
             h, off = shingles(batch.column(1))
             sig = signatures(h, off)
-            node = np.zeros((len(sig), TREES), np.uint64) + np.arange(TREES, dtype=np.uint64)
-            for d in range(prefix):
-                node = mix(node * np.uint64(0x9E3779B97F4A7C15) + sig[:, d::DEPTH].astype(np.uint64))
-            nodes = pa.ListArray.from_arrays(pa.array(np.arange(0, node.size + 1, TREES), pa.int32()), pa.array(node.view(np.int64).reshape(-1)))
+            data = pa.py_buffer(sig.astype(">u4").tobytes())
+            label = pa.Array.from_buffers(pa.binary(4 * DEPTH), sig.size // DEPTH, [None, data]).cast(pa.binary())
+            labels = pa.ListArray.from_arrays(pa.array(np.arange(0, len(label) + 1, TREES), pa.int32()), label)
             sketch = pa.array([r.tobytes() for r in sig.astype(np.uint8)], pa.binary())
             keys = batch.column(0).filter(pa.array(np.diff(off) > 0))
-            yield pa.RecordBatch.from_arrays([keys, nodes, sketch], names=["key", "nodes", "sketch"])
+            yield pa.RecordBatch.from_arrays([keys, labels, sketch], names=["key", "labels", "sketch"])
+
+    return texts.mapInArrow(work, "key binary, labels array<binary>, sketch binary").dropDuplicates(["key"])
+
+
+def shared_values(labels: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """Leading values that each label (a row of values) shares with the one before it; 0 at the first of a tree."""
+    out = np.zeros(len(labels), np.int32)
+    if len(labels) > 1:
+        same = np.cumprod(labels[1:] == labels[:-1], axis=1).sum(axis=1)
+        out[1:] = np.where(tree[1:] == tree[:-1], same, 0)
+    return out
+
 
-    return texts.mapInArrow(work, "key binary, nodes array<long>, sketch binary").dropDuplicates(["key"])
+def _matched(shortest: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last row, whose next neighbour is yet to come
+
+        def deep(rows: pa.Table, first: bool, last: bool) -> pa.RecordBatch | None:
+            values = np.frombuffer(b"".join(rows.column("label").to_pylist()), ">u4").reshape(-1, DEPTH)
+            before = shared_values(values, rows.column("tree").to_numpy())
+            after = np.append(before[1:], DEPTH)
+            if first:  # the neighbour is in another partition
+                before[0] = DEPTH
+            length = np.maximum(before, after).astype(np.int32)
+            done = rows.append_column("deep", pa.array(length))
+            done = done.slice(0 if first else 1, rows.num_rows - (0 if first else 1) - (0 if last else 1))
+            done = done.filter(pa.array(done.column("deep").to_numpy() >= shortest)).combine_chunks()
+            return done.to_batches()[0] if done.num_rows else None
+
+        first, rows = True, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # two rows of context: one whose result is out already, one whose next neighbour is known now
+            rows = pa.Table.from_batches([batch] if held is None else [*held, batch]).combine_chunks()
+            out = deep(rows, first, False)
+            if out is not None:
+                yield out
+            first = first and rows.num_rows < 2
+            held = rows.slice(max(0, rows.num_rows - 2)).to_batches()
+        if rows is not None:
+            out = deep(rows.slice(max(0, rows.num_rows - 2)), first or rows.num_rows < 2, True)
+            if out is not None:
+                yield out
+
+    return run
+
+
+def prefix_trie(signed: DataFrame, shortest: int) -> DataFrame:
+    """(tree, label, key, deep): sorted labels that share `shortest` values or more with a neighbour; `deep` is how many.
+
+    The first and last label of a partition, whose neighbours lie elsewhere, count as matched in full.
+    """
+    entries = signed.select("key", F.posexplode("labels").alias("tree", "label"))
+    n = max(1, int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = entries.select("tree", "label", "key").repartitionByRange(n, "tree", "label").sortWithinPartitions("tree", "label")
+    return ranged.mapInArrow(_matched(shortest), "tree int, label binary, key binary, deep int")
+
+
+def open_nodes(trie: DataFrame, roots: DataFrame | None, length: int) -> tuple[DataFrame, DataFrame]:
+    """Labels by node at one prefix length, and the nodes (node, n) that hold texts not yet connected."""
+    rows = trie.where(F.col("deep") >= length).select("key", F.xxhash64("tree", F.substring("label", 1, 4 * length)).alias("node"))
+    rows = rows.withColumn("root", F.col("key")) if roots is None else rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    marks = [F.sum(F.xxhash64("key") % (1 << 40)).alias("f"), F.sum(F.xxhash64("key", F.lit(1)) % (1 << 40)).alias("g")]
+    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), *marks).where("lo <> hi")
+    # nodes over the same texts say the same: one of them is enough
+    return rows, nodes.groupBy("n", "f", "g").agg(F.min("node").alias("node")).select("node", "n")
 
 
 def _tiled(rows: DataFrame, group: str, size: str, tile: int) -> DataFrame:
@@ -175,8 +249,11 @@ def leaders(near: np.ndarray) -> np.ndarray:
 
 def _forest(least: float) -> Callable:
     def work(rows: pa.Table) -> pa.RecordBatch | None:
+        root = rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        pairs = _across(rows) & (root[:, None] != root[None, :])
+        if not pairs.any():
+            return None
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-        pairs = _across(rows)
         if rows.num_rows == 2:
             same = np.array([[0.0, (sketch[0] == sketch[1]).mean()], [0, 0]])
         else:
@@ -230,18 +307,34 @@ def wanted_texts(texts: DataFrame, sized: DataFrame) -> DataFrame:
     return texts.dropDuplicates(["key"]).join(sized.hint("merge"), "key").select("key", "group", "n", "text")
 
 
+def forest_components(signed: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE, report: list | None = None) -> DataFrame:
+    """(node, root) of texts that the forest connects, stored.
+
+    With `report`, a row (prefix length, nodes, labels, pairs) of what each step searches is added to it.
+    """
+    shortest = prefix_length(threshold=threshold, recall=recall)
+    trie = stored(prefix_trie(signed, shortest), "jaccard-trie")
+    spread = 4 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5  # four standard errors of the estimate
+    found, roots = None, None
+    for length in prefix_steps(shortest):
+        rows, nodes = open_nodes(trie, roots, length)
+        if report is not None:
+            pairs = F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long")
+            report.append((length, *nodes.agg(F.count("n"), F.sum("n"), pairs).first()))
+        inside = rows.join(nodes, "node").join(signed.select("key", "sketch"), "key")
+        tiles = _tiled(inside, "node", "n", tile).select("node", "lo", "hi", "part", "key", "root", "sketch")
+        edges = tiles.mapInArrow(_by_tile(_forest(threshold - spread)), "a binary, b binary")
+        if found is not None:  # stars of what is connected already
+            edges = edges.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        found = stored(components(edges), "jaccard-components")
+        roots = found.withColumnRenamed("node", "key")
+    return found
+
+
 def linked_texts(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
     """`texts` (key, text), any number of rows a key, to (key, root, n_links) of every text with a link."""
-    signed = stored(_signed(texts, prefix_length(threshold=threshold, recall=recall)), "jaccard-signatures")
-    nodes = signed.select("key", F.explode("nodes").alias("node"))
-    # prefixes over the same texts say the same: one of them is enough
-    groups = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key") % (1 << 40)).alias("f"), F.sum(F.xxhash64("key", F.lit(1)) % (1 << 40)).alias("g")).where("n > 1")
-    groups = groups.groupBy("n", "f", "g").agg(F.min("node").alias("node")).select("node", "n")
-    inside = nodes.join(groups, "node").join(signed.select("key", "sketch"), "key")
-    spread = 4 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5  # four standard errors of the estimate
-    rows = _tiled(inside, "node", "n", tile).select("node", "lo", "hi", "part", "key", "sketch")
-    forest = stored(rows.mapInArrow(_by_tile(_forest(threshold - spread)), "a binary, b binary"), "jaccard-forest")
-    found = stored(components(forest), "jaccard-components")
+    signed = stored(_signed(texts), "jaccard-signatures")
+    found = forest_components(signed, threshold, recall, tile)
     sized = found.join(found.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").select(F.col("node").alias("key"), F.xxhash64("root").alias("group"), "n")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

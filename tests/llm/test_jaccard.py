@@ -105,6 +105,46 @@ def test_prefixes_shorten_to_the_recall():
     assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL
 
 
+def test_trie_keeps_labels_with_a_neighbour(spark):
+    rows = near_rows(seed=5)
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    signed = jaccard._signed(texts.select(jaccard.text_key(texts.text).alias("key"), "text"))
+    trie = {(r.tree, r.key): r.deep for r in jaccard.prefix_trie(signed, 4).collect()}
+    labels = {}
+    for r in signed.collect():
+        for tree, label in enumerate(r.labels):
+            labels.setdefault(tree, []).append((bytes(label), r.key))
+    for tree, found in labels.items():
+        for label, key in found:
+            best = max((next((i for i in range(8) if a[4 * i : 4 * i + 4] != label[4 * i : 4 * i + 4]), 8) for a, k in found if k != key), default=0)
+            if best >= 4:
+                assert trie[tree, key] >= best
+            else:
+                assert trie.get((tree, key), 8) == 8  # the edge of a partition, or dropped
+
+
+def test_deep_prefixes_leave_less_to_compare(spark):
+    rows = near_rows(seed=6, bases=4, copies=40)
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = jaccard.stored(jaccard._signed(texts.select(jaccard.text_key(texts.text).alias("key"), "text")), "signed")
+    report = []
+    found = jaccard.forest_components(signed, report=report)
+    assert [r[0] for r in report] == jaccard.prefix_steps(jaccard.prefix_length())
+    trie = jaccard.prefix_trie(signed, jaccard.prefix_length())
+    _, nodes = jaccard.open_nodes(trie, None, jaccard.prefix_length())
+    flat = sum(r.n * (r.n - 1) // 2 for r in nodes.collect())
+    print("pairs by step", report, "at the shortest prefix alone", flat)
+    assert sum(r[3] or 0 for r in report) < flat
+    # recall against all pairs: linked texts lie in one component
+    root = {r.node: r.root for r in found.collect()}
+    keys = {r.text or "": r.key for r in texts.select(jaccard.text_key(texts.text).alias("key"), "text").collect()}
+    names = sorted(keys)
+    sets = [grams(t) for t in names]
+    pairs = [(a, b) for a in range(len(names)) for b in range(a) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    hit = sum(root.get(keys[names[a]], a) == root.get(keys[names[b]], b) for a, b in pairs)
+    assert pairs and hit >= 0.999 * len(pairs)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     base = [f"v{i}" for i in rng.integers(0, 10**6, 3000)]
