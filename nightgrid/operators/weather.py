@@ -7,9 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from nightgrid.functions.angles import clamp, wrap180, wrap360
+from nightgrid.functions.asof import last_known
 from nightgrid.functions.scale import first_per_key, sized_join
 from nightgrid.operators.photometry import clean_atmosphere, extinction_k
 from nightgrid.sources.forecast import FIELDS
@@ -226,20 +226,16 @@ def atmosphere_asof(obs: DataFrame, metrics: DataFrame, k_fallback: float = 0.20
     observation, as an extinction coefficient.
 
     `obs`: `obs_id, site, ts`; `metrics`: `site, ts, aod, pressure_hpa`.  Both
-    sides are cut into 12-hour blocks and a record is also shown to the next
-    block, so a window holds one block of one site, never a site's history.
+    sides are cut into ranges of (site, ts) and each range carries its last
+    record on (`last_known`), so a site that holds a third of all rows spreads.
     """
-    block = F.floor(F.unix_timestamp("ts") / (TTL_HOURS * 3600)).cast("long")
     m = metrics.select(
-        "site", "ts", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("obs_id"),
-        F.struct("ts", "aod", "pressure_hpa").alias("rec"), F.explode(F.array(block, block + 1)).alias("block"),
+        "site", "ts", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("obs_id"), F.struct("ts", "aod", "pressure_hpa").alias("rec")
     )
     o = obs.select(
-        "site", "ts", F.lit(1).alias("kind"), F.col("obs_id").cast("long").alias("obs_id"),
-        F.lit(None).cast(m.schema["rec"].dataType).alias("rec"), block.alias("block"),
+        "site", "ts", F.lit(1).alias("kind"), F.col("obs_id").cast("long").alias("obs_id"), F.lit(None).cast(m.schema["rec"].dataType).alias("rec")
     )
-    w = Window.partitionBy("site", "block").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = m.unionByName(o).withColumn("rec", F.last("rec", ignorenulls=True).over(w)).where("kind = 1")
+    both = last_known(m.unionByName(o), ["site"], ["ts", "kind"], "rec").where("kind = 1")
     age = F.unix_timestamp("ts") - F.unix_timestamp(F.col("rec.ts"))
     fresh = F.col("rec").isNotNull() & (age < TTL_HOURS * 3600)
     both = both.select(
