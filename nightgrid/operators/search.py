@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -160,6 +161,28 @@ def field_counts(
     )
 
 
+def with_vector(df: DataFrame, lon: str, lat: str) -> DataFrame:
+    """Adds the unit vector `_x, _y, _z` of a direction."""
+    return staged(df, _x=cos_d(lat) * cos_d(lon), _y=cos_d(lat) * sin_d(lon), _z=sin_d(lat))
+
+
+def cell_level(reach: float) -> int:
+    """Level of the space cells for a reach in degrees: 2^level is at least the width of the ball."""
+    return math.ceil(math.log2(4.0 * math.sin(math.radians(min(reach, 180.0)) / 2.0)))
+
+
+def wide_cells(cat: DataFrame) -> DataFrame:
+    """`cat` (ra, dec, reach) on the cells (level, cx, cy, cz) that its ball meets: at most eight, for any reach and place."""
+    chord = 2.0 * F.sin(F.least(F.col("reach"), F.lit(180.0)) * (RAD / 2.0)) + 1e-9
+    sized = staged(with_vector(cat, "ra", "dec"), _chord=chord)
+    sized = staged(sized, level=F.least(F.ceil(F.log2(2.0 * F.col("_chord"))).cast("int"), F.lit(cell_level(180.0))))
+    side = F.pow(F.lit(2.0), F.col("level"))
+    for a in "xyz":
+        lo, hi = (F.floor((F.col(f"_{a}") + s * F.col("_chord")) / side) for s in (-1.0, 1.0))
+        sized = sized.withColumn(f"c{a}", F.explode(F.sequence(lo, hi)))
+    return sized.drop("_x", "_y", "_z", "_chord")
+
+
 def nearest_objects(
     targets: DataFrame, catalog: DataFrame, radius: float, pad: float = 0.05, tile_deg: float = 1.0
 ) -> DataFrame:
@@ -176,11 +199,13 @@ def nearest_objects(
     t_tiles = box_tiles("t_ra", "t_dec", circle_lon_pad("t_dec", F.lit(float(radius))), float(radius), tile_deg)
     points = cat.where(F.col("reach") <= radius).withColumn("tile", tile_id("ra", "dec", tile_deg))
     near = sized_join(points, targets.withColumn("tile", F.explode(t_tiles)), ["tile"])
-    # extended objects spread over their own reach instead
-    o_tiles = box_tiles("ra", "dec", circle_lon_pad("dec", F.col("reach")), F.col("reach"), tile_deg)
-    wide = cat.where(F.col("reach") > radius).withColumn("tile", F.explode(o_tiles))
-    spread = sized_join(wide, targets.withColumn("tile", tile_id("t_ra", "t_dec", tile_deg)), ["tile"])
-    both = near.unionByName(spread).withColumn("distance", ang_sep("t_ra", "t_dec", "ra", "dec"))
+    # extended objects lie in space cells of a size that fits their own reach; a target probes one cell of each size
+    wide = wide_cells(cat.where(F.col("reach") > radius))
+    sizes = F.explode(F.sequence(F.lit(cell_level(radius)), F.lit(cell_level(180.0)))).alias("level")
+    probes = with_vector(targets, "t_ra", "t_dec").select("*", sizes)
+    probes = probes.select(*targets.columns, "level", *[F.floor(F.col(f"_{a}") / F.pow(F.lit(2.0), F.col("level"))).alias(f"c{a}") for a in "xyz"])
+    spread = sized_join(wide, probes, ["level", "cx", "cy", "cz"]).drop("level", "cx", "cy", "cz")
+    both = near.drop("tile").unionByName(spread).withColumn("distance", ang_sep("t_ra", "t_dec", "ra", "dec"))
     both = both.where(F.col("distance") <= F.col("reach"))
     both = both.withColumn("score", F.col("distance") / F.col("reach"))
     best = both.groupBy("target_id").agg(
