@@ -169,7 +169,9 @@ class Part:
 def write_ids(docs: DataFrame, vocab: str, end_id: int = 0, folder: str | None = None, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, pack and write all texts in ascending id order; returns the manifest.
 
-    Null texts are empty, null ids come first, equal ids are ordered by text.
+    Null texts are empty, null ids come first, equal ids are ordered by text;
+    ids must be integers (text that is none fails).  Repeated rows are documents
+    of their own, an empty table gives no file, other columns are not read.
     The range key ends with a hash of the text, so one id that many rows share
     is split over tasks.  The manifest has a row per file: part, seq, path,
     n_docs, n_ids, start (ids in all files before it).

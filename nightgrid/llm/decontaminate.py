@@ -159,7 +159,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_w
     A word inside any occurrence of a window is hit; a document is contaminated
     when hit words are a twentieth of its words or more.  spans are the runs of
     hit words as [first, past last].  Null and empty texts have no words and are
-    clean; with no item found the digest is that of an empty text.
+    clean; with no item found the digest is that of an empty text.  Repeated
+    rows are reported each, repeated items count as one name, empty tables give
+    no rows or no hits.  Only the id and the text are read.
     """
 
     def report(batch, hit, off, found):

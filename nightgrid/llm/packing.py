@@ -134,7 +134,10 @@ def pack_sequences(parts: DataFrame, capacity: int = CAPACITY, deal: int = DEAL_
     """`parts` (with a column length of 1..capacity) plus sequence_id and offset.
 
     Every piece gets one place; a sequence is gapless from 0.  Rounds end when
-    nothing is exchanged or one task held all that remained.
+    nothing is exchanged or one task held all that remained; after the last of
+    `rounds` some partitions may stand without a certificate.  Repeated rows are
+    pieces of their own and an empty table gives no rows.  `parts` may not have
+    columns named _uid, uid, seq, place, sequence_id or offset.
     """
     fixed = stored(parts, "packing-pieces").withColumn("_uid", F.monotonically_increasing_id())
     fixed = stored(fixed, "packing-numbered")

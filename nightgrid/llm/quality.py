@@ -108,7 +108,14 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.5, **fit) -> DataFrame:
-    """doc_id, held_out, score, predicted; `held_out` is a Column over doc_id."""
+    """doc_id, held_out, score, predicted; `held_out` is a Column over doc_id.
+
+    Null and empty texts get the score of a text without known n-grams.
+    Repeated rows are scored each, and a label is learned once per row it joins.
+    An empty table gives no rows; without labels of both kinds the score is the
+    prior's.  FEATURES and LEAST_CHI bound the model, SAMPLE the rows it is
+    fitted on.  Only the id and the text are read.
+    """
     model = fit_quality(docs, labels, ~held_out, **fit)
     return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

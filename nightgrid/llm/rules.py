@@ -183,8 +183,10 @@ def measure(docs: DataFrame, rules=RULES) -> DataFrame:
 def judge(docs: DataFrame, rules=RULES, keep: float = KEEP) -> DataFrame:
     """Base counts, base_failed, posterior and kept of every document.
 
-    Null and empty texts have no words, so they fail the base.  The small table
-    of measures is stored, so texts are read once.
+    Null and empty texts have no words, so they fail the base.  Repeated rows
+    vote and are judged each; an empty table gives no rows.  Only the id and
+    the text are read, so no other column can clash.  The small table of
+    measures is stored, so texts are read once.
     """
     from nightgrid.llm.storage import stored
 

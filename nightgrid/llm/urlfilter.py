@@ -138,7 +138,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule] | None = None, id_col: str = "
 
     rule names the site rule that decided, and is null where a glob or the
     default did.  A null URL, or one without `://`, has an empty host and path
-    and matches nothing.  Equal URLs of a batch run through the automaton once.
+    and matches nothing.  Equal URLs of a batch run through the automaton once;
+    repeated rows give a row each and an empty table none.  Only the id and the
+    URL are read, so no other column can clash.
     """
     rules = list(compile_rules() if rules is None else rules)
     host, path = host_and_path(pages[url_col])
