@@ -6,6 +6,8 @@ carries one tile per row, so every sky search is an equi-join plus a residual.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,58 @@ def box_tiles(lon, lat, lon_pad, lat_pad, size: float = 1.0) -> Column:
     return F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: (r * n_lon + c).cast("int"))))
 
 
+CURVE_BITS = 8  # of each axis: 256 x 256 cells
+
+
+def _curve_cells(lon, lat) -> tuple[Column, Column]:
+    n = 1 << CURVE_BITS
+    x = F.least(F.lit(n - 1), F.floor(wrap360(lon) * (n / 360.0)).cast("int"))
+    y = F.least(F.lit(n - 1), F.floor((clamp(lat, -90.0, 90.0) + 90.0) * (n / 180.0)).cast("int"))
+    return x, y
+
+
+def curve_place(lon, lat) -> Column:
+    """Place of a position on a Z-order curve over the sky: near places are mostly near positions."""
+    x, y = _curve_cells(lon, lat)
+    out = F.lit(0)
+    for bit in range(CURVE_BITS):
+        for axis, at in ((x, 2 * bit), (y, 2 * bit + 1)):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(axis, bit).bitwiseAND(F.lit(1)), at))
+    return out
+
+
+def curve_ranges(west: float, east: float, south: float, north: float, most: int = 64) -> list[tuple[int, int]]:
+    """Ranges of the curve that cover a box (degrees; `west` may be negative or `east` over 360).
+
+    Quarters that the box holds whole, or that would make more than `most`
+    ranges, are not divided further, so the ranges may reach past the box.
+    """
+    n = 1 << CURVE_BITS
+    x0, x1 = math.floor(west * n / 360.0), math.floor(east * n / 360.0)
+    y0, y1 = (min(n - 1, max(0, math.floor((v + 90.0) * n / 180.0))) for v in (south, north))
+    spans = [(0, n - 1)] if x1 - x0 >= n - 1 else [(x0 % n, x1 % n)] if x0 % n <= x1 % n else [(x0 % n, n - 1), (0, x1 % n)]
+    todo, done = [(0, 0, CURVE_BITS, 0)], []
+    while todo:
+        x, y, level, at = todo.pop(0)
+        side = 1 << level
+        if y > y1 or y + side - 1 < y0 or not any(x <= b and a <= x + side - 1 for a, b in spans):
+            continue
+        whole = y0 <= y and y + side - 1 <= y1 and any(a <= x and x + side - 1 <= b for a, b in spans)
+        if whole or level == 0 or len(todo) + len(done) >= most:
+            done.append((at, at + side * side - 1))
+            continue
+        half = side // 2
+        for k in range(4):
+            todo.append((x + (k & 1) * half, y + (k >> 1) * half, level - 1, at + k * half * half))
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(done):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def circle_lon_pad(lat, radius) -> Column:
     """Longitude half-width of a spherical circle; 180 when it holds a pole."""
     lat, radius = as_col(lat), as_col(radius)

@@ -294,6 +294,57 @@ oracle(
 )
 
 
+WINDOW = (355.0, 12.0, 14.0, 11.0, 11.0)  # right ascension, declination, half sizes, faintest magnitude
+
+
+@query("sky_store")
+def _(spark, sf):
+    """A window over the circle's end from the store that is ordered along a sky curve."""
+    path = scratch_dir(spark, "sky-store")
+    src.write_sky_catalog(view(spark, sf, "stars").select(*COLS), path)
+    return rounded(src.read_sky_window(spark, path, *WINDOW).select(*COLS))
+
+
+oracle(
+    "sky_store",
+    "stars",
+    f"""select source_id, {c6('ra','ra')}, {c6('dec','dec')}, {c6('mag','mag')}, {c6('bp_rp','bp_rp')} from stars
+ where mag <= 11e0 and abs(dec-12e0) <= 11e0 and abs(ra-355e0+180e0-360e0*floor((ra-355e0+180e0)/360e0)-180e0) <= 14e0""",
+)
+
+JSON_ROWS = 20_000  # ids of one document
+
+
+def write_star_json(stars, path: str) -> None:
+    """Documents in three shapes by id: metadata and rows, a list of objects, a list of rows."""
+    text = {c: F.col(c).cast("string") for c in COLS}
+    none = F.lit(None).cast("string")
+    shape, group = F.pmod("source_id", F.lit(3)), F.floor(F.col("source_id") / JSON_ROWS)
+    objects = F.to_json(F.struct(*[v.alias({"mag": "phot_g_mean_mag"}.get(c, c)) for c, v in text.items()]))
+    named = F.to_json(F.array(*[text[c] for c in COLS]))
+    plain = F.to_json(F.array(text["source_id"], none, text["ra"], text["dec"], text["mag"], none, none, text["bp_rp"]))
+    names = ", ".join(f'{{"name": "{c}"}}' for c in COLS)
+    line = F.when(shape == 0, named).when(shape == 1, objects).otherwise(plain)
+    lines = stars.select(shape.alias("shape"), group.alias("file"), F.struct("source_id", line.alias("line")).alias("row"))
+    # at most JSON_ROWS ids meet in one document
+    docs = lines.groupBy("shape", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["line"]), ",\n").alias("body"))
+    head = F.when(F.col("shape") == 0, f'{{"metadata": [{names}], "data": [').otherwise("[")
+    tail = F.when(F.col("shape") == 0, "]}").otherwise("]")
+    docs.select("shape", "file", F.concat(head, "body", tail).alias("value")).write.partitionBy("shape", "file").text(path)
+
+
+@query("star_json")
+def _(spark, sf):
+    """The stars written as JSON documents of all shapes and read back."""
+    path = scratch_dir(spark, "star-json")
+    write_star_json(view(spark, sf, "stars").select(*COLS), path)
+    back = src.read_star_json(spark, [f"{path}/shape=*/file=*"])
+    return rounded(back.select(F.col("source_id").cast("long").alias("source_id"), *[F.col(c).cast("double").alias(c) for c in COLS if c != "source_id"]))
+
+
+oracle("star_json", "stars", f"select source_id, {c6('ra','ra')}, {c6('dec','dec')}, {c6('mag','mag')}, {c6('bp_rp','bp_rp')} from stars")
+
+
 @query("catalog_manifest")
 def _(spark, sf):
     scan = table(spark, sf, "lineitem").withColumn("mag", F.col("l_extendedprice"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nightgrid.functions.angles import wrap180
 from nightgrid.functions.scale import staged
+from nightgrid.functions.tiles import curve_place, curve_ranges
 from nightgrid.operators.catalog import ALIASES, REQUIRED, resolve_columns, union_catalogs
 
 # Column order of headerless JSON rows.
@@ -130,6 +133,37 @@ def read_star_json(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return from_arrays.unionByName(from_maps)
 
 
+GROUP_BYTES = 1 << 20
+
+
+def write_sky_catalog(df: DataFrame, path: str, partitions: int | None = None, group_bytes: int = GROUP_BYTES) -> None:
+    """Parquet partitioned by whole magnitude, inside that in the order of a curve over the sky.
+
+    Range partitions over (magnitude bin, curve place), so a crowded field or
+    bin is split over many tasks; row groups of about `group_bytes` cover small
+    parts of the sky and are skipped by their least and greatest place.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.where("mag is not null and ra is not null and dec is not null")
+    placed = placed.withColumn("mag_bin", F.floor("mag").cast("int")).withColumn("place", curve_place("ra", "dec"))
+    ranged = placed.repartitionByRange(n, "mag_bin", "place").sortWithinPartitions("mag_bin", "place")
+    ranged.write.mode("overwrite").option("parquet.block.size", str(group_bytes)).partitionBy("mag_bin").parquet(path)
+
+
+def read_sky_window(spark: SparkSession, path: str, ra: float, dec: float, ra_pad: float, dec_pad: float, max_mag: float) -> DataFrame:
+    """Stars of `write_sky_catalog` in a box up to a magnitude: other folders and row groups are not read.
+
+    The box is `ra` ± `ra_pad` around the circle, `dec` ± `dec_pad`.
+    """
+    df = spark.read.parquet(path).where((F.col("mag_bin") <= F.lit(math.floor(max_mag))) & (F.col("mag") <= max_mag))
+    ranges = curve_ranges(ra - ra_pad, ra + ra_pad, dec - dec_pad, dec + dec_pad)
+    near = F.lit(False)
+    for lo, hi in ranges:
+        near = near | F.col("place").between(lo, hi)
+    inside = (F.abs(wrap180(F.col("ra") - ra)) <= ra_pad) & (F.abs(F.col("dec") - dec) <= dec_pad)
+    return df.where(near).where(inside).drop("mag_bin", "place")
+
+
 def write_catalog(df: DataFrame, path: str, partitions: int | None = None) -> None:
     """Parquet partitioned by whole magnitude, each file sorted by magnitude.
 
