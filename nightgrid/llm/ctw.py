@@ -9,17 +9,23 @@ say about them; what a context never seen would get stays with the longest one
 that was.  The score is the log10 probability of the text under the
 mixture after training.
 
-The work is joins and aggregates on distinct byte n-grams:
+n-grams are kept with their context newest byte first: in that order every
+context is one stretch, and so is every subtree.
 
     1  documents are written in blocks of bounded size; each block lists its
-       distinct words and n-grams with their training counts
-    2  words and n-grams are counted over all blocks
-    3  the tree is built bottom up and the mixture passed top down, one
-       aggregate or join a depth
-    4  each block gets back the probabilities of its own n-grams and the counts
-       of its words, and scores its documents
-
-Nothing that grows with the corpus is broadcast or collected.
+       distinct words and n-grams with their training counts, and tells every
+       so many n-grams where the list stands
+    2  these marks cut the order into ranges; each block's list goes to the
+       ranges in packed pieces, and words are counted over all blocks
+    3  a range builds the contexts that lie inside it alone; of those that reach
+       over its ends it gives partial sums, at most 255 nodes a depth and end
+    4  the few contexts over range ends are finished by one aggregate or join a
+       depth; then each range passes the mixture down and packs the
+       probabilities of each block's n-grams
+    5  each block scores its documents
+
+Nothing that grows with the corpus is broadcast or collected but the range ends:
+eight bytes for each RANGE_GRAMS n-grams of the lists.
 """
 
 from __future__ import annotations
@@ -42,6 +48,16 @@ DEPTH = 5
 BLOCK_BYTES = 4 << 20
 END = 10
 STATS = ["block", "pos", "word", "gram", "n"]
+#: n-grams of block lists in a range
+RANGE_GRAMS = 1 << 19
+#: marks that a range's worth of n-grams gives
+MARKS = 64
+#: counts whose log-gamma values come from a table
+SMALL = 4096
+LOG_HALF = np.append(0.0, np.cumsum(np.log(np.arange(SMALL - 1) + 0.5))) + 0.5 * math.log(math.pi)
+LOG_WHOLE = np.append(0.0, np.cumsum(np.log(np.arange(1.0, SMALL))))
+PIECES = "range long, block long, size int, gram binary, n binary"
+REPLIES = "block long, range long, size int, logs binary"
 
 
 def byte_stream(texts: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -80,11 +96,31 @@ def distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
 
 
-def _block_stats(rows: pa.Table, depth: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Distinct words and n-grams of a block with their counts in its training texts.
+def newest_first(keys: np.ndarray, depth: int) -> np.ndarray:
+    """n-grams with the bytes of their context in reverse, the last byte still last."""
+    out = keys & np.uint64(255)
+    for i in range(depth):
+        out |= ((keys >> np.uint64(8 * i + 8)) & np.uint64(255)) << np.uint64(8 * (depth - i))
+    return out
+
+
+def packed(values: np.ndarray) -> bytes:
+    """64-bit values by byte planes, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(pa.py_buffer(planes), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int, kind=np.uint64) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, size).T).view(kind).reshape(-1)
+
+
+def _block_stats(rows: pa.Table, depth: int, block: int, folder: str, step: int) -> Iterator[pa.RecordBatch]:
+    """Words of a block with their counts in its training texts, and every `step`th of its n-grams as a mark.
 
     `pos` is the place in the block's list, which the scorer builds again: words
-    in order of appearance, n-grams in ascending order.
+    in order of appearance, n-grams in ascending order.  The whole list of
+    n-grams is written beside the block.
     """
     held = rows.column("held_out").to_numpy()
     keys, at, flat, off = byte_stream(rows.column("text").combine_chunks(), depth)
@@ -93,10 +129,13 @@ def _block_stats(rows: pa.Table, depth: int, block: int) -> Iterator[pa.RecordBa
         number, words = codes(flat)
         n = np.bincount(number[taught], minlength=len(words))
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(np.arange(len(words), dtype=np.int32)), words.cast(pa.string()), pa.nulls(len(words), pa.int64()), pa.array(n)], names=STATS)
+    keys = newest_first(keys, depth)
     grams = distinct(keys)
     taught = np.sort(keys[~np.repeat(held, np.diff(at))])
     n = np.searchsorted(taught, grams, "right") - np.searchsorted(taught, grams, "left")
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block)), pa.array(np.arange(len(grams), dtype=np.int32)), pa.nulls(len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], names=STATS)
+    _put(folder, f"grams-{block}", pa.table({"gram": np.diff(grams, prepend=np.uint64(0)), "n": n}))
+    marks = grams[::step]
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(marks), block)), pa.array(np.arange(len(marks), dtype=np.int32)), pa.nulls(len(marks), pa.string()), pa.array(marks.view(np.int64)), pa.nulls(len(marks), pa.int64())], names=STATS)
 
 
 def _open(uri: str):
@@ -105,8 +144,8 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _put(folder: str, block: int, rows: pa.Table) -> None:
-    files, path = _open(f"{folder}/block-{block}.arrow")
+def _put(folder: str, name: str, rows: pa.Table) -> None:
+    files, path = _open(f"{folder}/{name}.arrow")
     files.create_dir(path.rsplit("/", 1)[0], recursive=True)
     aside = f"{path}.{uuid.uuid4().hex}.part"
     with files.open_output_stream(aside) as out, pa.ipc.new_file(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as sink:
@@ -114,14 +153,14 @@ def _put(folder: str, block: int, rows: pa.Table) -> None:
     files.move(aside, path)
 
 
-def _get(folder: str, block: int) -> pa.Table:
-    files, path = _open(f"{folder}/block-{block}.arrow")
+def _get(folder: str, name: str) -> pa.Table:
+    files, path = _open(f"{folder}/{name}.arrow")
     with files.open_input_file(path) as src:
         return pa.ipc.open_file(src).read_all()
 
 
-def write_blocks(docs: DataFrame, folder: str, depth: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Write (doc_id, text, held_out) in blocks of about `block_bytes`; rows block, pos, word or gram, n."""
+def write_blocks(docs: DataFrame, folder: str, depth: int, block_bytes: int, step: int) -> DataFrame:
+    """Write (doc_id, text, held_out) in blocks of about `block_bytes`; rows block, pos, word and n or a mark's gram."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -132,8 +171,8 @@ def write_blocks(docs: DataFrame, folder: str, depth: int, block_bytes: int = BL
 
         def full() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held).combine_chunks()
-            _put(folder, block, rows)
-            yield from _block_stats(rows, depth, block)
+            _put(folder, f"block-{block}", rows)
+            yield from _block_stats(rows, depth, block, folder, step)
 
         for batch in slices(batches, max_bytes=min(block_bytes, 2 << 20)):
             held.append(batch)
@@ -183,74 +222,225 @@ def log_kt(n0: Column, n1: Column) -> Column:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - math.log(math.pi)
 
 
-def _bits(grams: DataFrame, *keep: str) -> DataFrame:
-    """Eight rows a gram: its context, the tree node of each decision and the decision."""
-    byte = F.col("gram").bitwiseAND(255)
-    steps = []
-    for i in range(8):
-        node = F.shiftright(byte, 8 - i).bitwiseOR(F.lit(1 << i)) if i else F.lit(1).cast("long")
-        steps.append(F.struct(node.cast("long").alias("node"), F.shiftright(byte, 7 - i).bitwiseAND(1).alias("bit")))
-    rows = grams.select(F.shiftright("gram", 8).alias("context"), *keep, F.explode(F.array(*steps)).alias("s"))
-    return rows.select((F.col("context") * 256 + F.col("s.node")).alias("node"), "s.bit", *keep)
+def range_ends(marks: DataFrame, ranges: int) -> np.ndarray:
+    """Where to cut the order of n-grams into about `ranges` equal parts; a whole context stays on one side."""
+    if ranges < 2:
+        return np.zeros(0, np.uint64)
+    cuts = marks.agg(F.percentile_approx("gram", [i / ranges for i in range(1, ranges)], max(10_000, 8 * ranges)).alias("cuts")).first()["cuts"]
+    return distinct(np.array([c >> 8 << 8 for c in cuts if c >> 8], np.uint64))
+
 
+def list_pieces(blocks: DataFrame, folder: str, ends: np.ndarray) -> DataFrame:
+    """Each block's list cut at the range ends: differences and counts, packed."""
 
-def gram_logs(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, n) of all n-grams to (gram, logp): log10 of the mixture's probability of the last byte after the others.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                rows = _get(folder, f"grams-{block}")
+                grams, n = np.cumsum(rows.column("gram").to_numpy(), dtype=np.uint64), rows.column("n").to_numpy()
+                cuts = np.concatenate([[0], np.searchsorted(grams, ends), [len(grams)]])
+                out = [(r, block, b - a, packed(np.diff(grams[a:b], prepend=np.uint64(0))), packed(n[a:b])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["range", "block", "size", "gram", "n"])
 
-    A node is a context and a tree position in one number: 256 * context +
-    position.  n-grams with n = 0 make nodes without counts; the share of such a
-    node stays with its deepest ancestor that has counts.
+    return blocks.mapInArrow(work, PIECES)
+
+
+def _np_log_gamma(n: np.ndarray, table: np.ndarray, more: float) -> np.ndarray:
+    """Natural logarithm of the gamma function of n + more, `table` holding it for n < SMALL."""
+    out = table[np.minimum(n, SMALL - 1).astype(np.int64)]
+    big = np.flatnonzero(n >= SMALL)
+    z = n[big] + more
+    out[big] = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z)
+    return out
+
+
+def _np_log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return _np_log_gamma(n0, LOG_HALF, 0.5) + _np_log_gamma(n1, LOG_HALF, 0.5) - _np_log_gamma(n0 + n1, LOG_WHOLE, 1.0) - math.log(math.pi)
+
+
+class Stretch:
+    """The contexts of one range of sorted n-grams with counts, from `depth` bytes to none.
+
+    Level d holds the distinct pairs of a context of d bytes and a last byte.
+    All pairs of a tree node lie side by side, for every one of the eight
+    decisions.
     """
-    one, two = F.col("bit") * F.col("n"), (1 - F.col("bit")) * F.col("n")
-    nodes = _bits(counts, "n").groupBy("node").agg(F.sum(two).cast("double").alias("n0"), F.sum(one).cast("double").alias("n1"))
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int, lo: int, hi: int):
+        self.depth, self.lo, self.hi = depth, lo, hi
+        self.keys, self.n, self.up = [grams], [n], []
+        for _ in range(depth):
+            k = self.keys[-1]
+            short, up = np.unique((k >> np.uint64(16) << np.uint64(8)) | (k & np.uint64(255)), return_inverse=True)
+            self.keys.append(short)
+            self.up.append(up)
+            self.n.append(np.bincount(up, weights=self.n[-1], minlength=len(short)))
+
+    def nodes(self, i: int) -> list[dict[str, np.ndarray]]:
+        """Nodes of decision i, deepest level first; `over` marks those whose context reaches over an end of the range.
+
+        For these `below` sums only children inside.
+        """
+        levels: list[dict[str, np.ndarray]] = []
+        below = None
+        for at in range(self.depth + 1):
+            d = self.depth - at
+            keys, n = self.keys[at], self.n[at]
+            head = keys >> np.uint64(8 - i)
+            new = np.append(True, head[1:] != head[:-1])
+            first, run = np.flatnonzero(new), np.cumsum(new) - 1
+            n1 = np.add.reduceat(n * ((keys >> np.uint64(7 - i)) & np.uint64(1)), first)
+            n0 = np.add.reduceat(n, first) - n1
+            head = head[first]
+            context, shift = head >> np.uint64(i), np.uint64(8 * (self.depth - d) + 8)
+            over = ((context << shift) < np.uint64(self.lo)) | (((context + np.uint64(1)) << shift) > np.uint64(self.hi))
+            own = _np_log_kt(n0, n1)
+            if at:
+                prior = levels[-1]
+                prior["parent"] = run[self.up[at - 1][prior["first"]]]
+                below = np.bincount(prior["parent"], weights=np.where(prior["over"], 0.0, prior["weighted"]), minlength=len(first))
+                gap = below - own
+                weighted = math.log(0.5) + np.maximum(own, below) + np.log1p(np.exp(-np.abs(gap)))
+                stop = 1 / (1 + np.exp(np.minimum(gap, 700.0)))
+            else:
+                below, weighted, stop = np.zeros(len(first)), own, np.ones(len(first))
+            pos = np.uint64(1 << i) | (head & np.uint64((1 << i) - 1))
+            levels.append({"first": first, "run": run, "node": (context << np.uint64(8)) | pos, "n0": n0, "n1": n1, "below": below, "weighted": weighted, "stop": stop, "over": over})
+        return levels
+
+    def open_nodes(self) -> list[tuple]:
+        """(level, node, n0, n1, below) of all nodes over an end."""
+        out = []
+        for i in range(8):
+            for at, level in enumerate(self.nodes(i)):
+                o = np.flatnonzero(level["over"])
+                out.extend(zip([self.depth - at] * len(o), *(level[c][o].tolist() for c in ("node", "n0", "n1", "below"))))
+        return out
+
+    def logs(self, mixed: dict[int, tuple[np.ndarray, ...]]) -> np.ndarray:
+        """log10 of the mixture's probability of each n-gram's last byte; `mixed` has node, p, rest, last of nodes over an end by level."""
+        out = np.zeros(len(self.keys[0]))
+        for i in range(8):
+            p = rest = last = None
+            levels = self.nodes(i)
+            for at in range(self.depth, -1, -1):
+                level = levels[at]
+                total = level["n0"] + level["n1"]
+                kt, stop = (level["n1"] + 0.5) / (total + 1), level["stop"]
+                if at == self.depth:
+                    p, rest, last = stop * kt, 1 - stop, kt
+                else:
+                    up, seen = level["parent"], total > 0
+                    p, rest, last = p[up], rest[up], last[up]
+                    p, rest, last = p + rest * np.where(seen, stop * kt, last), np.where(seen, rest * (1 - stop), 0.0), np.where(seen, kt, last)
+                o = np.flatnonzero(level["over"])
+                if len(o):
+                    node, *values = mixed[self.depth - at]
+                    found = np.searchsorted(node, level["node"][o])
+                    p[o], rest[o], last[o] = (v[found] for v in values)
+            each = p[levels[0]["run"]]
+            bit = (self.keys[0] >> np.uint64(7 - i)) & np.uint64(1)
+            out += np.log10(np.where(bit == 1, each, 1 - each))
+        return out
+
+
+def _limits(ends: np.ndarray, r: int, depth: int) -> tuple[int, int]:
+    return int(ends[r - 1]) if r else 0, int(ends[r]) if r < len(ends) else 1 << (8 * depth + 8)
+
+
+def build_ranges(pieces: DataFrame, folder: str, ends: np.ndarray, depth: int) -> DataFrame:
+    """Merge each range's pieces, write them with the counts; rows of nodes over its ends and one of level -1."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        r = rows.column("range")[0].as_py()
+        sizes = rows.column("size").to_pylist()
+        keys = np.concatenate([np.cumsum(unpacked(g.as_py(), s), dtype=np.uint64) for g, s in zip(rows.column("gram"), sizes)])
+        n = np.concatenate([unpacked(c.as_py(), s, np.int64) for c, s in zip(rows.column("n"), sizes)])
+        grams, where = np.unique(keys, return_inverse=True)
+        n = np.bincount(where, weights=n, minlength=len(grams))
+        _put(folder, f"pieces-{r}", rows.select(["block", "size", "gram"]))
+        _put(folder, f"range-{r}", pa.table({"gram": np.diff(grams, prepend=np.uint64(0)), "n": n}))
+        out = [(-1, 0, 0.0, 0.0, 0.0), *Stretch(grams, n, depth, *_limits(ends, r, depth)).open_nodes()]
+        level, node, n0, n1, below = zip(*out)
+        return pa.table({"range": pa.array([r] * len(out), pa.int64()), "level": pa.array(level, pa.int32()), "node": pa.array(node, pa.int64()), "n0": n0, "n1": n1, "below": below})
+
+    return pieces.repartition(len(ends) + 1, "range").groupBy("range").applyInArrow(work, "range long, level int, node long, n0 double, n1 double, below double")
+
+
+def mix_open_nodes(parts: DataFrame, depth: int) -> DataFrame:
+    """(level, node, p, rest, last) of the nodes over range ends: sums from the deepest level up, then the mixture down."""
+    parent = F.shiftleft(F.shiftright("node", 16), 8).bitwiseOR(F.col("node").bitwiseAND(255))
+    total = stored(parts.where("level >= 0").groupBy("level", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")), "ctw-open")
     own = log_kt(F.col("n0"), F.col("n1"))
     kt = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
-    levels = [stored(nodes.select("node", "n0", "n1", own.alias("weighted"), F.lit(1.0).alias("stop"), kt.alias("kt")), "ctw-nodes")]
+    gap = F.col("below") - F.col("own")
+    half = math.log(0.5) + F.greatest("own", "below") + F.log1p(F.exp(-F.abs(gap)))
+    levels: dict[int, DataFrame] = {}
     for d in range(depth - 1, -1, -1):
-        # the context without its oldest byte
-        parent = F.col("node").bitwiseAND(F.lit((1 << (8 * d + 8)) - 1))
-        up = levels[-1].groupBy(parent.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
-        up = up.withColumn("own", own)
-        gap = F.col("below") - F.col("own")
-        half = math.log(0.5) + F.greatest("own", "below") + F.log1p(F.exp(-F.abs(gap)))
-        up = up.select("node", "n0", "n1", half.alias("weighted"), (1 / (1 + F.exp(F.least(gap, F.lit(700.0))))).alias("stop"), kt.alias("kt"))
-        levels.append(stored(up, "ctw-nodes"))
-    seen = F.col("n0") + F.col("n1") > 0
+        here = total.where(F.col("level") == d)
+        if d + 1 in levels:
+            more = levels[d + 1].groupBy(parent.alias("node")).agg(F.sum("weighted").alias("more"))
+            here = here.join(more, "node", "left").withColumn("below", F.col("below") + F.coalesce("more", F.lit(0.0)))
+        stop = 1 / (1 + F.exp(F.least(gap, F.lit(700.0))))
+        levels[d] = stored(here.withColumn("own", own).select("level", "node", half.alias("weighted"), stop.alias("stop"), kt.alias("kt"), (F.col("n0") + F.col("n1") > 0).alias("seen")), "ctw-level")
     p, rest, last = F.col("p"), F.col("rest"), F.col("last")
-    mixed = levels[-1].select("node", (F.col("stop") * F.col("kt")).alias("p"), (1 - F.col("stop")).alias("rest"), F.col("kt").alias("last"))
-    for d in range(1, depth + 1):
-        parent = F.col("node").bitwiseAND(F.lit((1 << (8 * d)) - 1))
-        here = levels[depth - d].select("node", "stop", "kt", seen.alias("seen"), parent.alias("parent"))
-        joined = here.join(mixed.withColumnRenamed("node", "parent"), "parent")
-        mixed = joined.select(
-            "node",
-            F.when(F.col("seen"), p + rest * F.col("stop") * F.col("kt")).otherwise(p + rest * last).alias("p"),
-            F.when(F.col("seen"), rest * (1 - F.col("stop"))).otherwise(0.0).alias("rest"),
-            F.when(F.col("seen"), F.col("kt")).otherwise(last).alias("last"),
-        )
-    if not depth:
-        mixed = mixed.withColumn("p", p + rest * last)
-    log = F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
-    return _bits(counts, "gram").join(mixed, "node").groupBy("gram").agg(F.sum(log).alias("logp"))
+    mixed = levels[0].select("level", "node", (F.col("stop") * F.col("kt")).alias("p"), (1 - F.col("stop")).alias("rest"), F.col("kt").alias("last"))
+    out = mixed
+    for d in range(1, depth):
+        up = mixed.select(F.col("node").alias("parent"), "p", "rest", "last")
+        mixed = stored(
+            levels[d].withColumn("parent", parent).join(up, "parent").select(
+                "level", "node",
+                (p + rest * F.when(F.col("seen"), F.col("stop") * F.col("kt")).otherwise(last)).alias("p"),
+                F.when(F.col("seen"), rest * (1 - F.col("stop"))).otherwise(0.0).alias("rest"),
+                F.when(F.col("seen"), F.col("kt")).otherwise(last).alias("last"),
+            ),
+            "ctw-mixed",
+        )
+        out = out.unionByName(mixed)
+    return out
+
+
+def range_logs(mixed: DataFrame, folder: str, ends: np.ndarray, depth: int) -> DataFrame:
+    """The logarithms of each range's n-grams, packed for each block in the order of its list."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        r = rows.column("range")[0].as_py()
+        level, *values = (rows.column(c).to_numpy() for c in ("level", "node", "p", "rest", "last"))
+        given = {}
+        for d in range(depth):
+            mine = np.flatnonzero(level == d)
+            mine = mine[np.argsort(values[0][mine])]
+            given[d] = (values[0][mine].astype(np.uint64), *(v[mine] for v in values[1:]))
+        tree = _get(folder, f"range-{r}")
+        grams = np.cumsum(tree.column("gram").to_numpy(), dtype=np.uint64)
+        logs = Stretch(grams, tree.column("n").to_numpy(), depth, *_limits(ends, r, depth)).logs(given)
+        pieces = _get(folder, f"pieces-{r}")
+        told = [packed(logs[np.searchsorted(grams, np.cumsum(unpacked(g.as_py(), s.as_py()), dtype=np.uint64))]) for g, s in zip(pieces.column("gram"), pieces.column("size"))]
+        return pa.table({"block": pieces.column("block"), "range": pa.array([r] * len(told), pa.int64()), "size": pieces.column("size"), "logs": pa.array(told, pa.binary())})
+
+    return mixed.repartition(len(ends) + 1, "range").groupBy("range").applyInArrow(work, REPLIES)
 
 
 def _scorer(folder: str, depth: int):
     def score(reply: pa.Table) -> pa.Table:
         block = reply.column("block")[0].as_py()
-        rows = _get(folder, block)
+        rows = _get(folder, f"block-{block}")
         held = rows.column("held_out").to_numpy()
         keys, at, flat, off = byte_stream(rows.column("text").combine_chunks(), depth)
-        is_gram, pos, value = (reply.column(c).to_numpy() for c in ("is_gram", "pos", "value"))
-        known = distinct(keys)
-        logs = np.empty(len(known))
-        logs[pos[is_gram]] = value[is_gram]
-        each = logs[np.searchsorted(known, keys)]
+        keys = newest_first(keys, depth)
+        is_word = pc.is_null(reply.column("logs"))
+        told = reply.filter(pc.invert(is_word)).sort_by("range")
+        logs = np.concatenate([unpacked(x.as_py(), s.as_py(), np.float64) for x, s in zip(told.column("logs"), told.column("size"))])
+        each = logs[np.searchsorted(distinct(keys), keys)]
         total = np.add.reduceat(each, at[:-1])
         n, logc, seen = np.diff(off), np.zeros(len(held)), np.zeros(len(held), np.int64)
         if len(flat):
             number, words = codes(flat)
             count = np.bincount(number[~np.repeat(held, n)], minlength=len(words))
-            count[pos[~is_gram]] = value[~is_gram].astype(np.int64)
+            changed = reply.filter(is_word)
+            count[changed.column("pos").to_numpy()] = changed.column("c").to_numpy()
             owner = np.repeat(np.arange(len(n)), n)
             logc = np.bincount(owner, weights=np.log10(count + 1.0)[number], minlength=len(n))
             seen = np.bincount(owner, weights=(count > 0)[number], minlength=len(n)).astype(np.int64)
@@ -259,26 +449,34 @@ def _scorer(folder: str, depth: int):
     return score
 
 
-def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_grams: int = RANGE_GRAMS) -> DataFrame:
     """Score all whole texts, learning from those where `held_out` (over doc_id) is false.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one
     word model), score (log10 probability) and bits_per_byte (code length).  A null
-    text is empty: its end alone.  Rows of one id are scored each.
+    text is empty: its end alone.  Rows of one id are scored each; an empty table
+    gives no rows.  `depth` is at most 6.
     """
     base = id_text(docs, id_col, text_col).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     kind = base.schema["doc_id"].dataType.simpleString()
     folder = shared_folder(base.sparkSession, "ctw-blocks")
-    stats = stored(write_blocks(base, folder, depth, block_bytes), "ctw-stats")
+    step = max(1, range_grams // MARKS)
+    stats = stored(write_blocks(base, folder, depth, block_bytes, step), "ctw-stats")
     words = stored(word_counts(stats.where("word is not null").select("block", "pos", "word", "n")), "ctw-words")
     taught = base.where(~F.col("held_out")).count()
     sums = words.where("block = -1").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).first()
     n = (sums["n"] or 0) + taught
     v = (sums["c"] or 0) + (1 if taught else 0)
-    listed = stats.where("gram is not null").select("block", "pos", "gram", "n")
-    logs = gram_logs(stored(listed.groupBy("gram").agg(F.sum("n").alias("n")), "ctw-grams"), depth)
-    told = listed.join(logs, "gram").select("block", "pos", F.lit(True).alias("is_gram"), F.col("logp").alias("value"))
-    told = told.unionByName(words.where("block >= 0").select("block", "pos", F.lit(False).alias("is_gram"), F.col("c").cast("double").alias("value")))
+    marks = stats.where("gram is not null").select("block", "pos", "gram")
+    size = marks.agg(F.count(F.lit(1)).alias("marks"), F.count_distinct("block").alias("blocks")).first()
+    ends = range_ends(marks, math.ceil(size["marks"] * step / range_grams))
+    blocks = marks.where("pos = 0").select("block").repartition(max(1, size["blocks"] // 2), "block")
+    parts = stored(build_ranges(list_pieces(blocks, folder, ends), folder, ends, depth), "ctw-parts")
+    given = parts.where("level < 0").select("range", "level", "node", *[F.lit(0.0).alias(c) for c in ("p", "rest", "last")])
+    if len(ends):
+        given = given.unionByName(parts.where("level >= 0").select("range", "level", "node").join(mix_open_nodes(parts, depth), ["level", "node"]))
+    told = range_logs(given, folder, ends, depth)
+    told = told.unionByName(words.where("block >= 0").select("block", "pos", "c"), allowMissingColumns=True)
     out = f"doc_id {kind}, held_out boolean, words long, seen long, logc double, score double, bytes long"
     got = told.groupBy("block").applyInArrow(_scorer(folder, depth), out)
     tokens = F.col("words") + 1  # the end of a text is a token

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -119,6 +120,27 @@ def test_scores_match_a_recursive_tree(spark):
     assert ctw.score_texts(docs.limit(0), F.lit(False)).count() == 0
 
 
+def test_ranges_do_not_change_scores(spark):
+    rows = ROWS + [(100 + i, f"{'xy'[i % 2]}abcd{'uv'[i % 3 % 2]} tail {i % 3} the cat") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for depth, grams in ((3, 8), (5, 40)):
+        got = ctw.score_texts(docs, ctw_held(), depth=depth, block_bytes=200, range_grams=grams)
+        same(got.collect(), plain(rows, held7, depth))
+
+
+def ctw_held():
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
+
+
+def test_large_counts_and_packing():
+    n = np.array([0, 1, ctw.SMALL - 1, ctw.SMALL, 10**6], np.float64)
+    for m in (0.0, 7.0, 1e6):
+        want = [math.lgamma(a + 0.5) + math.lgamma(m + 0.5) - math.lgamma(a + m + 1) - math.log(math.pi) for a in n]
+        assert np.allclose(ctw._np_log_kt(n, np.full(5, m)), want, rtol=1e-9, atol=1e-6)
+    for v in (np.array([], np.float64), np.array([-1.5, 0.0, 1e300])):
+        assert ctw.unpacked(ctw.packed(v), len(v), np.float64).tolist() == v.tolist()
+
+
 def test_op5_matches_brute_force_and_uses_contexts(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = QUERIES["op5_context_tree"](spark, SF).collect()
