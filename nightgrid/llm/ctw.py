@@ -52,6 +52,8 @@ STATS = ["block", "pos", "word", "gram", "n"]
 RANGE_GRAMS = 1 << 19
 #: marks that a range's worth of n-grams gives
 MARKS = 64
+#: words whose counts a task holds before it packs them by block
+LIST_WORDS = 1 << 20
 #: counts whose log-gamma values come from a table
 SMALL = 4096
 LOG_HALF = np.append(0.0, np.cumsum(np.log(np.arange(SMALL - 1) + 0.5))) + 0.5 * math.log(math.pi)
@@ -187,24 +189,42 @@ def write_blocks(docs: DataFrame, folder: str, depth: int, block_bytes: int, ste
 
 
 def word_counts(words: DataFrame) -> DataFrame:
-    """(block, pos, word, n) to (block, pos, c) where c, the count over all blocks, isn't n.
+    """(block, pos, word, n) to packed lists (block, size, pos, c) where c, the count over all blocks, isn't n.
 
-    Rows of block -1 hold sums by task: c distinct words in training and n all of them.
+    Rows of block -1 hold sums by task in `sums`: distinct words in training and all of them.
     """
     over = Window.partitionBy("word")
     rows = words.withColumn("c", F.sum("n").over(over)).withColumn("first", F.row_number().over(over.orderBy("block")) == 1)
 
+    def lists(told: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        block, pos, c = (np.concatenate(x).astype(np.int64) for x in zip(*told))
+        order = np.argsort(block, kind="stable")
+        block, pos, c = block[order], pos[order], c[order]
+        first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+        cuts = list(zip(first, np.append(first[1:], len(block))))
+        cols = [pa.array([packed(x[a:b]) for a, b in cuts], pa.binary()) for x in (pos, c)]
+        sizes = np.array([b - a for a, b in cuts], np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(sizes), *cols, pa.nulls(len(cuts), pa.list_(pa.int64()))], names=["block", "size", "pos", "c", "sums"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distinct_words = total = 0
+        distinct_words = total = held = 0
+        told: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            n, c, first = (batch.column(i) for i in (2, 3, 4))
-            distinct_words += int((first.to_numpy(zero_copy_only=False) & (c.to_numpy() > 0)).sum())
-            total += pc.sum(n).as_py() or 0
-            told = batch.select([0, 1, 3]).filter(pc.not_equal(n, c))
-            yield pa.RecordBatch.from_arrays([*told.columns, pa.nulls(told.num_rows, pa.int64())], names=["block", "pos", "c", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0], pa.int32()), pa.array([distinct_words]), pa.array([total])], names=["block", "pos", "c", "n"])
+            block, pos, n, c = (batch.column(i).to_numpy() for i in range(4))
+            first = batch.column(4).to_numpy(zero_copy_only=False)
+            distinct_words += int((first & (c > 0)).sum())
+            total += int(n.sum())
+            new = n != c
+            told.append((block[new], pos[new], c[new]))
+            held += int(new.sum())
+            if held >= LIST_WORDS:
+                yield lists(told)
+                told, held = [], 0
+        if held:
+            yield lists(told)
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0], pa.int32()), pa.array([b""]), pa.array([b""]), pa.array([[distinct_words, total]])], names=["block", "size", "pos", "c", "sums"])
 
-    return rows.select("block", "pos", "n", "c", "first").mapInArrow(work, "block long, pos int, c long, n long")
+    return rows.select("block", "pos", "n", "c", "first").mapInArrow(work, "block long, size int, pos binary, c binary, sums array<long>")
 
 
 def log_gamma(x: Column) -> Column:
@@ -433,14 +453,17 @@ def _scorer(folder: str, depth: int):
         is_word = pc.is_null(reply.column("logs"))
         told = reply.filter(pc.invert(is_word)).sort_by("range")
         logs = np.concatenate([unpacked(x.as_py(), s.as_py(), np.float64) for x, s in zip(told.column("logs"), told.column("size"))])
-        each = logs[np.searchsorted(distinct(keys), keys)]
+        order = np.argsort(keys)
+        known = keys[order]
+        each = np.empty(len(keys))
+        each[order] = logs[np.cumsum(np.append(False, known[1:] != known[:-1]))]
         total = np.add.reduceat(each, at[:-1])
         n, logc, seen = np.diff(off), np.zeros(len(held)), np.zeros(len(held), np.int64)
         if len(flat):
             number, words = codes(flat)
             count = np.bincount(number[~np.repeat(held, n)], minlength=len(words))
-            changed = reply.filter(is_word)
-            count[changed.column("pos").to_numpy()] = changed.column("c").to_numpy()
+            for size, pos, c in zip(*(reply.filter(is_word).column(x).to_pylist() for x in ("size", "pos", "c"))):
+                count[unpacked(pos, size, np.int64)] = unpacked(c, size, np.int64)
             owner = np.repeat(np.arange(len(n)), n)
             logc = np.bincount(owner, weights=np.log10(count + 1.0)[number], minlength=len(n))
             seen = np.bincount(owner, weights=(count > 0)[number], minlength=len(n)).astype(np.int64)
@@ -464,7 +487,7 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_col: s
     stats = stored(write_blocks(base, folder, depth, block_bytes, step), "ctw-stats")
     words = stored(word_counts(stats.where("word is not null").select("block", "pos", "word", "n")), "ctw-words")
     taught = base.where(~F.col("held_out")).count()
-    sums = words.where("block = -1").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).first()
+    sums = words.where("block = -1").agg(F.sum(F.col("sums")[0]).alias("c"), F.sum(F.col("sums")[1]).alias("n")).first()
     n = (sums["n"] or 0) + taught
     v = (sums["c"] or 0) + (1 if taught else 0)
     marks = stats.where("gram is not null").select("block", "pos", "gram")
@@ -476,7 +499,7 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_col: s
     if len(ends):
         given = given.unionByName(parts.where("level >= 0").select("range", "level", "node").join(mix_open_nodes(parts, depth), ["level", "node"]))
     told = range_logs(given, folder, ends, depth)
-    told = told.unionByName(words.where("block >= 0").select("block", "pos", "c"), allowMissingColumns=True)
+    told = told.unionByName(words.where("block >= 0").select("block", "size", "pos", "c"), allowMissingColumns=True)
     out = f"doc_id {kind}, held_out boolean, words long, seen long, logc double, score double, bytes long"
     got = told.groupBy("block").applyInArrow(_scorer(folder, depth), out)
     tokens = F.col("words") + 1  # the end of a text is a token
