@@ -213,18 +213,6 @@ def event_stream(spark, sf):
     return src.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("site", F.col("user_id") % 5)
 
 
-def run_to_table(spark, df, name, mode="append"):
-    """Run a stream over everything available into a written table."""
-    out, ckpt = scratch_dir(spark, name), scratch_dir(spark, f"{name}-ckpt")
-
-    def sink(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/v={batch_id}")
-
-    q = df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(out).drop("v")
-
-
 @query("forecast_stream")
 def _(spark, sf):
     ev = event_stream(spark, sf)
@@ -272,7 +260,9 @@ def _(spark, sf):
     readings = ev.select(
         "event_id", "site", "ts", (F.col("value") % 100 / 100.0).alias("cloud_cover"), (F.col("value") * 7 % 360).alias("wind_direction_deg")
     )
-    return rounded(run_to_table(spark, stream.smooth_weather(readings, ["cloud_cover", "wind_direction_deg"]), "smooth"))
+    out, ckpt = scratch_dir(spark, "smooth"), scratch_dir(spark, "smooth-ckpt")
+    stream.write_smoothed(readings, ["cloud_cover", "wind_direction_deg"], out, ckpt, availableNow=True).awaitTermination()
+    return rounded(stream.read_smoothed(spark, out).select("event_id", "site", "ts", "cloud_cover", "wind_direction_deg"))
 
 
 @query("windowed_observations_stream")

@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from nightgrid.functions.scale import first_per_key
 from nightgrid.operators.weather import TTL_HOURS, latest_slots
@@ -168,25 +167,78 @@ def smooth_rows(pdf: pd.DataFrame, names: list[str], state: tuple | None) -> tup
     return done, (float(now[-1]), int(hour[-1]), *at.tolist())
 
 
-def smooth_weather(stream: DataFrame, names: list[str]) -> DataFrame:
-    """Per-site exponential smoothing of a reading stream.
+def smooth_chunks(chunks: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Smooth rows that come ordered by (key, kind, ts, event_id), a chunk at a time.
 
-    `stream`: `event_id, site, ts` and the fields `names`.  The state is a few
-    numbers per site; rows inside a micro-batch are taken in time order.
+    A row of kind 0 holds what an earlier batch left of its key; the last state
+    of each key follows its readings as a row of kind 2.  Nothing but the state
+    of the key at hand is kept between chunks.
+    """
+    at: tuple[str, tuple | None, pd.Timestamp | None] | None = None
+
+    def left() -> pd.DataFrame:
+        key, (last, slot, *vals), ts = at
+        return pd.DataFrame({"kind": [2], "key": [key], "event_id": [0], "ts": [ts], **{n: [v] for n, v in zip(names, vals)}, "last": [last], "slot": [slot]})
+
+    for chunk in chunks:
+        for key, rows in chunk.groupby("key", sort=False):
+            if at is None or at[0] != key:
+                if at is not None:
+                    yield left()
+                at = (key, None, None)
+            kept = rows[rows["kind"] == 0]
+            if len(kept):
+                first = kept.iloc[0]
+                at = (key, (float(first["last"]), int(first["slot"]), *[float(first[n]) for n in names]), first["ts"])
+            fresh = rows[rows["kind"] == 1]
+            if len(fresh):
+                out, state = smooth_rows(fresh.assign(site=0), names, at[1])
+                at = (key, state, out["ts"].iloc[-1])
+                yield out.drop(columns="site").assign(kind=1, key=key, last=0.0, slot=0)[["kind", "key", "event_id", "ts", *names, "last", "slot"]]
+    if at is not None:
+        yield left()
+
+
+def write_smoothed(stream: DataFrame, names: list[str], path: str, checkpoint: str, keep: str | None = None, **trigger) -> StreamingQuery:
+    """Per-site exponential smoothing of a reading stream, one folder `v=<batch>` a micro-batch.
+
+    `stream`: `event_id, site, ts` and the fields `names`; other columns are left
+    out.  Rows of a micro-batch are ordered by (site, ts, event_id) in Spark and
+    smoothed chunk by chunk, so a site with a third of all rows needs no more
+    memory than another.  What a site's last row left is read from the batch
+    before; with `keep` (an interval) sites silent for longer than that before
+    the batch's newest reading start anew.  A repeated batch starts from the
+    same state and replaces its own folder.  A NULL site is a site of its own;
+    repeated rows count each; rows without a time are left out.
     """
     fields = ", ".join(f"{n} double" for n in names)
-    out_schema = f"event_id long, site long, ts timestamp, {fields}"
-    state_schema = f"last double, slot long, {fields}"
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get if state.exists else None
-        out, after = smooth_rows(pd.concat(list(chunks)), names, before)
-        state.update(after)
-        yield out
+    schema = f"kind int, key string, event_id long, ts timestamp, {fields}, last double, slot long"
+    order = ["key", "kind", "ts", "event_id"]
 
-    return stream.groupBy("site").applyInPandasWithState(
-        step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout
-    )
+    def put(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.where(F.col("ts").isNotNull()).select(
+            F.lit(1).alias("kind"), F.coalesce(F.col("site").cast("string"), F.lit("")).alias("key"), F.col("event_id").cast("long"), "ts",
+            *[F.col(n).cast("double").alias(n) for n in names], F.lit(0.0).alias("last"), F.lit(0).cast("long").alias("slot"),
+        )
+        rows, before = fresh, [int(v) for v in _children(spark, path, "v") if int(v) < batch_id]
+        if before:
+            state = spark.read.schema(schema).parquet(f"{path}/v={max(before)}").where("kind = 2").withColumn("kind", F.lit(0))
+            if keep:
+                newest = fresh.agg(F.max("ts").alias("t")).first()["t"]
+                if newest is not None:
+                    state = state.where(F.col("ts") >= F.lit(newest) - F.expr(f"interval {keep}"))
+            rows = fresh.unionByName(state.select(*fresh.columns))
+        ordered = rows.repartition("key").sortWithinPartitions(*order)
+        ordered.mapInPandas(lambda chunks: smooth_chunks(chunks, names), schema).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def read_smoothed(spark: SparkSession, path: str) -> DataFrame:
+    """All smoothed readings: event_id, site, ts and the fields."""
+    site = F.when(F.col("key") != "", F.col("key").cast("long"))
+    return spark.read.parquet(path).where("kind = 1").withColumn("site", site).drop("v", "kind", "key", "last", "slot")
 
 
 def windowed_observations(
