@@ -220,13 +220,43 @@ def _grams(c: Column, n: int) -> Column:
     return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(c, i, F.lit(n)))))
 
 
+def _placed_grams(c: Column) -> Column:
+    """All three-letter pieces of a text of three letters or more, with their 1-based places."""
+    return F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.struct(i.alias("pos"), F.substring(c, i, F.lit(3)).alias("gram")))
+
+
+def contains_candidates(norms: DataFrame, keys: DataFrame, per_gram: DataFrame) -> DataFrame:
+    """(norm, cand, pos, at): keys that hold two grams of a norm at its distance.
+
+    `norms`: distinct `norm` of over three letters; `keys`: `norm`; `per_gram`:
+    `gram, n` with the number of keys that hold it.  Of each norm the rarest
+    gram and the rarest other, of equals the farthest, make its pair.  A key's
+    gram meets the distances asked for it, not the norms; only equal pairs
+    meet.  So a gram that all keys hold costs a row per key and distance, not per
+    key and norm.  `pos` is where the pair starts in the key, `at` in the norm.
+    """
+    told = norms.select("norm", F.inline(_placed_grams(F.col("norm"))))
+    told = told.join(per_gram.select("gram", "n"), "gram", "left")  # one row a gram on the right: a hot gram is split at run time
+    lists = told.groupBy("norm").agg(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pos", "gram")).alias("g"))
+    lists = lists.select("norm", "g", F.array_min("g").alias("a")).where("a.n > 0")  # no key holds a gram that is missing
+    rest = F.filter("g", lambda x: x["pos"] != F.col("a.pos"))
+    other = F.array_min(F.transform(rest, lambda x: F.struct(x["n"].alias("n"), (-F.abs(x["pos"] - F.col("a.pos"))).alias("far"), x["pos"].alias("pos"), x["gram"].alias("gram"))))
+    pairs = lists.select("norm", F.col("a.gram").alias("gram"), F.col("a.pos").alias("at"), other.alias("b"))
+    pairs = cut_lineage(pairs.select("norm", "gram", "at", (F.col("b.pos") - F.col("at")).alias("dist"), F.col("b.gram").alias("gram2")))
+    asked = pairs.groupBy("gram").agg(F.collect_set("dist").alias("dists"))  # as many as a norm has letters
+    placed = keys.where("length(norm) >= 3").select(F.col("norm").alias("cand"), F.inline(_placed_grams(F.col("norm"))))
+    met = sized_join(placed, asked, ["gram"]).select("cand", "pos", "gram", F.explode("dists").alias("dist")).where("pos + dist >= 1")
+    met = met.withColumn("gram2", F.substring(F.col("cand"), F.col("pos") + F.col("dist"), F.lit(3)))
+    return sized_join(met, pairs, ["gram", "dist", "gram2"]).select("norm", "cand", "pos", "at")
+
+
 def search_objects(queries: DataFrame, index: DataFrame) -> DataFrame:
     """Best hit per query: exact name, folded key, else the alphabetically
     first key that contains the folded query.
 
     `queries`: `query_id, text`.  The contains step runs only for queries left
-    over; it meets keys on character grams (the rarest gram of the query), and
-    a query of up to three characters reads the smallest key of its gram.
+    over, each different text once; texts meet keys on two grams at their
+    distance, and one of up to three characters reads the smallest key of its gram.
     The index is used by all steps and therefore checkpointed.
     """
     index = cut_lineage(index)
@@ -243,12 +273,10 @@ def search_objects(queries: DataFrame, index: DataFrame) -> DataFrame:
     )
     per_gram = grams.groupBy("gram").agg(F.min("norm").alias("first_key"), F.count(F.lit(1)).alias("n"))
     short = rest.where("length(norm) <= 3").join(per_gram, F.col("norm") == F.col("gram")).select("query_id", "text", "first_key")
-    long_q = rest.where("length(norm) > 3").select("*", F.explode(_grams(F.col("norm"), 3)).alias("gram"))
-    rare = long_q.join(per_gram.select("gram", "n"), "gram", "left").groupBy("query_id", "text", "norm").agg(
-        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")
-    )
-    wide = sized_join(grams.withColumnRenamed("norm", "cand"), rare, ["gram"]).where(F.expr("contains(cand, norm)"))
-    wide = wide.groupBy("query_id", "text").agg(F.min("cand").alias("first_key"))
+    norms = rest.where("length(norm) > 3").select("norm").distinct()
+    wide = contains_candidates(norms, keys, per_gram)
+    wide = wide.where((F.col("pos") >= F.col("at")) & (F.substring(F.col("cand"), F.col("pos") - F.col("at") + 1, F.length("norm")) == F.col("norm")))
+    wide = rest.join(wide.groupBy("norm").agg(F.min("cand").alias("first_key")), "norm").select("query_id", "text", "first_key")
     part = short.unionByName(wide).join(keys, F.col("first_key") == F.col("norm")).select(
         "query_id", "text", F.lit("contains").alias("match"), F.col("k").alias("h")
     )
