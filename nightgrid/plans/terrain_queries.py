@@ -22,7 +22,7 @@ HEADERS = """select s_suppkey as seq, case when s_suppkey % 9 = 4 then 'Y_(' ||
 
 def tiles(spark, sf):
     head = spark.sql(HEADERS + "{supplier}", supplier=table(spark, sf, "supplier"))
-    return ter.tile_index(head).join(head.select("path", "seq"), "path")
+    return ter.tile_index(head)
 
 
 TILES = f"""hd as ({HEADERS} supplier), tl as (select seq, path,
