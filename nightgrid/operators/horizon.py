@@ -8,7 +8,9 @@ of sampling every step.
 
 A ray stays in one partition from the first level to the result: with the
 pyramid and the raster broadcast (their counted size allows it) nothing but
-the rays is exchanged.
+the rays is exchanged.  A row carries the number of its stretch; parts and
+steps are looked up by it.  Observers at one place see one horizon, so a job
+may cast the rays of `shared_places` and hand its result to all their members.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nightgrid.functions.angles import cos_d, sin_d
-from nightgrid.functions.scale import sized_join, spread, staged
+from nightgrid.functions.angles import cos_d, dbl, sin_d
+from nightgrid.functions.scale import first_per_key, sized_join, spread, staged
 from nightgrid.operators.radiance import radiance_at
 from nightgrid.operators.terrain import EARTH_RADIUS, Grid, band_table, cell_stencils, sample_elevation, step_table
 
@@ -61,14 +63,38 @@ def cut_steps(steps: Sequence[tuple], split, lengths: Sequence[float]) -> list[d
     return out
 
 
-def _literal(stretches: list[dict], deep: int) -> Column:
-    def one(i: int, s: dict) -> Column:
-        fields = [F.lit(i).alias("sid"), F.lit(s["key"]).cast("int").alias("band"), F.lit(float(s["d0"])).alias("d0"), F.lit(float(s["d1"])).alias("d1")]
-        if deep > 1:
-            return F.struct(*fields, _literal(s["parts"], deep - 1).alias("parts"))
-        return F.struct(*fields, F.array(*[F.lit(float(d)) for _, d, *_ in s["steps"]]).alias("steps"))
+class Cut:
+    """Nested stretches as literals: `top`, the parts of each stretch by its number `at`, and the steps of each of the last level."""
 
-    return F.array(*[one(i, s) for i, s in enumerate(stretches)])
+    def __init__(self, stretches: list[dict], deep: int):
+        levels = [stretches]
+        for _ in range(deep - 1):
+            levels.append([p for s in levels[-1] for p in s["parts"]])
+        for level in levels:
+            for i, s in enumerate(level):
+                s["at"] = i
+        self.top = F.array(*[F.struct(F.lit(s["key"]).cast("int").alias("band"), *self._ends(s)) for s in stretches])
+        self.parts = [F.array(*[F.array(*[F.struct(*self._ends(p)) for p in s["parts"]]) for s in level]) for level in levels[:-1]]
+        self.steps = F.array(*[F.array(*[F.lit(float(d)) for _, d, *_ in s["steps"]]) for s in levels[-1]])
+
+    @staticmethod
+    def _ends(s: dict) -> list[Column]:
+        return [F.lit(s["at"]).alias("at"), F.lit(float(s["d0"])).alias("d0"), F.lit(float(s["d1"])).alias("d1")]
+
+
+def shared_places(observers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One observer per place (the smallest `obs_id`), and `member, obs_id`: the observer that stands for each."""
+    at = F.array(*[dbl(c) for c in ("x", "y", "ground") if c in observers.columns])
+    keyed = observers.withColumn("_at", at)
+    places = first_per_key(keyed, ["_at"], [F.col("obs_id")])
+    members = sized_join(keyed.select(F.col("obs_id").alias("member"), "_at"), places.select("_at", "obs_id"), ["_at"])
+    return places.drop("_at"), members.select("member", "obs_id").distinct()
+
+
+def for_members(result: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of each place for every observer there, in the columns of `result`."""
+    hit = sized_join(result, members, ["obs_id"])
+    return hit.drop("obs_id").withColumnRenamed("member", "obs_id").select(*result.columns)
 
 
 @dataclass
@@ -124,20 +150,25 @@ class Rays:
         hit = sample_elevation(pts, self.stencils, self.grid, self.border).withColumn("h", F.coalesce("h", F.lit(self.missing)))
         return hit.withColumn("rise", F.col("h") - F.col("dist") * F.col("dist") / (2.0 * EARTH_RADIUS) - F.col("eye_h"))
 
-    def stretches(self, split) -> DataFrame:
+    def cut(self, split) -> Cut:
         steps = [s for s in self.steps if split(s) is not None]
-        cut = cut_steps(steps, split, [self.grid.cell * b for b in self.levels])
-        return self.bounded(self.rays().select("*", F.inline(_literal(cut, len(self.levels)))), self.levels[0])
+        return Cut(cut_steps(steps, split, [self.grid.cell * b for b in self.levels]), len(self.levels))
+
+    def stretches(self, split) -> DataFrame:
+        return self.started(self.cut(split))
+
+    def started(self, cut: Cut) -> DataFrame:
+        """The stretches of the first level of every ray, with their bounds."""
+        return self.bounded(self.rays().select("*", F.inline(cut.top)), self.levels[0])
 
-    def parts(self, stretches: DataFrame, block: int) -> DataFrame:
+    def parts(self, stretches: DataFrame, cut: Cut, level: int) -> DataFrame:
         """The stretches one level down, with their own bounds."""
-        keep = [c for c in stretches.columns if c not in ("d0", "d1", "parts", "bound", "band", "sid")]
-        named = stretches.select(*keep, F.col("sid").alias("_sid"), F.inline("parts")).drop("sid").withColumnRenamed("_sid", "sid")
-        return self.bounded(named, block)
+        keep = [c for c in stretches.columns if c not in ("at", "d0", "d1", "bound")]
+        return self.bounded(stretches.select(*keep, F.inline(F.get(cut.parts[level - 1], F.col("at")))), self.levels[level])
 
-    def all_samples(self, stretches: DataFrame) -> DataFrame:
+    def all_samples(self, stretches: DataFrame, cut: Cut) -> DataFrame:
         """Every step of the stretches, with its angle."""
-        pts = stretches.drop("d0", "d1", "bound").withColumn("dist", F.explode("steps")).drop("steps")
+        pts = stretches.drop("d0", "d1", "bound").withColumn("dist", F.explode(F.get(cut.steps, F.col("at")))).drop("at")
         return staged(self.sampled(pts), angle=F.atan2(F.col("rise"), F.col("dist")))
 
     def promising(self, stretches: DataFrame) -> DataFrame:
@@ -150,10 +181,11 @@ class Rays:
 
 def profile_samples(job: Rays) -> DataFrame:
     """The samples that can be the best of their band."""
-    live = job.promising(job.stretches(lambda s: s[2]))
-    for block in job.levels[1:]:
-        live = job.promising(job.parts(live, block))
-    return job.all_samples(live)
+    cut = job.cut(lambda s: s[2])
+    live = job.promising(job.started(cut))
+    for level in range(1, len(job.levels)):
+        live = job.promising(job.parts(live, cut, level))
+    return job.all_samples(live, cut)
 
 
 def horizon_profile(job: Rays) -> DataFrame:
@@ -183,11 +215,11 @@ def blocking_samples(job: Rays, lit: DataFrame, tolerance: float) -> DataFrame:
         sid += light
     lowest = F.min("angle") + tolerance  # nothing rises to a right angle
     floor = lit.groupBy(*RAY).agg(F.when(lowest < 1.5707, F.tan(lowest) - SLACK).otherwise(float("inf")).alias("_floor"))
-    cut = job.stretches(lambda s: number[s[0]] if number[s[0]] < sid else None).withColumn("sid", F.col("band"))
-    live = cut.join(floor, RAY).where(F.col("bound") >= F.col("_floor"))
-    for block in job.levels[1:]:
-        live = job.parts(live, block).where(F.col("bound") >= F.col("_floor"))
-    return job.all_samples(live)
+    cut = job.cut(lambda s: number[s[0]] if number[s[0]] < sid else None)
+    live = job.started(cut).withColumnRenamed("band", "sid").join(floor, RAY).where(F.col("bound") >= F.col("_floor"))
+    for level in range(1, len(job.levels)):
+        live = job.parts(live, cut, level).where(F.col("bound") >= F.col("_floor"))
+    return job.all_samples(live, cut)
 
 
 def light_domes(job: Rays, radiance: DataFrame, x0: float = 0.0, y0: float = 0.0, cell: float = 1000.0, tolerance: float = 0.17) -> DataFrame:

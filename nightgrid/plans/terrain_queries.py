@@ -127,54 +127,68 @@ def posts(spark, sf):
     )
 
 
-def rays(spark, sf):
+def rays(spark, sf, observers=None):
     cells, grid = dem_grid(spark, sf, 1000.0)
-    return hor.Rays(posts(spark, sf), cells, grid, BANDS, REACH, STEP, AZ, eye=1.7, border="null", missing=0.0)
+    return hor.Rays(posts(spark, sf) if observers is None else observers, cells, grid, BANDS, REACH, STEP, AZ, eye=1.7, border="null", missing=0.0)
+
+
+def place_rays(spark, sf):
+    """The rays of each place that has observers, and the observers there."""
+    places, members = hor.shared_places(posts(spark, sf))
+    return rays(spark, sf, places), members
 
 
 @query("horizon_profile")
 def _(spark, sf):
-    return rounded(hor.horizon_profile(rays(spark, sf)))
+    job, members = place_rays(spark, sf)
+    return hor.for_members(rounded(hor.horizon_profile(job)), members)
 
 
 def domes(spark, sf):
     """Written once: the peak rules read them several times, and the rays are cast for the first."""
-    return cut_lineage(hor.light_domes(rays(spark, sf), view(spark, sf, "radiance_cells")))
+    job, members = place_rays(spark, sf)
+    return cut_lineage(hor.light_domes(job, view(spark, sf, "radiance_cells"))), members
 
 
 @query("light_domes")
 def _(spark, sf):
-    return rounded(domes(spark, sf))
+    d, members = domes(spark, sf)
+    return hor.for_members(rounded(d), members)
 
 
 @query("horizon_summary")
 def _(spark, sf):
-    return rounded(ter.horizon_summary(hor.horizon_profile(rays(spark, sf)), N_AZ))
+    job, members = place_rays(spark, sf)
+    return hor.for_members(rounded(ter.horizon_summary(hor.horizon_profile(job), N_AZ)), members)
 
 
 @query("dome_peaks")
 def _(spark, sf):
-    d = domes(spark, sf)
+    d, members = domes(spark, sf)
     both = ter.dome_peaks(d, N_AZ).withColumn("rule", F.lit("neighbour"))
-    return rounded(both.unionByName(ter.dome_peaks(d, N_AZ, "window").withColumn("rule", F.lit("window"))))
+    return hor.for_members(rounded(both.unionByName(ter.dome_peaks(d, N_AZ, "window").withColumn("rule", F.lit("window")))), members)
 
 
 @query("cluster_peaks")
 def _(spark, sf):
-    d = domes(spark, sf)
-    return rounded(ter.cluster_peaks(ter.dome_peaks(d, N_AZ)))
+    d, members = domes(spark, sf)
+    return hor.for_members(rounded(ter.cluster_peaks(ter.dome_peaks(d, N_AZ))), members)
 
 
 @query("band_points")
 def _(spark, sf):
-    return rounded(ter.band_points(cut_lineage(hor.horizon_profile(rays(spark, sf))), N_AZ, exaggeration=1.5))
+    job, members = place_rays(spark, sf)
+    return hor.for_members(rounded(ter.band_points(cut_lineage(hor.horizon_profile(job)), N_AZ, exaggeration=1.5)), members)
 
 
 @query("profile_store")
 def _(spark, sf):
-    path = scratch_dir(spark, "profiles")
-    grids.write_profiles(hor.horizon_profile(rays(spark, sf)), path)
-    return rounded(grids.read_profiles(spark, path))
+    """Profiles are stored by place, beside the list of the observers there."""
+    job, members = place_rays(spark, sf)
+    path, own = scratch_dir(spark, "profiles"), scratch_dir(spark, "members")
+    grids.write_profiles(hor.horizon_profile(job), path)
+    members.write.parquet(own)
+    return hor.for_members(rounded(grids.read_profiles(spark, path)), spark.read.parquet(own))
 
 
 @query("ascii_grid")

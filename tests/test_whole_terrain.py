@@ -176,3 +176,17 @@ def test_coarse_and_fine_levels_agree(spark, made):
         for b in ("null", "null", "clamp")
     ]
     assert got == full
+
+
+def test_observers_of_one_place_share_its_rays(spark, made):
+    sf, _, _ = made
+    post = plans.posts(spark, sf)
+    more = post.unionByName(post.withColumn("obs_id", F.col("obs_id") + 10)).unionByName(post.withColumn("obs_id", F.col("obs_id") + 20).withColumn("x", F.lit(None).cast("double")))
+    places, members = horizon.shared_places(more)
+    assert sorted(r.obs_id for r in places.collect()) == [1, 2, 21, 22]
+    job = plans.rays(spark, sf, places)
+    job.az_step = 30.0
+    got = horizon.for_members(horizon.horizon_profile(job), members)
+    plain = plans.rays(spark, sf, more)
+    plain.az_step = 30.0
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, horizon.horizon_profile(plain).collect()))
