@@ -73,6 +73,7 @@ def _offsets(kernel: Kernel) -> Column:
 
 
 SMALL_KERNEL = 1024
+SCATTER_BLOCK = 32  # cells of a block side
 
 
 def convolve_cells(cells: DataFrame, kernel: Kernel, tile: int = 1024) -> DataFrame:
@@ -96,7 +97,9 @@ def whole_cells(cells: DataFrame) -> DataFrame:
 
 
 def _convolve_scatter(cells: DataFrame, kernel: Kernel) -> DataFrame:
-    put = spread(cells, "r", "c").select("r", "c", F.coalesce("v", F.lit(0.0)).alias("v"), F.explode(_offsets(kernel)).alias("k"))
+    # blocks of cells, so that most of what a cell hands on is added up before the exchange
+    block = [F.floor(F.col(x) / SCATTER_BLOCK) for x in ("r", "c")]
+    put = spread(cells, *block).select("r", "c", F.coalesce("v", F.lit(0.0)).alias("v"), F.explode(_offsets(kernel)).alias("k"))
     put = put.select(
         (F.col("r") + F.col("k.dr")).alias("r"),
         (F.col("c") + F.col("k.dc")).alias("c"),

@@ -69,3 +69,9 @@ def test_sized_join_spreads_equal_rows_and_maps(spark):
     big = spark.range(2000).select(F.lit(1).alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
     small = spark.createDataFrame([(1, "x")], "k int, w string")
     assert scale.sized_join(big, small, ["k"], max_bytes=1, hot_rows=100).count() == 2000
+
+
+def test_spread_pieces_do_not_grow_with_the_input(spark):
+    slots = spark.sparkContext.defaultParallelism
+    pieces = [scale.spread(spark.range(n), "id").rdd.getNumPartitions() for n in (1000, 5_000_000, 10_000_000)]
+    assert pieces[0] == slots and 8 * 10_000_000 / pieces[2] <= 8 * 5_000_000 / pieces[1] * 1.1 <= scale.SPREAD_BYTES * 1.1
