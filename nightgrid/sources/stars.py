@@ -101,36 +101,37 @@ def read_star_json(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     body = F.trim("value")
     table = F.from_json(body, "struct<metadata: array<struct<name: string>>, data: array<array<string>>>")
     objects_in = F.from_json(body, "struct<data: array<map<string,string>>>")
-    kinds = raw.select(
-        "source_file",
-        body.startswith("{").alias("is_obj"),
-        F.when(body.startswith("{"), table).alias("t"),
-        F.when(body.startswith("{"), objects_in)["data"].alias("to"),
-        F.when(~body.startswith("{"), F.from_json(body, "array<array<string>>")).alias("la"),
-        F.when(~body.startswith("{"), F.from_json(body, "array<map<string,string>>")).alias("lm"),
+    is_obj = body.startswith("{")
+    # a boundary: each form is parsed once per document, whatever reads it later
+    kinds = staged(
+        raw,
+        t=F.when(is_obj, table),
+        to=F.when(is_obj, objects_in)["data"],
+        la=F.when(~is_obj, F.from_json(body, "array<array<string>>")),
+        lm=F.when(~is_obj, F.from_json(body, "array<map<string,string>>")),
     )
     default_names = F.array(*[F.lit(n) for n in JSON_COLUMNS])
-    named = F.transform("t.metadata", lambda m: m["name"])
-    arrays = kinds.select(
-        "source_file",
-        F.when(F.size(named) > 0, named).otherwise(default_names).alias("names"),
-        F.explode(F.coalesce("t.data", "la")).alias("row"),
-    ).where(F.col("row").isNotNull())
-    maps = kinds.select("source_file", F.explode(F.coalesce("to", "lm")).alias("row")).where(
-        F.col("row").isNotNull() & (F.size("row") > 0)
-    )
-
-    def by_position(names: Sequence[str]):
-        cells = [F.get("row", (F.array_position("names", n) - 1).cast("int")) for n in names]
-        safe = [F.when(F.array_position("names", n) > 0, c) for n, c in zip(names, cells)]
-        return F.coalesce(*safe)
-
-    def by_key(names: Sequence[str]):
-        return F.coalesce(*[F.try_element_at("row", F.lit(n)) for n in names])
-
-    from_arrays = arrays.select(*[by_position(a).alias(t) for t, a in ALIASES.items()], "source_file")
-    from_maps = maps.select(*[by_key(a).alias(t) for t, a in ALIASES.items()], "source_file")
-    return from_arrays.unionByName(from_maps)
+    kinds = kinds.select("source_file", F.transform("t.metadata", lambda m: m["name"]).alias("_named"), F.coalesce("t.data", "la").alias("_lists"), F.coalesce("to", "lm").alias("_maps"))
+    kinds = staged(kinds, names=F.when(F.size("_named") > 0, F.col("_named")).otherwise(default_names))
+    places = {n: f"_at{i}" for i, n in enumerate(dict.fromkeys(n for names in ALIASES.values() for n in names))}
+
+    def place(name: str):
+        at = F.array_position("names", name)
+        return F.when(at > 0, (at - 1).cast("int"))
+
+    kinds = staged(kinds, **{col: place(n) for n, col in places.items()})
+    no_list, no_map = F.lit(None).cast("array<string>"), F.lit(None).cast("map<string,string>")
+    lists = F.transform("_lists", lambda r: F.struct(r.alias("row"), no_map.alias("map")))
+    maps = F.transform("_maps", lambda r: F.struct(no_list.alias("row"), r.alias("map")))
+    empty = F.array().cast("array<struct<row: array<string>, map: map<string,string>>>")
+    rows = kinds.select("source_file", *places.values(), F.inline(F.concat(F.coalesce(lists, empty), F.coalesce(maps, empty))))
+    rows = rows.where(F.col("row").isNotNull() | (F.size("map") > 0))
+
+    def value(names: Sequence[str]):
+        by_key = [F.try_element_at("map", F.lit(n)) for n in names]
+        return F.when(F.col("row").isNotNull(), F.coalesce(*[F.get("row", F.col(places[n])) for n in names])).otherwise(F.coalesce(*by_key))
+
+    return rows.select(*[value(names).alias(target) for target, names in ALIASES.items()], "source_file")
 
 
 GROUP_BYTES = 1 << 20

@@ -46,3 +46,12 @@ def test_mixed_headers_white_space_and_bad_files(spark, tmp_path):
     assert len(skipped) == 1 and skipped[0][0].endswith("d.csv") and "ra" in skipped[0][1]
     with pytest.raises(ValueError):
         src.read_star_tables(spark, [str(tmp_path / "d.csv")])
+
+
+def test_a_json_document_is_parsed_once_for_all_columns(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"ra": 7, "dec": 8, "phot_g_mean_mag": 9, "source_id": 11}, {}, None]))
+    (tmp_path / "b.json").write_text(json.dumps({"data": [{"ra": 1, "dec": 2, "mag": 3}]}))
+    got = src.read_star_json(spark, [str(tmp_path)])
+    assert sorted(map(str, got.select("ra", "dec", "source_file").collect())) == ["Row(ra='1', dec='2', source_file='b.json')", "Row(ra='7', dec='8', source_file='a.json')"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 4 and plan.count("Relation") == 1
