@@ -114,18 +114,27 @@ def _separation(ra1: str, dec1: str, ra2: str, dec2: str) -> Column:
     return acos_d(c)
 
 
-def sun_moon_table(rows: DataFrame) -> DataFrame:
-    """Geocentric and topocentric Sun and Moon of each row (`ts, lat, lon`)."""
+def _geocentric(rows: DataFrame) -> DataFrame:
+    """Sun and Moon from the Earth's centre and the sidereal angle of Greenwich: all that depends on `ts` alone."""
     df = staged(rows, jd=julian_day("ts"))
     d = F.col("jd") - 2451545.0
     tt = d / 36525.0
     gmst = 280.46061837 + 360.98564736629 * d + 0.000387933 * tt * tt
-    df = staged(df, _T=_century(F.col("jd")), lst=wrap360(gmst + dbl("lon")))
-    df = _moon(_sun(df))
+    df = _moon(_sun(staged(df, _T=_century(F.col("jd")), _gmst=gmst)))
     eps = 23.4392911 - 0.0130042 * F.col("_T")
     sun = _equatorial(F.col("sun_lon"), F.lit(0.0), eps)
     moon = _equatorial(F.col("moon_lon"), F.col("moon_lat"), eps)
-    df = staged(df, sun_gra=sun[0], sun_gdec=sun[1], moon_gra=moon[0], moon_gdec=moon[1])
+    return staged(df, sun_gra=sun[0], sun_gdec=sun[1], moon_gra=moon[0], moon_gdec=moon[1])
+
+
+def sun_moon_table(rows: DataFrame, moments: DataFrame | None = None) -> DataFrame:
+    """Geocentric and topocentric Sun and Moon of each row (`ts, lat, lon`).
+
+    With `moments`, the few different `ts` of the rows, what depends on them
+    alone is computed once for each and joined.
+    """
+    df = _geocentric(rows) if moments is None else rows.join(F.broadcast(_geocentric(moments.select("ts").distinct())), "ts")
+    df = staged(df, lst=wrap360(F.col("_gmst") + dbl("lon")))
     sun = _topocentric(F.col("sun_gra"), F.col("sun_gdec"), F.col("sun_km"))
     moon = _topocentric(F.col("moon_gra"), F.col("moon_gdec"), F.col("moon_km"))
     df = staged(df, sun_ra=sun[0], sun_dec=sun[1], moon_ra=moon[0], moon_dec=moon[1])
