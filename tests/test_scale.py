@@ -75,3 +75,23 @@ def test_spread_pieces_do_not_grow_with_the_input(spark):
     slots = spark.sparkContext.defaultParallelism
     pieces = [scale.spread(spark.range(n), "id").rdd.getNumPartitions() for n in (1000, 5_000_000, 10_000_000)]
     assert pieces[0] == slots and 8 * 10_000_000 / pieces[2] <= 8 * 5_000_000 / pieces[1] * 1.1 <= scale.SPREAD_BYTES * 1.1
+
+
+def test_sized_join_never_broadcasts_an_exploded_side_over_the_limit(spark, tmp_path):
+    # files of a few KB that explode to many rows: after an empty hot-key list their file size alone is left as estimate
+    spark.range(200).write.parquet(f"{tmp_path}/small")
+    small = spark.read.parquet(f"{tmp_path}/small").select(F.explode(F.sequence(F.lit(0), F.lit(999))).alias("k"), F.col("id").alias("w"))
+    spark.range(3000).withColumn("k", F.col("id") % 1000).write.parquet(f"{tmp_path}/big")
+    out = scale.sized_join(spark.read.parquet(f"{tmp_path}/big"), small, ["k"], max_bytes=1 << 20)
+    assert len(out.collect()) == 3000 * 200
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in plan
+
+
+def test_shared_rows_keep_every_key_in_bounded_lists(spark):
+    rows = [(i if i < 25 else None, 1.0, "a") for i in range(26)] + [(7, 2.0, None), (7, 2.0, None)]
+    shared = scale.shared_rows(spark.createDataFrame(rows, "id int, v double, t string"), "id", most=10)
+    got = shared.collect()
+    assert len(got) == 4 and max(len(r["_keys"]) for r in got) == 10
+    back = [(k["id"], r["v"], r["t"]) for r in got for k in r["_keys"]]
+    assert sorted(back, key=str) == sorted(rows, key=str)
