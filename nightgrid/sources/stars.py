@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,13 +33,27 @@ JSON_COLUMNS = (
 )
 
 
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first of the lines that follow each other in one block of a file."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file, block = batch.column("file"), batch.column("block")
+        ends = [(file[i].as_py(), block[i].as_py()) for i in (0, -1)]
+        moved = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1]))
+        yield batch.filter(pa.array(np.append(ends[0] != last, moved.to_numpy(zero_copy_only=False))))
+        last = ends[1]
+
+
 def _headers(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
-    """(file, first line that is no comment) of every file: one short row a file, like a listing."""
-    lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value"
-    )
+    """(file, first line that is no comment) of every file: one short row a file, like a listing.
+
+    A task holds one batch of lines; an aggregate of texts would sort all its lines.
+    """
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     lines = lines.where(~F.ltrim("value").startswith("#") & (F.trim("value") != ""))
-    first = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "n")).alias("value"))
+    first = lines.mapInArrow(_first_lines, "file string, block long, value string").groupBy("file").agg(F.min_by("value", "block").alias("value"))
     return sorted((r["file"], r["value"]) for r in first.collect())
 
 

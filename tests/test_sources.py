@@ -55,3 +55,25 @@ def test_a_json_document_is_parsed_once_for_all_columns(spark, tmp_path):
     assert sorted(map(str, got.select("ra", "dec", "source_file").collect())) == ["Row(ra='1', dec='2', source_file='b.json')", "Row(ra='7', dec='8', source_file='a.json')"]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 4 and plan.count("Relation") == 1
+
+
+def test_headers_are_found_without_sorting_the_lines(spark, tmp_path):
+    from nightgrid.sources import stars as src
+
+    texts = {"a.csv": "# note\n\n#x\nra,dec,mag\n1,2,3\n", "b.csv": "ra;dec;mag\n" + "4;5;6\n" * 30_000, "c.csv": "# only\n", "d.csv": "mag,ra,dec\n7,8,9\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        seen = []
+        plain = type(spark.range(1)).collect
+        type(spark.range(1)).collect = lambda df: (seen.append(df), plain(df))[1]
+        try:
+            got = [(f.rsplit("/", 1)[1], v) for f, v in src._headers(spark, [str(tmp_path)])]
+        finally:
+            type(spark.range(1)).collect = plain
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [("a.csv", "ra,dec,mag"), ("b.csv", "ra;dec;mag"), ("d.csv", "mag,ra,dec")]
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan or "MapInPandas" in plan
