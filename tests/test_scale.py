@@ -95,3 +95,9 @@ def test_shared_rows_keep_every_key_in_bounded_lists(spark):
     assert len(got) == 4 and max(len(r["_keys"]) for r in got) == 10
     back = [(k["id"], r["v"], r["t"]) for r in got for k in r["_keys"]]
     assert sorted(back, key=str) == sorted(rows, key=str)
+
+
+def test_first_per_key_leaves_columns_behind_that_only_order(spark):
+    df = spark.createDataFrame([(1, 5, "b", 2.0), (1, 5, "a", 1.0), (2, 9, "c", 3.0)], "id int, n int, t string, v double")
+    out = scale.first_per_key(df, ["id"], [F.col("n"), F.col("t")], keep=["id", "v"])
+    assert out.columns == ["id", "v"] and sorted(map(tuple, out.collect())) == [(1, 1.0), (2, 3.0)]
